@@ -113,7 +113,11 @@ def eq_any_case(name: str, value: str) -> Predicate:
 
 
 def order(*keys: tuple[str, str, bool]) -> Step:
-    """Sort each matched list by `(name, type, descending)` keys; ties keep order."""
+    """Sort each matched list by `(name, type, descending)` keys.
+
+    The match stays one list, as in the path language; `each` or `where` follows.
+    Elements without a key come last.
+    """
 
     def step(m: Column) -> Column:
         def cmp(a: Column, b: Column) -> Column:
@@ -131,7 +135,10 @@ def order(*keys: tuple[str, str, bool]) -> Step:
                 )
             return out
 
-        return F.array_sort(each()(m), cmp)
+        lists = F.filter(
+            F.transform(m, lambda x: F.try_variant_get(x, "$", "array<variant>")), lambda x: x.isNotNull()
+        )
+        return F.transform(lists, lambda x: F.to_variant_object(F.array_sort(x, cmp)))
 
     return step
 
@@ -162,6 +169,16 @@ def part(start: int, stop: int) -> Step:
     )
 
 
+def split(sep: str, i: int) -> Callable[[Column], Column]:
+    """Piece `i` of each matched string, cut at `sep` (a regular expression)."""
+    return lambda m: F.transform(m, lambda x: F.try_element_at(F.split(variant_text(x), sep), F.lit(i + 1)))
+
+
+def sub(pattern: str, repl: str) -> Callable[[Column], Column]:
+    """Each matched string with every occurrence of `pattern` replaced."""
+    return lambda m: F.transform(m, lambda x: F.regexp_replace(variant_text(x), pattern, repl))
+
+
 def length() -> Callable[[Column], Column]:
     """`len` of each matched list, object or string, as `array<int>`."""
     return lambda m: F.transform(

@@ -263,7 +263,9 @@ def fold(edits: DataFrame, *, positions: bool = True, nested: bool = True) -> Da
     """Replay a log of edits. `nested=False` states that no edited path lies
     below another and no edit holds an object, which saves looking for such."""
     if nested:
-        writes = settle(spread(edits))
+        writes = cut_lineage(spread(edits))
+        settled = settle(writes)
+        writes = settled if settled is writes else cut_lineage(settled)
     else:
         writes = drop_na(edits).select(
             "db_id",
