@@ -92,7 +92,9 @@ def explode_tool_calls(spark, sf):
 
 
 def _registry(spark):
-    return spark.createDataFrame(list(TOOLS), "name string, handler string")
+    rows = ", ".join(f"('{name}', '{handler}')" for name, handler in TOOLS)
+    # inline rows have a known size, so that Spark broadcasts them by its own check
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, handler)")
 
 
 @query(
