@@ -22,11 +22,12 @@ from docmem.functions.jsontext import text_kind
 from docmem.functions.paths import depth_of, key_step, prefixes_of
 from docmem.operators.leaves import (
     MAX_DEPTH,
-    _step_down,
     explode_leaves,
     is_container,
     object_entries,
+    open_containers,
     rebuild,
+    step_down,
 )
 from docmem.session import cut_lineage
 
@@ -50,9 +51,9 @@ def spread(edits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     own = drop_na(edits).select(
         "db_id", "seq", "path", F.col("data").alias("value"), text_kind("data").alias("kind")
     )
-    parsed = own.withColumn("v", F.when(F.col("kind") == "object", F.parse_json("value")))
+    parsed = own.withColumn("_fields", object_entries(F.when(F.col("kind") == "object", F.parse_json("value"))))
     inside = F.transform(
-        object_entries("v"),
+        "_fields",
         lambda e: F.struct(
             F.concat(F.col("path"), key_step(e["key"])).alias("path"),
             e["value"].alias("v"),
@@ -61,7 +62,7 @@ def spread(edits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             F.lit(False).alias("marker"),
         ),
     )
-    full = F.coalesce(F.size(inside) > 0, F.lit(False))
+    full = F.coalesce(F.size("_fields") > 0, F.lit(False))
     itself = F.array(
         F.struct(
             F.col("path"),
@@ -75,11 +76,10 @@ def spread(edits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         "db_id", "seq", F.explode(F.when(full, F.concat(itself, inside)).otherwise(itself)).alias("w")
     ).select("db_id", "seq", "w.*")
     for _ in range(max_depth - 1):
-        deeper = F.when(
-            F.col("v").isNotNull(), _step_down(F.col("path"), F.col("v"), enter_lists=False)
-        ).otherwise(F.array(F.struct(F.col("path"), F.col("v"))))
-        out = out.select("db_id", "seq", "value", "implied", "marker", F.explode(deeper).alias("w")).select(
-            "db_id", "seq", "w.path", "w.v", "value", "implied", "marker"
+        out = (
+            open_containers(out, enter_lists=False)
+            .select("db_id", "seq", "value", "implied", "marker", F.explode(step_down()).alias("w"))
+            .select("db_id", "seq", "w.path", "w.v", "value", "implied", "marker")
         )
     too_deep = F.raise_error(F.concat(F.lit(f"edit nests deeper than {max_depth} levels at "), F.col("path")))
     value = (
@@ -259,11 +259,30 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
     return plain.unionByName(elements).unionByName(empty)
 
 
-def fold(edits: DataFrame, *, positions: bool = True, nested: bool = True) -> DataFrame:
-    """Replay a log of edits. `nested=False` states that no edited path lies
-    below another and no edit holds an object, which saves looking for such."""
+def is_flat(edits: DataFrame) -> bool:
+    """No edit holds an object and no edited path lies below another one.
+
+    One pass with map-side combining to the distinct paths; stops at the first
+    counterexample.
+    """
+    paths = drop_na(edits).groupBy(*KEY).agg(F.max(text_kind("data") == "object").alias("has_object"))
+    objects = paths.where("has_object").select("db_id")
+    return objects.unionAll(path_pairs(paths).select("db_id")).isEmpty()
+
+
+def fold(
+    edits: DataFrame, *, positions: bool = True, nested: bool | None = None, max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """Replay a log of edits: `(db_id, path, pos, seq, idx, value)`.
+
+    `nested` says whether edits may hold objects or lie below one another; left
+    open, a cheap pass finds out, and flat logs are folded straight away.
+    `max_depth` bounds the nesting of objects inside an edit.
+    """
+    if nested is None:
+        nested = not is_flat(edits)
     if nested:
-        writes = cut_lineage(spread(edits))
+        writes = cut_lineage(spread(edits, max_depth))
         settled = settle(writes)
         writes = settled if settled is writes else cut_lineage(settled)
     else:
@@ -288,14 +307,14 @@ def last_values(edits: DataFrame) -> DataFrame:
     )
 
 
-def base_edits(docs: DataFrame, seq: int = -1) -> DataFrame:
+def base_edits(docs: DataFrame, seq: int = -1, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Stored documents `(db_id, doc VARIANT)` as the first edits of a log.
 
     Objects are taken apart, lists stay whole so that later appends see them.
     Nothing precedes the base, hence no markers are needed.
     """
     return (
-        explode_leaves(docs.select("db_id", "doc"), enter_lists=False)
+        explode_leaves(docs.select("db_id", "doc"), enter_lists=False, max_depth=max_depth)
         .where(F.col("path") != "$")
         .select("db_id", F.lit(seq).cast("bigint").alias("seq"), "path", F.to_json("v").alias("data"))
     )
@@ -324,7 +343,9 @@ def pages(folded: DataFrame, size: int = PAGE) -> DataFrame:
     return lists.unionByName(plain)
 
 
-def documents(folded: DataFrame, size: int = PAGE, paths_per_part: int = 4096) -> DataFrame:
+def documents(
+    folded: DataFrame, size: int = PAGE, paths_per_part: int = 4096, max_depth: int = MAX_DEPTH
+) -> DataFrame:
     """Fold rows to documents `(db_id, part, page, doc)`, `doc` as JSON text.
 
     The document of an owner is the merge of its rows: objects by key, lists by
@@ -339,7 +360,7 @@ def documents(folded: DataFrame, size: int = PAGE, paths_per_part: int = 4096) -
     rows = values.join(wide, "db_id", "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("path"), F.col("n_parts")), F.lit(0))
     )
-    return rebuild(rows, ["db_id", "part", "page"])
+    return rebuild(rows, ["db_id", "part", "page"], max_depth)
 
 
 __all__ = [
@@ -348,6 +369,7 @@ __all__ = [
     "drop_na",
     "fold",
     "fold_writes",
+    "is_flat",
     "last_values",
     "pages",
     "path_pairs",

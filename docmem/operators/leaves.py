@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import Col, col, json_type
-from docmem.functions.paths import STEP, any_index, key_step, steps_of
+from docmem.functions.paths import key_step, steps_of
 
 MAX_DEPTH = 8
 
@@ -25,28 +25,38 @@ def list_items(v: Col) -> Column:
     return F.try_variant_get(col(v), "$", "array<variant>")
 
 
-def _step_down(path: Column, v: Column, enter_lists: bool) -> Column:
-    """Children of a non-empty container as an array, else the leaf itself."""
-    fields = object_entries(v)
-    out = F.when(
-        F.size(fields) > 0,
-        F.transform(
-            fields,
-            lambda e: F.struct(F.concat(path, key_step(e["key"])).alias("path"), e["value"].alias("v")),
-        ),
-    )
-    if enter_lists:
-        items = list_items(v)
-        out = out.when(
-            F.size(items) > 0,
+def open_containers(df: DataFrame, enter_lists: bool) -> DataFrame:
+    """Add the children of `v` as `_fields` and `_items`, NULL where there are none.
+
+    They are columns of their own, so that each value is opened once although
+    the next step looks at its children more than once.
+    """
+    out = df.withColumn("_fields", object_entries("v"))
+    return out.withColumn("_items", list_items("v") if enter_lists else F.lit(None).cast("array<variant>"))
+
+
+def step_down() -> Column:
+    """Children of an opened non-empty container as an array, else the leaf itself."""
+    path = F.col("path")
+    return (
+        F.when(
+            F.size("_fields") > 0,
             F.transform(
-                items,
+                "_fields",
+                lambda e: F.struct(F.concat(path, key_step(e["key"])).alias("path"), e["value"].alias("v")),
+            ),
+        )
+        .when(
+            F.size("_items") > 0,
+            F.transform(
+                "_items",
                 lambda x, i: F.struct(
                     F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")
                 ),
             ),
         )
-    return out.otherwise(F.array(F.struct(path.alias("path"), v.alias("v"))))
+        .otherwise(F.array(F.struct(path.alias("path"), F.col("v").alias("v"))))
+    )
 
 
 def is_container(v: Col, enter_lists: bool = True) -> Column:
@@ -73,9 +83,11 @@ def explode_leaves(
     keep = [c for c in df.columns if c != doc]
     out = df.select(*keep, (root if root is not None else F.lit("$")).alias("path"), F.col(doc).alias("v"))
     for _ in range(max_depth):
-        out = out.select(
-            *keep, F.explode(_step_down(F.col("path"), F.col("v"), enter_lists)).alias("_item")
-        ).select(*keep, "_item.path", "_item.v")
+        out = (
+            open_containers(out, enter_lists)
+            .select(*keep, F.explode(step_down()).alias("_item"))
+            .select(*keep, "_item.path", "_item.v")
+        )
     too_deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
     checked = F.when(is_container("v", enter_lists), too_deep.cast("string")).otherwise(F.col("path"))
     return out.withColumn("path", checked)
@@ -88,10 +100,6 @@ def leaves(df: DataFrame, doc: str = "doc", **options) -> DataFrame:
     return out.select(*keep, F.to_json("v").alias("value"), json_type("v").alias("jtype"))
 
 
-def generic_path(path: Col = "path") -> Column:
-    return any_index(path)
-
-
 def _key_of(step: Column) -> Column:
     return F.when(
         step.startswith("."), F.concat(F.lit('"'), F.substring(step, 2, 1 << 30), F.lit('"'))
@@ -138,5 +146,3 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataF
         )
     return out.select(*keys, F.col("value").alias("doc"))
 
-
-__all__ = ["MAX_DEPTH", "STEP", "explode_leaves", "generic_path", "is_container", "leaves", "rebuild"]

@@ -80,7 +80,7 @@ def tree_nodes(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         is_object = ~F.col("done") & (first == "{")
         is_list = ~F.col("done") & (first == "[")
         here = F.col("path")
-        entries = _entries(F.when(is_object, F.col("text")))
+        entries = F.col("_entries")
         own = F.transform(_scalars(entries), lambda e: F.concat(quote(e["key"]), F.lit(":"), _literal(e)))
         node = F.struct(
             F.when(here == "", "root").otherwise(here).alias("path"),
@@ -95,8 +95,7 @@ def tree_nodes(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
                 F.lit(False).alias("done"),
             ),
         )
-        items = F.from_json(F.when(is_list, F.col("text")), "array<string>")
-        kinds = F.from_json(F.when(is_list, F.col("text")), "array<variant>")
+        items, kinds = F.col("_items"), F.col("_kinds")
         listed = F.filter(
             F.zip_with(
                 F.transform(
@@ -124,12 +123,15 @@ def tree_nodes(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             lambda x: x.isNotNull(),
         )
         itself = F.array(F.struct(F.col("path"), F.col("text"), F.col("done")))
-        step = (
-            F.when(is_object, F.concat(F.when(F.size(own) > 0, F.array(node)).otherwise(F.filter(F.array(node), lambda x: F.lit(False))), below))
-            .when(is_list, listed)
-            .otherwise(itself)
+        some = F.filter(F.array(node), lambda x: x["text"] != "{}")
+        step = F.when(is_object, F.concat(some, below)).when(is_list, listed).otherwise(itself)
+        # opened in columns of their own: each text is parsed once per level
+        opened = (
+            out.withColumn("_entries", _entries(F.when(is_object, F.col("text"))))
+            .withColumn("_items", F.from_json(F.when(is_list, F.col("text")), "array<string>"))
+            .withColumn("_kinds", F.from_json(F.when(is_list, F.col("text")), "array<variant>"))
         )
-        out = out.select("db_id", F.explode(step).alias("t")).select("db_id", "t.path", "t.text", "t.done")
+        out = opened.select("db_id", F.explode(step).alias("t")).select("db_id", "t.path", "t.text", "t.done")
     too_deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
     return out.select(
         "db_id",

@@ -20,7 +20,7 @@ generate_subscripts(f, 1) - 1 AS ord, unnest(f) AS fact FROM
     ),
 )
 def extract_edits(spark, sf):
-    texts = td.table(spark, sf, "documents").select(F.col("doc_id").alias("db_id"), "text")
+    texts = td.busy(td.table(spark, sf, "documents")).select(F.col("doc_id").alias("db_id"), "text")
     return extract.extract_edits(texts)
 
 
@@ -42,7 +42,7 @@ def line_facts(batch: pd.DataFrame) -> pd.DataFrame:
 string_split(text, chr(10))[1] AS first_line FROM documents""",
 )
 def extract_with_udf(spark, sf):
-    texts = td.table(spark, sf, "documents").select("doc_id", "text")
+    texts = td.busy(td.table(spark, sf, "documents")).select("doc_id", "text")
     return extract.extract_with(texts, line_facts, "doc_id bigint, n_lines bigint, n_commas bigint, first_line string")
 
 

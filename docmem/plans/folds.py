@@ -65,7 +65,7 @@ FROM (SELECT user_id, event_type, arg_max({K}, event_id) AS k FROM events GROUP
 )
 def fold_create(spark, sf):
     folded = fo.fold(td.field_edits(spark, sf))
-    return fo.documents(folded).select("db_id", "doc")
+    return fo.documents(folded, max_depth=3).select("db_id", "doc")
 
 
 @query("fold_docs", f"SELECT db_id, path, 0 AS page, value FROM {LIST_VALUES}")
@@ -80,7 +80,7 @@ def fold_docs(spark, sf):
 FROM {LIST_VALUES} GROUP BY db_id""",
 )
 def replay_edits(spark, sf):
-    return fo.documents(fo.fold(td.list_edits(spark, sf)))
+    return fo.documents(fo.fold(td.list_edits(spark, sf)), max_depth=2)
 
 
 @query(
@@ -95,7 +95,7 @@ AND user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id)""",
 )
 def fold_onto_base(spark, sf):
     """Stored customers; a purchase replaces `$.market` by its props."""
-    base = fo.base_edits(td.customer_docs(spark, sf)).where(F.col("path") != "$.balance")
+    base = fo.base_edits(td.customer_docs(spark, sf), max_depth=3).where(F.col("path") != "$.balance")
     customers = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("db_id"))
     log = (
         td.table(spark, sf, "events")
@@ -108,7 +108,7 @@ def fold_onto_base(spark, sf):
         )
         .join(customers, "db_id", "left_semi")
     )
-    return fo.fold(base.unionByName(log), positions=False).select("db_id", "path", "value")
+    return fo.fold(base.unionByName(log), positions=False, nested=True, max_depth=3).select("db_id", "path", "value")
 
 
 @query(
@@ -138,7 +138,7 @@ WHERE e.value < 60 AND event_id > coalesce(s, -1) GROUP BY ALL""",
 )
 def fold_prefix_conflicts(spark, sf):
     """`$.t` is replaced by an object while `$.t.v` is edited: both interact."""
-    return fo.fold(td.nested_edits(spark, sf), positions=False).select("db_id", "path", "value")
+    return fo.fold(td.nested_edits(spark, sf), positions=False, nested=True, max_depth=3).select("db_id", "path", "value")
 
 
 _ELEMENTS = f"""(SELECT user_id AS db_id, '$.' || event_type AS path, event_id AS seq, {K} AS k,

@@ -55,7 +55,7 @@ def schema_field_presence(spark, sf):
         F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"),
         F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"),
     )
-    docs = td.table(spark, sf, "customer").select(
+    docs = td.busy(td.table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("db_id"), F.parse_json(F.to_json(record)).alias("doc")
     )
     return schema.presence(docs, max_depth=2)
@@ -196,7 +196,8 @@ def ordered_text_docs(spark, sf):
         F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("n"), F.length(x).alias("chars"), x.alias("text"))
     )
     doc = F.struct("source", "lang", F.struct(F.col("n_chars").alias("chars")).alias("stats"), lines.alias("lines"))
-    return td.table(spark, sf, "documents").select(F.col("doc_id").alias("db_id"), F.to_json(doc).alias("doc"))
+    docs = td.busy(td.table(spark, sf, "documents"))
+    return docs.select(F.col("doc_id").alias("db_id"), F.to_json(doc).alias("doc"))
 
 
 @query(

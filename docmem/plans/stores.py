@@ -34,10 +34,10 @@ def descriptions_read(spark, sf):
         F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("type")).alias("part"),
         F.col("p_brand").alias("brand"),
     )
-    docs = td.table(spark, sf, "part").select(
+    docs = td.busy(td.table(spark, sf, "part")).select(
         F.col("p_partkey").alias("db_id"), F.parse_json(F.to_json(doc)).alias("doc")
     )
-    return dc.description_rows(docs)
+    return dc.description_rows(docs, max_depth=3)
 
 
 @query(

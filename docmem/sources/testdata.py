@@ -14,9 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def busy(df: DataFrame) -> DataFrame:
+    """A scan for work that is heavy per row.
+
+    A small file gives fewer tasks than there are cores; its rows are dealt out
+    again. A large input has more tasks than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select(
+    return busy(table(spark, sf_dir, "events")).select(
         F.col("user_id").alias("db_id"),
         F.col("event_id").alias("seq"),
         "event_type",
@@ -93,7 +103,7 @@ def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.struct(
         "source", "lang", F.struct(F.col("n_chars").alias("chars")).alias("stats"), lines.alias("lines")
     )
-    return table(spark, sf_dir, "documents").select(
+    return busy(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("db_id"), F.to_variant_object(doc).alias("doc")
     )
 
@@ -105,7 +115,7 @@ def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_acctbal").alias("balance"),
         F.struct(F.col("c_mktsegment").alias("segment")).alias("market"),
     )
-    return table(spark, sf_dir, "customer").select(
+    return busy(table(spark, sf_dir, "customer")).select(
         F.col("c_custkey").alias("db_id"), F.to_variant_object(doc).alias("doc")
     )
 
@@ -118,7 +128,7 @@ def supplier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").alias("balance"),
         F.lit(True).alias("supplier"),
     )
-    return table(spark, sf_dir, "supplier").select(
+    return busy(table(spark, sf_dir, "supplier")).select(
         F.col("s_suppkey").alias("db_id"), F.to_variant_object(doc).alias("doc")
     )
 
@@ -129,7 +139,7 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
         F.struct(F.col("o_orderstatus").alias("code"), F.col("o_orderpriority").alias("priority")).alias("status"),
     )
-    return table(spark, sf_dir, "orders").select(
+    return busy(table(spark, sf_dir, "orders")).select(
         F.col("o_orderkey").alias("db_id"), F.to_variant_object(doc).alias("doc")
     )
 
