@@ -32,7 +32,12 @@ READ_PATH = (
     r"|\.`[^`]+`"
     r")*$"
 )
-FILTERED_PATH = r'^(\$(?:\.[A-Za-z_][A-Za-z0-9_-]*)+)\[\?\s*([A-Za-z_][A-Za-z0-9_]*)\s*==?\s*"([^"]*)"\s*\]\.([A-Za-z_][A-Za-z0-9_]*)$'
+# list path, selecting field and JSON literal (both empty for `[*]`), target field
+ELEMENT_PATH = (
+    r"^(\$(?:\.[A-Za-z_][A-Za-z0-9_-]*)+)"
+    r'\[(?:\*|\?\s*([A-Za-z_][A-Za-z0-9_]*)\s*==?\s*("[^"]*"|-?\d+(?:\.\d+)?)\s*)\]'
+    r"\.([A-Za-z_][A-Za-z0-9_]*)$"
+)
 
 
 # ---- builders over one document ------------------------------------------------

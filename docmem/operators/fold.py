@@ -192,7 +192,7 @@ def _gate(pairs: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
-    """Settled writes to current values: `(db_id, path, pos, seq, idx, value)`.
+    """Settled writes to current values: `(db_id, path, pos, seq, idx, value, in_list)`.
 
     A plain value has `pos` NULL. A list gives one row per element, numbered
     from 0 in `pos` (`positions=False` saves a shuffle; `(seq, idx)` orders
@@ -212,7 +212,14 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
             F.max_by("value", "last").alias("value"),
         )
         .where(F.col("first_list").isNull() & F.col("value").isNotNull())
-        .select(*KEY, F.lit(None).cast("bigint").alias("pos"), "seq", F.lit(0).alias("idx"), "value")
+        .select(
+            *KEY,
+            F.lit(None).cast("bigint").alias("pos"),
+            "seq",
+            F.lit(0).alias("idx"),
+            "value",
+            F.lit(False).alias("in_list"),
+        )
     )
 
     # segments that belong to a list, each with the seq that started the list
@@ -246,14 +253,19 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
         F.transform(F.parse_json("value").cast("array<variant>"), lambda x: F.to_json(x)),
     ).otherwise(F.array("value"))
     elements = adds.select(*KEY, "base", "seq", F.posexplode(items).alias("idx", "value")).select(
-        *KEY, (F.col("base") + F.col("idx")).alias("pos"), "seq", "idx", "value"
+        *KEY, (F.col("base") + F.col("idx")).alias("pos"), "seq", "idx", "value", F.lit(True).alias("in_list")
     )
     empty = (
         adds.groupBy(*KEY)
         .agg(F.sum("n").alias("n"), F.max("seq").alias("seq"))
         .where(F.col("n") == 0)
         .select(
-            *KEY, F.lit(None).cast("bigint").alias("pos"), "seq", F.lit(0).alias("idx"), F.lit("[]").alias("value")
+            *KEY,
+            F.lit(None).cast("bigint").alias("pos"),
+            "seq",
+            F.lit(0).alias("idx"),
+            F.lit("[]").alias("value"),
+            F.lit(False).alias("in_list"),
         )
     )
     return plain.unionByName(elements).unionByName(empty)
@@ -273,7 +285,7 @@ def is_flat(edits: DataFrame) -> bool:
 def fold(
     edits: DataFrame, *, positions: bool = True, nested: bool | None = None, max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """Replay a log of edits: `(db_id, path, pos, seq, idx, value)`.
+    """Replay a log of edits: `(db_id, path, pos, seq, idx, value, in_list)`.
 
     `nested` says whether edits may hold objects or lie below one another; left
     open, a cheap pass finds out, and flat logs are folded straight away.
@@ -353,6 +365,7 @@ def documents(
     lists of at most `size` elements, nearly all, are one row. Larger ones are
     split by path hash and list page, so no group grows with the owner.
     """
+    folded = cut_lineage(folded)  # read three times below
     values = pages(folded, size)
     one_per_path = folded.where(F.coalesce(F.col("pos"), F.lit(0)) == 0)
     parts = one_per_path.groupBy("db_id").agg(F.ceil(F.count("*") / paths_per_part).alias("n_parts"))

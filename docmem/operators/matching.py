@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmem.functions.jsontext import quote
+from docmem.functions.jsontext import quote, text_kind
+from docmem.functions.paths import ELEMENT_PATH
+from docmem.operators import fold as fo
 from docmem.operators.leaves import object_entries
+from docmem.session import cut_lineage
 
 
 def _object_text(entries):
@@ -25,55 +28,128 @@ def _entries(text):
     )
 
 
+def element_updates(edits: DataFrame) -> DataFrame:
+    """Edits of list elements, taken apart:
+    `(db_id, seq, path, field, equals, target, data)`.
+
+    `$.phones[?name = "adam"].prefix` selects elements by a field and a JSON
+    literal; `$.phones[*].prefix` selects all (`field` and `equals` are empty).
+    """
+    part = lambda i: F.regexp_extract("path", ELEMENT_PATH, i)
+    return edits.where(F.col("path").rlike(ELEMENT_PATH)).select(
+        "db_id",
+        "seq",
+        part(1).alias("path"),
+        part(2).alias("field"),
+        part(3).alias("equals"),
+        part(4).alias("target"),
+        "data",
+    )
+
+
 def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set a field of matching elements: `$.list[?field = equals].target = data`.
+    """Set or extend a field of selected elements.
+
+    `elements` are fold rows, `updates` as
+    from `element_updates`. An update reaches the elements that were in the list
+    before it. The fold rule holds per element and field: a list grows, anything
+    else is replaced; every matching element keeps its own list.
 
-    `elements` are fold rows `(db_id, path, pos, seq, idx, value)`, `updates`
-    are `(db_id, seq, path, field, equals, target, data)` with `equals` as plain
-    text. An update reaches the elements that were in the list before it. Of the
-    updates that select the same way only the latest can win, and it wins iff it
-    is later than the element; so updates shrink to one row per selector before
-    they meet the elements by equality of `(db_id, path, field, equals)`.
+    Of the updates that select alike only the latest can win, and it wins iff it
+    is later than the element. So updates shrink to one row per selector before
+    they meet the elements, by equality of `(db_id, path, field, equals)`. Only
+    fields where lists are involved need all updates; there each one ends up in
+    the result.
 
-    An update of a field that also serves as selector of the same list would
-    change what later updates select; such logs are refused.
+    An update of a field that also selects in the same list would change what
+    later updates select; such logs are refused.
     """
     key = ["db_id", "path", "field", "equals"]
     latest = updates.groupBy(*key, "target").agg(
-        F.max("seq").alias("u_seq"), F.max_by("data", "seq").alias("data")
+        F.max("seq").alias("u_seq"),
+        F.max_by("data", "seq").alias("data"),
+        F.max(text_kind("data") == "list").alias("lists"),
     )
-    selectors = latest.select("db_id", "path", F.col("field").alias("target")).distinct()
-    moving = latest.join(
-        selectors.withColumn("selects", F.lit(True)), ["db_id", "path", "target"], "left"
-    ).withColumn(
-        "data",
-        F.when(
-            F.col("selects"),
-            F.raise_error(
-                F.concat(F.lit("field selects and is updated: "), F.col("path"), F.lit("."), F.col("target"))
-            ).cast("string"),
-        ).otherwise(F.col("data")),
+    fields = latest.select("db_id", "path", "field").distinct()
+    moving = fields.select("db_id", "path", F.col("field").alias("target"), F.lit(True).alias("selects"))
+    refused = F.raise_error(
+        F.concat(F.lit("field selects and is updated: "), F.col("path"), F.lit("."), F.col("target"))
+    )
+    latest = latest.join(moving, ["db_id", "path", "target"], "left").withColumn(
+        "data", F.when(F.col("selects"), refused.cast("string")).otherwise(F.col("data"))
     )
-    used = latest.select("db_id", "path", "field").distinct()
     identity = ["db_id", "path", "seq", "idx"]
-    listed = elements.where(F.col("pos").isNotNull())
+    every = F.struct(F.lit("").alias("field"), F.lit("").alias("equals"))
+    own = F.transform(_entries(F.col("value")), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("equals")))
     facts = (
-        listed.select(*identity, F.explode(object_entries(F.try_parse_json("value"))).alias("e"))
-        .select(*identity, F.col("e.key").alias("field"), F.try_variant_get("e.value", "$", "string").alias("equals"))
-        .where("equals IS NOT NULL")
-        .join(used, ["db_id", "path", "field"], "left_semi")
+        elements.where(F.col("in_list") & (text_kind("value") == "object"))
+        .select(*identity, "value", F.explode(F.concat(own, F.array(every))).alias("fact"))
+        .select(*identity, "value", "fact.*")
+        .join(fields, ["db_id", "path", "field"], "left_semi")
     )
-    changes = (
-        facts.join(moving, key)
+    old = F.to_json(F.try_variant_get(F.parse_json("value"), F.concat(F.lit("$."), F.col("target")), "variant"))
+    met = (
+        facts.join(latest, key)
         .where(F.col("u_seq") > F.col("seq"))
-        .groupBy(*identity, "target")
+        .withColumn("old", old)
+        .withColumn("grows", F.col("lists") | F.coalesce(text_kind("old") == "list", F.lit(False)))
+    )
+    met = cut_lineage(met)  # read by each of the branches below
+    one = F.struct(*identity).alias("element")
+    # a field grows if any of its selectors says so
+    growing = met.where("grows").select(one, "target").distinct()
+    plain = (
+        met.select(one, "target", "u_seq", "data")
+        .join(growing, ["element", "target"], "left_anti")
+        .groupBy("element", "target")
         .agg(F.max_by("data", "u_seq").alias("data"))
-        .groupBy(*identity)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("target").alias("key"), F.col("data").alias("value")))).alias("set"))
     )
-    old = _entries(F.col("value"))
+    hits = met.select(one, *key, "target", "old").join(growing, ["element", "target"], "left_semi")
+    added = hits.join(updates, [*key, "target"]).where(F.col("seq") > F.col("element.seq"))
+    writes = added.select("element", "target", "seq", "data").unionByName(
+        hits.where("old IS NOT NULL")
+        .select("element", "target", F.col("element.seq").alias("seq"), F.col("old").alias("data"))
+        .distinct()
+    )
+    folded = fo.fold_writes(
+        writes.select(
+            F.col("element").alias("db_id"),
+            F.col("target").alias("path"),
+            "seq",
+            F.col("data").alias("value"),
+            F.lit(False).alias("marker"),
+            text_kind("data").alias("kind"),
+        ),
+        positions=False,
+    )
+    grown = (
+        folded.groupBy("db_id", "path")
+        .agg(
+            F.array_sort(F.collect_list(F.when(F.col("in_list"), F.struct("seq", "idx", "value")))).alias("items"),
+            F.max(F.when(~F.col("in_list"), F.col("value"))).alias("plain"),
+        )
+        .select(
+            F.col("db_id").alias("element"),
+            F.col("path").alias("target"),
+            F.coalesce(
+                "plain",
+                F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["value"]), ",", "null"), F.lit("]")),
+            ).alias("data"),
+        )
+    )
+    changes = (
+        plain.unionByName(grown)
+        .groupBy("element")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(F.col("target").alias("key"), F.col("data").alias("value")))).alias(
+                "set"
+            )
+        )
+        .select("element.*", "set")
+    )
+    entries = _entries(F.col("value"))
     named = F.transform("set", lambda s: s["key"])
-    merged = F.concat(F.filter(old, lambda e: ~F.array_contains(named, e["key"])), F.col("set"))
+    merged = F.concat(F.filter(entries, lambda e: ~F.array_contains(named, e["key"])), F.col("set"))
     return elements.join(changes, identity, "left").select(
         "db_id",
         "path",
@@ -81,9 +157,16 @@ def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
         "seq",
         "idx",
         F.when(F.col("set").isNull(), F.col("value")).otherwise(_object_text(merged)).alias("value"),
+        "in_list",
     )
 
 
+def replay(edits: DataFrame, **options) -> DataFrame:
+    """Fold a log that may also edit list elements (see `element_updates`)."""
+    plain = edits.where(~F.col("path").rlike(ELEMENT_PATH))
+    return update_matching(cut_lineage(fo.fold(plain, **options)), element_updates(edits))
+
+
 def append_to_each(docs: DataFrame, adds: DataFrame, target: str) -> DataFrame:
     """`$.list[*].target`: add to the list of *every* matching element.
 
