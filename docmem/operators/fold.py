@@ -195,57 +195,58 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
     """Settled writes to current values: `(db_id, path, pos, seq, idx, value, in_list)`.
 
     A plain value has `pos` NULL. A list gives one row per element, numbered
-    from 0 in `pos` (`positions=False` saves a shuffle; `(seq, idx)` orders
+    from 0 in `pos` (`positions=False` leaves that out; `(seq, idx)` orders
     them too). A list that is still empty gives one row `[]` with `pos` NULL.
+
+    The log is read once to summarise its segments, and once more for the rows
+    of lists if there are any. Everything else works on the summary, which is
+    written out: it has one row per path and segment.
     """
-    w = writes.withColumn("segment", F.floor(F.col("seq") / SEGMENT))
-    per_segment = w.groupBy(*KEY, "segment").agg(
-        F.min(F.when(F.col("kind") == "list", F.col("seq"))).alias("first_list"),
-        F.max("seq").alias("last"),
-        F.max_by(F.when(~F.col("marker"), F.col("value")), "seq").alias("value"),
+    w = writes.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).withColumn(
+        "n", F.when(F.col("kind") == "list", F.json_array_length("value")).otherwise(1)
     )
-    plain = (
-        per_segment.groupBy(*KEY)
-        .agg(
-            F.min("first_list").alias("first_list"),
-            F.max("last").alias("seq"),
-            F.max_by("value", "last").alias("value"),
-        )
-        .where(F.col("first_list").isNull() & F.col("value").isNotNull())
-        .select(
-            *KEY,
-            F.lit(None).cast("bigint").alias("pos"),
-            "seq",
-            F.lit(0).alias("idx"),
-            "value",
-            F.lit(False).alias("in_list"),
+    summary = cut_lineage(
+        w.groupBy(*KEY, "segment").agg(
+            F.min(F.when(F.col("kind") == "list", F.col("seq"))).alias("first_list"),
+            F.max("seq").alias("last"),
+            F.max(F.when(F.col("n") > 0, F.col("seq"))).alias("last_full"),
+            F.sum("n").alias("n_segment"),
+            F.max_by(F.when(~F.col("marker"), F.col("value")), "seq").alias("value"),
         )
     )
+    per_path = summary.groupBy(*KEY).agg(
+        F.min("first_list").alias("start"),
+        F.max("last").alias("last"),
+        F.max("last_full").alias("last_full"),
+        F.max_by("value", "last").alias("value"),
+    )
+    no_pos = F.lit(None).cast("bigint").alias("pos")
+    still_empty = F.coalesce(F.col("last_full") < F.col("start"), F.col("start").isNotNull())
+    plain = per_path.where((F.col("start").isNull() & F.col("value").isNotNull()) | still_empty).select(
+        *KEY,
+        no_pos,
+        F.col("last").alias("seq"),
+        F.lit(0).alias("idx"),
+        F.when(F.col("start").isNull(), F.col("value")).otherwise("[]").alias("value"),
+        F.lit(False).alias("in_list"),
+    )
+    if summary.where("first_list IS NOT NULL").isEmpty():
+        return plain
 
-    # segments that belong to a list, each with the seq that started the list
-    starts = per_segment.groupBy(*KEY).agg(F.min("first_list").alias("start")).where("start IS NOT NULL")
-    list_segments = (
-        per_segment.select(*KEY, "segment", "last")
-        .join(starts, KEY)
-        .where(F.col("last") >= F.col("start"))
-        .drop("last")
+    starts = summary.groupBy(*KEY).agg(F.min("first_list").alias("start")).where("start IS NOT NULL")
+    segments = (
+        summary.select(*KEY, "segment", "last", "n_segment").join(starts, KEY).where(F.col("last") >= F.col("start"))
     )
     adds = (
-        w.select(*KEY, "segment", "seq", "kind", "value")
-        .join(list_segments, [*KEY, "segment"])
+        w.select(*KEY, "segment", "seq", "kind", "value", "n")
+        .join(_offsets(w, segments) if positions else segments.select(*KEY, "segment", "start"), [*KEY, "segment"])
         .where(F.col("seq") >= F.col("start"))
-        .withColumn("n", F.when(F.col("kind") == "list", F.json_array_length("value")).otherwise(1))
     )
     if positions:
-        inside = Window.partitionBy(*KEY, "segment").orderBy("seq")
-        before = inside.rowsBetween(Window.unboundedPreceding, -1)
-        adds = adds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        totals = adds.groupBy(*KEY, "segment").agg(F.sum("n").alias("n_segment"))
-        along = Window.partitionBy(*KEY).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *KEY, "segment", F.coalesce(F.sum("n_segment").over(along), F.lit(0)).alias("offset")
+        before = (
+            Window.partitionBy(*KEY, "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         )
-        adds = adds.join(offsets, [*KEY, "segment"]).withColumn("base", F.col("offset") + F.col("before"))
+        adds = adds.withColumn("base", F.col("offset") + F.coalesce(F.sum("n").over(before), F.lit(0)))
     else:
         adds = adds.withColumn("base", F.lit(None).cast("bigint"))
     items = F.when(
@@ -255,20 +256,31 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
     elements = adds.select(*KEY, "base", "seq", F.posexplode(items).alias("idx", "value")).select(
         *KEY, (F.col("base") + F.col("idx")).alias("pos"), "seq", "idx", "value", F.lit(True).alias("in_list")
     )
-    empty = (
-        adds.groupBy(*KEY)
-        .agg(F.sum("n").alias("n"), F.max("seq").alias("seq"))
-        .where(F.col("n") == 0)
-        .select(
-            *KEY,
-            F.lit(None).cast("bigint").alias("pos"),
-            "seq",
-            F.lit(0).alias("idx"),
-            F.lit("[]").alias("value"),
-            F.lit(False).alias("in_list"),
-        )
+    return plain.unionByName(elements)
+
+
+def _offsets(w: DataFrame, segments: DataFrame) -> DataFrame:
+    """List segments with the number of elements in the segments before them.
+
+    Only lists that span several segments need any; of those the segment with
+    the start is counted anew from the start on, the rest is in the summary.
+    """
+    spans = segments.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    if spans.isEmpty():
+        return segments.select(*KEY, "segment", "start", F.lit(0).cast("bigint").alias("offset"))
+    first = F.col("segment") == F.floor(F.col("start") / SEGMENT)
+    head = (
+        w.select(*KEY, "segment", "seq", "n")
+        .join(segments.where(first).join(spans, KEY, "left_semi").select(*KEY, "segment", "start"), [*KEY, "segment"])
+        .where(F.col("seq") >= F.col("start"))
+        .groupBy(*KEY, "segment")
+        .agg(F.sum("n").alias("n_head"))
+    )
+    along = Window.partitionBy(*KEY).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    counted = segments.join(head, [*KEY, "segment"], "left").withColumn("n", F.coalesce("n_head", "n_segment"))
+    return counted.select(
+        *KEY, "segment", "start", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("offset")
     )
-    return plain.unionByName(elements).unionByName(empty)
 
 
 def is_flat(edits: DataFrame) -> bool:

@@ -91,8 +91,13 @@ def with_descriptions(prof: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 
 def first_doc(docs: DataFrame, by: str, order: str) -> DataFrame:
-    """The first stored document of each collection."""
-    return docs.groupBy(by).agg(F.min_by("doc", order).alias("doc"))
+    """The first stored document of each collection; `order` is unique in it.
+
+    Collections are few and documents large: the first keys are found on the key
+    columns alone, and fetch their documents by a join on that small side.
+    """
+    firsts = docs.groupBy(by).agg(F.min(order).alias(order))
+    return docs.join(firsts, [by, order], "left_semi")
 
 
 def listing(docs: DataFrame, keep: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:

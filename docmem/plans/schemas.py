@@ -113,13 +113,7 @@ unnest(['string', 'array', 'string', 'integer']) AS jtype FROM (SELECT DISTINCT
 )
 def schema_from_first_doc(spark, sf):
     docs = td.text_docs(spark, sf).withColumn("source", F.variant_get("doc", "$.source", "string"))
-    firsts = first_docs(docs)
-    return schema.listing(firsts, ["source"], max_depth=3)
-
-
-def first_docs(docs):
-    text = docs.select("source", "db_id", F.to_json("doc").alias("doc"))
-    return schema.first_doc(text, "source", "db_id").withColumn("doc", F.parse_json("doc"))
+    return schema.listing(schema.first_doc(docs, "source", "db_id"), ["source"], max_depth=3)
 
 
 @query(
@@ -127,8 +121,8 @@ def first_docs(docs):
     "SELECT source, min(doc_id) AS doc_id, min_by(text, doc_id) AS text FROM documents GROUP BY source",
 )
 def first_doc_per_collection(spark, sf):
-    docs = td.table(spark, sf, "documents")
-    return docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
+    docs = td.table(spark, sf, "documents").select("source", "doc_id", "text")
+    return schema.first_doc(docs, "source", "doc_id")
 
 
 _RAW = """(SELECT user_id AS db_id, event_id AS seq, '$.' || event_type AS path, props AS data FROM events
