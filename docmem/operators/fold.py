@@ -19,16 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import text_kind
-from docmem.functions.paths import depth_of, key_step, prefixes_of
-from docmem.operators.leaves import (
-    MAX_DEPTH,
-    explode_leaves,
-    is_container,
-    object_entries,
-    open_containers,
-    rebuild,
-    step_down,
-)
+from docmem.functions.paths import depth_of, prefixes_of
+from docmem.operators.leaves import MAX_DEPTH, explode_leaves, rebuild
 from docmem.session import cut_lineage
 
 SEGMENT = 1 << 20
@@ -42,54 +34,29 @@ def drop_na(edits: DataFrame) -> DataFrame:
 
 
 def spread(edits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Log rows to write rows `(db_id, seq, path, kind, value, implied, marker)`.
+    """Log rows to write rows `(db_id, seq, path, value, kind, implied, marker)`.
 
     An edit holding a non-empty object becomes a *marker* at its path, which
     says that the subtree was replaced, and one *implied* write per leaf of the
-    object (lists stay whole). Every other edit is one write as it is.
+    object (lists stay whole). Every other edit is one write as it is. Only the
+    edits with objects are taken apart.
     """
+    kind = text_kind("data")
     own = drop_na(edits).select(
-        "db_id", "seq", "path", F.col("data").alias("value"), text_kind("data").alias("kind")
+        "db_id",
+        "seq",
+        "path",
+        F.col("data").alias("value"),
+        kind.alias("kind"),
+        F.lit(False).alias("implied"),
+        ((kind == "object") & ~F.col("data").rlike(r"^\s*\{\s*\}\s*$")).alias("marker"),
     )
-    parsed = own.withColumn("_fields", object_entries(F.when(F.col("kind") == "object", F.parse_json("value"))))
-    inside = F.transform(
-        "_fields",
-        lambda e: F.struct(
-            F.concat(F.col("path"), key_step(e["key"])).alias("path"),
-            e["value"].alias("v"),
-            F.lit(None).cast("string").alias("value"),
-            F.lit(True).alias("implied"),
-            F.lit(False).alias("marker"),
-        ),
-    )
-    full = F.coalesce(F.size("_fields") > 0, F.lit(False))
-    itself = F.array(
-        F.struct(
-            F.col("path"),
-            F.lit(None).cast("variant").alias("v"),
-            F.col("value"),
-            F.lit(False).alias("implied"),
-            full.alias("marker"),
-        )
-    )
-    out = parsed.select(
-        "db_id", "seq", F.explode(F.when(full, F.concat(itself, inside)).otherwise(itself)).alias("w")
-    ).select("db_id", "seq", "w.*")
-    for _ in range(max_depth - 1):
-        out = (
-            open_containers(out, enter_lists=False)
-            .select("db_id", "seq", "value", "implied", "marker", F.explode(step_down()).alias("w"))
-            .select("db_id", "seq", "w.path", "w.v", "value", "implied", "marker")
-        )
-    too_deep = F.raise_error(F.concat(F.lit(f"edit nests deeper than {max_depth} levels at "), F.col("path")))
-    value = (
-        F.when(is_container("v", enter_lists=False), too_deep.cast("string"))
-        .when(F.col("v").isNotNull(), F.to_json("v"))
-        .otherwise(F.col("value"))
-    )
-    return out.select("db_id", "seq", "path", value.alias("value"), "implied", "marker").withColumn(
-        "kind", text_kind("value")
+    objects = own.where("marker").select("db_id", "seq", F.col("path").alias("top"), F.parse_json("value").alias("doc"))
+    inside = explode_leaves(objects, enter_lists=False, max_depth=max_depth, root=F.col("top"))
+    implied = inside.select("db_id", "seq", "path", F.to_json("v").alias("value")).select(
+        "*", text_kind("value").alias("kind"), F.lit(True).alias("implied"), F.lit(False).alias("marker")
     )
+    return own.unionByName(implied)
 
 
 def path_pairs(writes: DataFrame) -> DataFrame:
