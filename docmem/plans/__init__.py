@@ -12,7 +12,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("folds", "paths", "schemas", "threads", "chunks", "tables", "stores", "extraction")
+MODULES = ("folds", "paths", "schemas", "threads", "chunks", "tables", "stores", "extraction", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

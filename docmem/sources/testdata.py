@@ -25,8 +25,12 @@ def busy(df: DataFrame) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _opened(busy(table(spark, sf_dir, "events")))
+
+
+def _opened(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    return busy(table(spark, sf_dir, "events")).select(
+    return events.select(
         F.col("user_id").alias("db_id"),
         F.col("event_id").alias("seq"),
         "event_type",
@@ -38,15 +42,23 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event sets `$.<type>.k`."""
-    return _events(spark, sf_dir).select(
+    return field_edits_of(busy(table(spark, sf_dir, "events")))
+
+
+def field_edits_of(events: DataFrame) -> DataFrame:
+    return _opened(events).select(
         "db_id", "seq", F.concat(F.lit("$."), "event_type", F.lit(".k")).alias("path"), F.col("k").alias("data")
     )
 
 
 def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event writes `$.<type>`; those of value 50 or more write a list."""
+    return list_edits_of(busy(table(spark, sf_dir, "events")))
+
+
+def list_edits_of(events: DataFrame) -> DataFrame:
     wrapped = F.when(F.col("value") >= 50, F.concat(F.lit("["), "k", F.lit("]"))).otherwise(F.col("k"))
-    return _events(spark, sf_dir).select(
+    return _opened(events).select(
         "db_id", "seq", F.concat(F.lit("$."), "event_type").alias("path"), wrapped.alias("data")
     )
 
