@@ -57,7 +57,8 @@ def presence(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def compress(prof: DataFrame, by: tuple[str, ...] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
     """A profile as one nested name-to-type text, lists as `[type]`.
 
-    A field that happens to be called `type` is a field like any other.
+    A field that happens to be called `type` is a field like any other. The
+    result is one text: it grows with the distinct paths, not with the data.
     """
     keys = list(by) or ["_all"]
     rows = prof if by else prof.withColumn("_all", F.lit(0))

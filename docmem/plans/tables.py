@@ -195,15 +195,15 @@ def _sql(spark, sf, text, *names):
 
 @query(
     "sql_join",
-    """SELECT c_custkey, c_name, n_name, o_orderkey, o_orderpriority FROM customer
-JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey""",
+    """SELECT o_orderkey, o_orderpriority, c_custkey, c_name, n_name FROM orders
+LEFT JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
 )
 def sql_join(spark, sf):
     return _sql(
         spark,
         sf,
-        """SELECT c_custkey, c_name, n_name, o_orderkey, o_orderpriority FROM {customer}
-        JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {orders} ON o_custkey = c_custkey""",
+        """SELECT o_orderkey, o_orderpriority, c_custkey, c_name, n_name FROM {orders}
+        LEFT JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
         "customer",
         "nation",
         "orders",

@@ -130,7 +130,8 @@ def state_fold(edits: DataFrame) -> DataFrame:
     position as they arrive, plain values as they change. An edit older than
     the newest one applied to its path is reported as `late`; the owner is then
     to be folded again from the log (`refold`). Keyed by `(db_id, path)`, so a
-    busy owner is spread over its paths.
+    busy owner is spread over its paths. What one path brings at once is bounded
+    by the micro-batch (`maxFilesPerTrigger` or its like).
     """
     v = F.parse_json("data").cast("array<variant>")
     items = F.when(text_kind("data") == "list", F.transform(v, lambda x: F.to_json(x))).otherwise(F.array("data"))
