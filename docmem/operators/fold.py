@@ -92,8 +92,8 @@ def settle(writes: DataFrame) -> DataFrame:
     inner = cut_lineage(
         pairs.select("db_id", F.col("above").alias("path")).distinct().withColumn("depth", depth_of("path"))
     )
-    depths = [r[0] for r in inner.select("depth").distinct().sort("depth").limit(64).collect()]
-    if not depths:
+    deepest = inner.agg(F.max("depth")).first()[0]
+    if deepest is None:
         return writes
     inner_pairs = pairs.join(inner, KEY, "inner")
     slim = writes.select(
@@ -101,7 +101,7 @@ def settle(writes: DataFrame) -> DataFrame:
     ).join(inner.select(*KEY, "depth"), KEY, "inner")
     slim = cut_lineage(slim)
     state = None
-    for depth in depths:
+    for depth in range(1, deepest + 1):
         here = slim.where(F.col("depth") == depth)
         units = here.select(*KEY, "segment").distinct()
         if state is None:

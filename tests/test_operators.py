@@ -93,7 +93,7 @@ def test_checks_split_edits(spark):
         (1, "$.a.b", "1", None),
         (2, "NA", "{}", None),
         (3, "$.a b", "1", "path"),
-        (4, "$.a", "Zvada", "data"),
+        (4, "$.a", "plain words", "data"),
         (5, "$['a b']", '"x"', None),
         (6, "$.l[?n = 'x'].v", "2", None),
         (7, "$", "{}", "path"),

@@ -12,7 +12,7 @@ DOC = {
     "phones": [
         {"name": "adam", "number": "1", "price": 5},
         {"name": "Adam", "number": "2", "price": 12.5},
-        {"name": "David Mokos", "number": "3"},
+        {"name": "Jane Doe", "number": "3"},
         "stray",
     ],
     "user": {"name": "d", "tags": []},
@@ -45,8 +45,8 @@ def test_predicates(spark):
     assert names(paths.compare("price", ">=", 5), paths.compare("price", "<", 12)) == ["1"]
     assert names(paths.compare("name", "!=", "adam")) == ["2", "3"]
     assert names(paths.compare("name", ">", 3)) == []  # other types do not match
-    assert names(paths.regex("name", "david mokos")) == []  # case matters
-    assert names(paths.regex("name", "Mok")) == ["3"]  # search, not full match
+    assert names(paths.regex("name", "jane doe")) == []  # case matters
+    assert names(paths.regex("name", "Doe")) == ["3"]  # search, not full match
 
 
 def test_sort_index_slice_functions(spark):
@@ -82,7 +82,7 @@ def test_path_text(spark):
 
 def test_is_json_takes_the_whole_text(spark):
     good = ["1", " 7 ", '"a"', "null", "[1,2]", '{"a":[1]}', "1.5e3", "true"]
-    bad = ["Zvada", "+420", "5 6", "5, 6", "5] x", '5,"e":0} x', "", "{", "NaN", '"a" b', "[1] [2]", "5}] x"]
+    bad = ["plain words", "+420", "5 6", "5, 6", "5] x", '5,"e":0} x', "", "{", "NaN", '"a" b', "[1] [2]", "5}] x"]
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
     assert [r[0] for r in df.select(jsontext.is_json("t")).collect()] == [True] * len(good) + [False] * len(bad)
 
