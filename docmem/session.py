@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        where = tempfile.mkdtemp(prefix="docmem-checkpoint-")
-        spark.conf.set(CHECKPOINT_KEY, where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docmem-checkpoint-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where
 
 

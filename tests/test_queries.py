@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from oracle import compare, duck  # noqa: E402
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.plans.QUERIES, entry.plans.ORACLES
 
 
 @pytest.fixture(scope="module")
