@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, host_rules, mixing, sharding, url_filters
+from . import ann, host_rules, mixing, packing, quality, sharding, url_filters
 from .tables import dealt, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nearest_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(dealt(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), F.col("vec_id") % 50 == 0)
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(packing.tokenize(docs, digest=True))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
