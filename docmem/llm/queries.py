@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, host_rules, mixing, packing, quality, sharding, url_filters
+from . import ann, host_rules, mixing, packing, quality, sharding, suffix_tree, url_filters
 from .tables import dealt, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
+@query("op10_suffix_tree_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
