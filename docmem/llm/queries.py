@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, host_rules, line_dedup, mixing, packing, quality, sharding, suffix_tree, url_filters
+from . import ann, host_rules, jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_tree, url_filters
 from .tables import dealt, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fuzzy_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
