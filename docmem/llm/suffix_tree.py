@@ -228,7 +228,7 @@ def tree(counts: DataFrame, share: float = SHARE) -> tuple[pd.DataFrame, pd.Data
         all_entries = all_entries.unionByName(e)
     for c in contexts[1:]:
         all_contexts = all_contexts.unionByName(c)
-    return all_contexts.toPandas(), all_entries.toPandas()
+    return all_contexts.toArrow().to_pandas(), all_entries.toArrow().to_pandas()
 
 
 _DRAW = np.random.default_rng(1).integers(1, 2**63, DEPTH + 2, np.int64).astype(np.uint64) | np.uint64(1)
@@ -354,7 +354,7 @@ def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: f
     n, v = counts.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n = int(n or 0)
     per_token = float(np.log10(n + v + 1))
-    common = counts.where("kind = 0").where(F.col("n") >= max(1.0, heavy * n)).select("low", "n").toPandas()
+    common = counts.where("kind = 0").where(F.col("n") >= max(1.0, heavy * n)).select("low", "n").toArrow().to_pandas()
     keys, values = common["low"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)
     sent = spark.sparkContext.broadcast((Tree(*tree(counts, share)), Lookup(keys, values)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
