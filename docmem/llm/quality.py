@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             x = np.array([measure(t) for t in b["text"]]).reshape(-1, len(FEATURES))
             yield pd.DataFrame({"x": list(x), "quality": b["quality"].to_numpy()})
 
-    rows = taken.mapInPandas(run, "x array<double>, quality int").toPandas()
+    rows = taken.mapInPandas(run, "x array<double>, quality int").toArrow().to_pandas()
     x = np.array(rows["x"].tolist()).reshape(-1, len(FEATURES))
     y = rows["quality"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order of arrival

@@ -105,7 +105,7 @@ def _level(spark, keys: DataFrame, level: int, bits: int) -> np.ndarray:
             yield pd.DataFrame({"word": p // WORD, "bit": np.int64(1) << (p % WORD)})
 
     made = keys.select("h1", "h2").mapInPandas(spread, "word bigint, bit bigint")
-    rows = made.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most bits / WORD rows
+    rows = made.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()  # at most bits / WORD rows
     words = np.zeros(bits // WORD + 1, np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return words
