@@ -127,11 +127,11 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
     """(a, b) of a beta distribution with this mean and variance of host rates.
 
-    Without spread (one host, equal rates) the prior weighs as 100 documents; with
+    Its weight is held between 10 and 100 documents, 100 without spread (one host, equal rates); with
     a mean of 0 or 1 half a document is added on either side.
     """
     mean = 0.0 if mean is None else float(mean)
     weight = 100.0
     if variance is not None and variance > 0 and 0 < mean < 1:
-        weight = min(100.0, max(1.0, mean * (1 - mean) / float(variance) - 1))
+        weight = min(100.0, max(10.0, mean * (1 - mean) / float(variance) - 1))
     return mean * weight + 0.5, (1 - mean) * weight + 0.5

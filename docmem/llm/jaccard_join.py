@@ -397,10 +397,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without words stay. `docs` must be a plain read of stored tables.
     """
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id())
-    known, comps = classes(rows.select(F.col("_uid").alias("doc_id"), "text"))
-    placed = known.where("n > 0").join(comps, "set").select(F.col("doc_id").alias("_uid"), "comp")
-    named = tables.written(placed.join(rows.select("_uid", F.col("doc_id").alias("name")), "_uid"))
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("name").isNull(), "name", "_uid")).alias("m"))
-    extra = tables.again(named).join(first, "comp").where(F.col("_uid") != F.col("m._uid")).select("_uid")
-    return rows.join(extra, "_uid", "left_anti").select(*docs.columns)
+    uid = tables.fresh(docs, "_uid")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    known, comps = classes(rows.select(F.col(uid).alias("doc_id"), "text"))
+    placed = known.where("n > 0").join(comps, "set").select(F.col("doc_id").alias("uid"), "comp")
+    names = rows.select(F.col(uid).alias("uid"), F.col("doc_id").alias("name"))
+    named = tables.written(placed.join(names, "uid"))
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("name").isNull(), "name", "uid")).alias("m"))
+    extra = tables.again(named).join(first, "comp").where(F.col("uid") != F.col("m.uid")).select(F.col("uid").alias(uid))
+    return rows.join(extra, uid, "left_anti").select(*docs.columns)

@@ -67,7 +67,7 @@ def _fight(level: int) -> str:
     made = "named_struct('cls', {0}.cls, 'h', {0}.h, 'doc_id', {0}.doc_id, 'size', {0}.size, 'm', {0}.m, 'base', {0}.base, 'p', {1})"
     cur, s = "acc.cur", "(acc.cur.p + x.p)"
     chance = _uniform("acc.cur.h", "x.h", "acc.cur.doc_id", "x.doc_id", f"{level}L")
-    first = f"({chance} < CASE WHEN {s} < 1D THEN acc.cur.p / {s} ELSE (1D - x.p) / (2D - {s}) END)"
+    first = f"({chance} < CASE WHEN {s} < 1D THEN acc.cur.p / greatest({s}, 1e-300D) ELSE (1D - x.p) / (2D - {s}) END)"
     # below 1 the winner takes both fractions and the loser gets 0; else the winner gets 1 and the loser the rest
     stays = f"CASE WHEN {first} = ({s} < 1D) THEN {made.format('acc.cur', f'CASE WHEN {s} < 1D THEN {s} ELSE {s} - 1D END')} ELSE {made.format('x', f'CASE WHEN {s} < 1D THEN {s} ELSE {s} - 1D END')} END"
     ends = f"CASE WHEN {first} = ({s} < 1D) THEN {made.format('x', f'CAST({s} >= 1D AS double)')} ELSE {made.format('acc.cur', f'CAST({s} >= 1D AS double)')} END"
@@ -170,13 +170,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3)
     Rows are told apart by a number given when the table is written, so equal
     and unnumbered documents need no key of their own.
     """
-    numbered = tables.written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sized = numbered.select(
-        F.col("_row").alias("doc_id"), "source", text.n_words(F.col("text")).alias("size")
-    )
-    taken = copies(sized, weights, most).select(F.col("doc_id").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    row, times = tables.fresh(docs, "_row"), tables.fresh(docs, "_copies")
+    numbered = tables.written(docs.withColumn(row, F.monotonically_increasing_id()))
+    sized = numbered.select(F.col(row).alias("doc_id"), "source", text.n_words(F.col("text")).alias("size"))
+    taken = copies(sized, weights, most).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias(times))
     return (
-        numbered.join(taken.where("_copies > 0"), "_row")
-        .withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
-        .drop("_row", "_copies")
+        numbered.join(taken, row)
+        .withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times))))
+        .select(*docs.columns)
     )

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tables
 from .host_rules import repeated_words
 from .text import split_words
 
@@ -230,5 +231,5 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of `docs` that the classifier does not reject, with all their columns."""
-    name = "_quality_score"
+    name = tables.fresh(docs, "_score")
     return score(docs, train(docs, labels), name).where(F.col(name) >= cut).drop(name)

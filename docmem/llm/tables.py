@@ -42,6 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Deal the rows of a few files out to all cores; a scan of more tasks than cores stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
