@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
+import sys
+import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,14 @@ LENGTH = 4096
 OPEN = 2048
 PER_TASK = 16384  # pieces packed in one task
 JOIN = 16  # tasks whose rests are packed together
-CACHED = 1_000_000  # words a task remembers
+CACHED = 600_000  # words a worker remembers
 END = 1
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
 class WordIds:
-    """Token ids of words, remembered per task.
+    """Token ids of words, remembered for a while.
 
     The vocabulary's pre-tokenizer never joins across blanks, so the ids of a text
     are those of its words. Plain words (Latin letters and a run of ASCII signs)
@@ -67,7 +69,7 @@ class WordIds:
         found = self.parts.get(part)
         if found is None:
             shown = part.encode("utf-8").decode("latin-1").translate(self.shown)
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             self.parts[part] = found
         return found
 
@@ -95,6 +97,14 @@ class WordIds:
         return [b"".join(map(at, words)) for words in split]
 
 
+def word_ids(path: str | None) -> WordIds:
+    """The word ids of this worker process: tasks that it runs one after another share what they have learned."""
+    kept = sys.modules.setdefault("_docmem_word_ids", types.ModuleType("_docmem_word_ids")).__dict__
+    if ("ids", path) not in kept:
+        kept["ids", path] = WordIds(path)
+    return kept["ids", path]
+
+
 def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids) of each row of documents (doc_id, text).
 
@@ -104,7 +114,7 @@ def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, dig
     """
 
     def run(batches):
-        words = WordIds(path)
+        words = word_ids(path)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out = []
