@@ -36,7 +36,7 @@ def is_json(text: Col) -> Column:
 
 def text_kind(text: Col) -> Column:
     """list / object / scalar, from the first character of valid JSON text."""
-    head = F.substring(F.ltrim(col(text)), 1, 1)
+    head = F.substring(F.ltrim(col(text), F.lit(" \t\r\n")), 1, 1)
     return F.when(head == "[", "list").when(head == "{", "object").otherwise("scalar")
 
 

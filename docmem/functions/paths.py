@@ -86,8 +86,15 @@ def where(*tests: Predicate) -> Step:
 
 
 def _typed(name: str, like: object) -> Callable[[Column], Column]:
+    """The field as the type of `like`; NULL when it holds another type."""
     kind = "boolean" if isinstance(like, bool) else "double" if isinstance(like, int | float) else "string"
-    return lambda x: F.try_variant_get(x, f'$["{name}"]', kind)
+    of_kind = {"boolean": "^BOOLEAN$", "double": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "string": "^STRING$"}[kind]
+
+    def get(x: Column) -> Column:
+        found = F.try_variant_get(x, f'$["{name}"]', "variant")
+        return F.when(F.schema_of_variant(found).rlike(of_kind), F.try_variant_get(found, "$", kind))
+
+    return get
 
 
 def eq(name: str, value: object) -> Predicate:
@@ -109,12 +116,14 @@ def compare(name: str, op: str, value: object) -> Predicate:
 
 
 def regex(name: str, pattern: str) -> Predicate:
-    """Search (not full match), case-sensitive."""
-    return lambda x: F.try_variant_get(x, f'$["{name}"]', "string").rlike(pattern)
+    """Search in strings (not full match), case-sensitive; other types do not match."""
+    get = _typed(name, "")
+    return lambda x: get(x).rlike(pattern)
 
 
 def eq_any_case(name: str, value: str) -> Predicate:
-    return lambda x: F.lower(F.try_variant_get(x, f'$["{name}"]', "string")) == value.lower()
+    get = _typed(name, "")
+    return lambda x: F.lower(get(x)) == value.lower()
 
 
 def order(*keys: tuple[str, str, bool]) -> Step:

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LINES = 1 << 20
-
-
 def qa_chunks(sets: DataFrame, keep: list[str]) -> DataFrame:
     """Question and answer arrays to one chunk per pair: question, newline, answer.
 
@@ -21,14 +18,9 @@ def qa_chunks(sets: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def sentence_chunks(texts: DataFrame) -> DataFrame:
-    """Non-blank lines of `(uid, text_id, text)` as `(uid, chunk_id, content)`.
-
-    `chunk_id` numbers the lines within `text_id * MAX_LINES`.
-    """
-    lines = texts.select("uid", "text_id", F.posexplode(F.split("text", "\n")).alias("i", "content"))
-    return lines.where(F.trim("content") != "").select(
-        "uid", (F.col("text_id") * MAX_LINES + F.col("i")).alias("chunk_id"), "content"
-    )
+    """Non-blank lines of `(uid, text_id, text)` as `(uid, text_id, line, content)`; `(text_id, line)` is their id."""
+    lines = texts.select("uid", "text_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    return lines.where(F.trim("content") != "")
 
 
 def stamp(chunks: DataFrame, **metadata: str) -> DataFrame:
@@ -41,14 +33,15 @@ def stamp(chunks: DataFrame, **metadata: str) -> DataFrame:
     return chunks.withColumn("metadata", F.map_concat(kept, F.create_map(*entries)))
 
 
-def ingest(chunks: DataFrame) -> DataFrame:
-    """Distinct contents per owner with their first chunk and number of copies.
+def ingest(chunks: DataFrame, ids: tuple[str, ...] = ("chunk_id",), into: DataFrame | None = None) -> DataFrame:
+    """Distinct contents per owner with the ids and metadata of their first chunk and the number of copies.
 
-    Copies meet on the map side first, so a content that makes up a third of all
-    chunks reaches the final task as one row per map task.
+    Contents meet by their hash, on the map side first, so a content that makes up
+    a third of all chunks reaches the final task as one row per map task. With
+    `into`, an earlier result, only contents new to their owner are given.
     """
-    return (
-        chunks.groupBy("uid", "content")
-        .agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("copies"))
-        .withColumn("fp", F.sha2("content", 256))
-    )
+    rest = ["content", *(c for c in ("metadata",) if c in chunks.columns)]
+    first = F.min_by(F.struct(*ids, *rest), F.struct(*ids))
+    out = chunks.groupBy("uid", F.sha2("content", 256).alias("fp")).agg(first.alias("first"), F.count("*").alias("copies"))
+    out = out.select("uid", "first.*", "copies", "fp")
+    return out if into is None else out.join(into.select("uid", "fp"), ["uid", "fp"], "left_anti").select(*out.columns)

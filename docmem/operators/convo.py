@@ -1,8 +1,9 @@
 """Conversations: messages, threads, contexts, tool calls, prompts.
 
-A thread is handled in *pages* of `PAGE` turn numbers. `(thread_id, turn)` is
-unique, so a page holds at most `PAGE` messages however long its thread is;
-the thread is its pages in order. Usual threads are one page.
+`assemble` and `export` give a thread in *pages* of `PAGE` turn numbers.
+`(thread_id, turn)` is unique, so a page holds at most `PAGE` messages however
+long its thread is; the thread is its pages in the order of `page`. Contexts and
+question-answer pairs are those of whole threads: pages only split the work.
 """
 
 from __future__ import annotations
@@ -66,17 +67,69 @@ def last_message(messages: DataFrame) -> DataFrame:
 
 
 def previous_context(messages: DataFrame, size: int = PAGE) -> DataFrame:
-    """Each message with the texts before it in its page: `(.., page, context)`.
+    """Each message with all texts before it in its thread, as `context`.
 
-    The full context of a message is the text of the earlier pages of its thread
-    followed by `context`; on page 0 `context` is all of it. (Repeating whole
-    threads in every row would square the size of a long thread.)
+    Texts are joined within a page first; the text of all earlier pages is made
+    once per page and joined to its messages.
     """
-    paged = messages.withColumn("page", page_of(size=size))
-    before = Window.partitionBy("thread_id", "page").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return paged.withColumn(
-        "context", F.array_join(F.collect_list("content").over(before), CONTEXT_SEPARATOR)
+    paged = messages.withColumn("_page", page_of(size=size))
+    inside = Window.partitionBy("thread_id", "_page").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    one = F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("turn", "content"))))
+    pages = paged.groupBy("thread_id", "_page").agg(F.transform(one, lambda m: m["content"]).alias("_texts"))
+    earlier = Window.partitionBy("thread_id").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.when(F.size("_texts") > 0, F.array_join("_texts", CONTEXT_SEPARATOR))
+    before = F.collect_list("_text").over(earlier)
+    pages = pages.select("thread_id", "_page", text.alias("_text")).withColumn(
+        "_before", F.when(F.size(before) > 0, F.array_join(before, CONTEXT_SEPARATOR))
     )
+    own = F.collect_list("content").over(inside)
+    return (
+        paged.withColumn("_own", F.when(F.size(own) > 0, F.array_join(own, CONTEXT_SEPARATOR)))
+        .join(pages.drop("_text"), ["thread_id", "_page"])
+        .withColumn("context", F.concat_ws(CONTEXT_SEPARATOR, "_before", "_own"))
+        .drop("_page", "_own", "_before")
+    )
+
+
+def numbered_by_role(messages: DataFrame, size: int = PAGE) -> DataFrame:
+    """Messages with `pos`, their number among those of the same role in the whole thread.
+
+    A message is numbered in its page; how many came in earlier pages is one row
+    per page and role.
+    """
+    paged = messages.withColumn("_page", page_of(size=size))
+    here = F.row_number().over(Window.partitionBy("thread_id", "role", "_page").orderBy("turn"))
+    earlier = Window.partitionBy("thread_id", "role").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        paged.groupBy("thread_id", "role", "_page")
+        .count()
+        .withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+        .drop("count")
+    )
+    return (
+        paged.withColumn("_here", here)
+        .join(counts, ["thread_id", "role", "_page"])
+        .withColumn("pos", F.col("_before") + F.col("_here") - 1)
+        .drop("_page", "_here", "_before")
+    )
+
+
+def qa_counts(messages: DataFrame) -> DataFrame:
+    """`(thread_id, n_questions, n_answers, ok)` of every thread: `ok` when there are as many answers as questions."""
+    return (
+        messages.groupBy("thread_id")
+        .agg(F.count_if(F.col("role") == "user").alias("n_questions"), F.count_if(F.col("role") == "assistant").alias("n_answers"))
+        .withColumn("ok", F.col("n_questions") == F.col("n_answers"))
+    )
+
+
+def qa_pairs(messages: DataFrame) -> DataFrame:
+    """`(thread_id, pos, question, answer)`: the n-th user turn with the n-th assistant turn, in threads that are `ok`."""
+    whole = messages.join(qa_counts(messages).where("ok").select("thread_id"), "thread_id", "left_semi")
+    turns = numbered_by_role(whole.where(F.col("role").isin("user", "assistant")))
+    asked = turns.where(F.col("role") == "user").select("thread_id", "pos", F.col("content").alias("question"))
+    told = turns.where(F.col("role") == "assistant").select("thread_id", "pos", F.col("content").alias("answer"))
+    return asked.join(told, ["thread_id", "pos"])
 
 
 def explode_calls(responses: DataFrame, keep: list[str]) -> DataFrame:

@@ -17,10 +17,10 @@ FACTS = (
     ("$.links", r"https?://[A-Za-z0-9./?=&#_%-]+", 0),
     ("$.phones", r"\+?[0-9]{3}[ -][0-9]{3}[ -][0-9]{3,4}", 0),
     ("$.dates", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0),
-    ("$.last_names", r"last name is ([A-Za-z]+)", 1),
-    ("$.places", r"lives in ([A-Za-z]+)", 1),
+    ("$.last_names", r"last name is (\pL[\pL-]*)", 1),
+    ("$.places", r"lives in (\pL[\pL-]*(?: \p{Lu}[\pL-]*)*)", 1),
     ("$.birthdays", r"birthday is ([A-Za-z0-9 ]+)", 1),
-    ("$.likes", r"likes ([A-Za-z]+)", 1),
+    ("$.likes", r"likes ([^.,;:!?\n]+)", 1),
 )
 
 
@@ -42,6 +42,21 @@ def extract_edits(texts: DataFrame) -> DataFrame:
     )
 
 
+def extract_log(texts: DataFrame) -> DataFrame:
+    """A log `(db_id, seq, path, data)` of the facts in `(db_id, seq, text)`, ready to be folded.
+
+    The facts of one path in one text are one list edit; edits of a text keep its
+    place in the order of `seq`.
+    """
+    number = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(FACTS) for x in (f[0], i)]), F.col("path"))
+    rows = texts.select(F.struct("db_id", "seq").alias("db_id"), "text")
+    facts = extract_edits(rows).groupBy("db_id", "path").agg(F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("f"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("f", lambda x: x["data"]), ","), F.lit("]"))
+    return facts.select(
+        "db_id.db_id", (F.col("db_id.seq") * len(FACTS) + number).alias("seq"), "path", listed.alias("data")
+    )
+
+
 def extract_with(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str
 ) -> DataFrame:

@@ -112,9 +112,13 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataF
     Levels close from the deepest up. Every level groups by `keys` plus the
     parent path on data already partitioned by `keys`, so one shuffle serves
     all of them. A step `[*]` closes as a one-element list (used for schemas).
-    Keys must bound the group: callers page large documents first.
+    Keys must bound the group: callers page large documents first. Paths deeper
+    than `max_depth` fail the job instead of giving a second document.
     """
-    out = df.select(*keys, steps_of("path").alias("_at"), "value").repartition(*keys)
+    steps = steps_of("path")
+    deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
+    steps = F.when(F.size(steps) > max_depth, deep.cast("array<string>")).otherwise(steps)
+    out = df.select(*keys, steps.alias("_at"), "value").repartition(*keys)
     for depth in range(max_depth, 0, -1):
         here = F.size("_at") == depth
         step = F.element_at("_at", -1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import json_type
-from docmem.functions.paths import any_index
+from docmem.functions.paths import any_index, steps_of
 from docmem.operators.leaves import MAX_DEPTH, explode_leaves, rebuild
 
 
@@ -22,32 +22,51 @@ def typed_paths(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
+def container_paths(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """`(db_id, path, jtype)` of the objects and lists above the leaves, each once per document."""
+    walked = explode_leaves(docs.select("db_id", "doc"), max_depth=max_depth).select("db_id", steps_of("path").alias("s"))
+    above = F.transform(
+        F.sequence(F.lit(1), F.size("s") - 1),
+        lambda i: F.struct(
+            F.concat(F.lit("$"), F.array_join(F.slice("s", F.lit(1), i), "")).alias("path"),
+            F.when(F.element_at("s", i + 1).rlike(r"^\[\d"), "array").otherwise("object").alias("jtype"),
+        ),
+    )
+    rows = walked.where(F.size("s") > 1).select("db_id", F.explode(above).alias("c"))
+    return rows.select("db_id", any_index("c.path").alias("path"), "c.jtype").distinct()
+
+
 def _merge_types(types: Column) -> Column:
     """A set of type names in order; integers and numbers together are numbers."""
     both = F.array_contains(types, "integer") & F.array_contains(types, "number")
     return F.array_sort(F.when(both, F.array_remove(types, "integer")).otherwise(types))
 
 
-def profile(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """`(path, n, types)` over all documents.
+def profile(docs: DataFrame, max_depth: int = MAX_DEPTH, by: tuple[str, ...] = (), containers: bool = False) -> DataFrame:
+    """`(by, path, n, types)` over all documents, or per owner with `by=("db_id",)`.
 
     Counts per `(path, type)` combine on the map side, so what is shuffled grows
-    with the number of distinct paths and not with the documents.
+    with the number of distinct paths and not with the documents. With `containers`,
+    paths of objects and lists are told as well, counted once per document.
     """
-    counts = typed_paths(docs, max_depth).groupBy("path", "jtype").agg(F.count("*").alias("n"))
-    return merge_profiles(counts)
+    rows = typed_paths(docs, max_depth)
+    if containers:
+        rows = rows.unionByName(container_paths(docs, max_depth))
+    counts = rows.groupBy(*by, "path", "jtype").agg(F.count("*").alias("n"))
+    return merge_profiles(counts, by)
 
 
-def merge_profiles(counts: DataFrame) -> DataFrame:
-    """Profiles from `(path, jtype, n)` rows; those of batches can be added up."""
-    return counts.groupBy("path").agg(
+def merge_profiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Profiles from `(by, path, jtype, n)` rows; those of batches can be added up."""
+    return counts.groupBy(*by, "path").agg(
         F.sum("n").alias("n"), _merge_types(F.collect_set("jtype")).alias("types")
     )
 
 
 def presence(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Share of documents that have each path; nothing is ever *required*."""
-    per_doc = typed_paths(docs, max_depth).select("db_id", "path").distinct()
+    rows = typed_paths(docs, max_depth).unionByName(container_paths(docs, max_depth))
+    per_doc = rows.select("db_id", "path").distinct()
     total = docs.agg(F.count("*")).scalar()
     return (
         per_doc.groupBy("path").agg(F.count("*").alias("n")).withColumn("ratio", F.col("n") / total)
@@ -71,7 +90,10 @@ def compress(prof: DataFrame, by: tuple[str, ...] = (), max_depth: int = MAX_DEP
 
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Paths added, removed or retyped from one profile to another."""
+    """Paths added, removed or retyped from one profile to another.
+
+    Profiles with containers show a scalar that became an object as retyped.
+    """
     a = before.select("path", F.array_join("types", "|").alias("old_types"))
     b = after.select("path", F.array_join("types", "|").alias("new_types"))
     change = (
@@ -83,12 +105,14 @@ def drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def conflicts(prof: DataFrame) -> DataFrame:
-    """Paths that hold values of several types; they stay VARIANT."""
+    """Paths that hold values of several types, containers included if the profile has them; they stay VARIANT."""
     return prof.where(F.size("types") > 1)
 
 
 def with_descriptions(prof: DataFrame, descriptions: DataFrame) -> DataFrame:
-    return prof.join(descriptions.select("path", "description"), "path", "left")
+    """Descriptions by path, and by owner where the profile is by owner."""
+    keys = [c for c in ("db_id", "path") if c in prof.columns]
+    return prof.join(descriptions.select(*keys, "description"), keys, "left")
 
 
 def first_doc(docs: DataFrame, by: str, order: str) -> DataFrame:

@@ -9,6 +9,9 @@ from docmem.functions.paths import steps_of
 from docmem.operators.leaves import MAX_DEPTH, leaves
 
 
+SYSTEM = ("sqlite_", "system.")
+
+
 def insert_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
     """Add rows that fit the table, by column name."""
     return table.unionByName(rows.select(*table.columns))
@@ -19,13 +22,19 @@ def widen(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 
 
-def patch_rows(table: DataFrame, patches: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+def patch_rows(
+    table: DataFrame, patches: DataFrame, key: str, fields: dict[str, Column], order: str | None = None
+) -> DataFrame:
     """Partial update by key: `fields` name the columns to set, each with the
     condition (over the patch, as `p.<column>`) under which it is set. A set
     field may become NULL; fields that are not set keep their value.
 
-    `patches` must have one row per key.
+    Of several patches of a key the latest by `order` counts, without an order the
+    largest row.
     """
+    row = F.struct(*[F.col(c) for c in patches.columns])
+    latest = F.max(row) if order is None else F.max_by(row, order)
+    patches = patches.groupBy(key).agg(latest.alias("_row")).select("_row.*")
     b, p = table.alias("b"), patches.withColumn("_hit", F.lit(True)).alias("p")
     joined = b.join(p, F.col(f"b.{key}") == F.col(f"p.{key}"), "left")
     hit = F.coalesce(F.col("p._hit"), F.lit(False))
@@ -95,10 +104,15 @@ def row_text(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
+def user_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Without the system's own tables, whose names start with `sqlite_` or `system.`."""
+    return {k: v for k, v in tables.items() if not k.lower().startswith(SYSTEM)}
+
+
 def dump(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every row of every table as `(table_name, row)` with JSON text rows."""
+    """Every row of every user table as `(table_name, row)` with JSON text rows."""
     out: DataFrame | None = None
-    for name, df in tables.items():
+    for name, df in user_tables(tables).items():
         part = df.select(F.lit(name).alias("table_name"), row_text(df).alias("row"))
         out = part if out is None else out.unionAll(part)
     if out is None:
@@ -112,7 +126,7 @@ def listing(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
     `filled` counts the values that are not NULL, all columns in one pass.
     """
     out: DataFrame | None = None
-    for name, df in tables.items():
+    for name, df in user_tables(tables).items():
         counted = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
         rows = F.array(
             *[

@@ -5,49 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmem.operators import chunks as ck
-from docmem.operators import convo, validate, vectors
+from docmem.operators import convo, vectors
 from docmem.plans import query
 from docmem.sources import testdata as td
 
-# DuckDB: questions and answers of a conversation page in order.
-_QA = """(SELECT conv_id, turn // 256 AS page, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS question,
+# DuckDB: questions and answers of a whole conversation in order.
+_QA = """(SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS question,
 list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS answers FROM conversations GROUP BY ALL)"""
 
 
-def _qa_sets(spark, sf):
-    """User turns as questions, assistant turns as answers, per conversation page."""
-    messages = convo.assemble(td.said(spark, sf))
-
-    def texts(role):
-        return F.transform(F.filter("messages", lambda m: m["role"] == role), lambda m: m["content"])
-
-    return messages.select(
-        F.col("thread_id").alias("conv_id"), "page", texts("user").alias("question"), texts("assistant").alias("answers")
-    )
-
-
 @query(
     "qa_length_check",
-    f"""SELECT conv_id, page, len(coalesce(question, [])) AS n_questions, len(coalesce(answers, [])) AS n_answers,
+    f"""SELECT conv_id, len(coalesce(question, [])) AS n_questions, len(coalesce(answers, [])) AS n_answers,
 len(coalesce(question, [])) = len(coalesce(answers, [])) AS ok FROM {_QA}""",
 )
 def qa_length_check(spark, sf):
-    checked = validate.check_qa(_qa_sets(spark, sf))
-    return checked.select(
-        "conv_id", "page", F.size("question").alias("n_questions"), F.size("answers").alias("n_answers"), "ok"
-    )
+    return convo.qa_counts(td.said(spark, sf)).withColumnRenamed("thread_id", "conv_id")
 
 
 @query(
     "qa_chunks",
-    f"""SELECT conv_id, page, generate_subscripts(question, 1) - 1 AS pos, unnest(question) || chr(10) || unnest(answers) AS content
+    f"""SELECT conv_id, generate_subscripts(question, 1) - 1 AS pos, unnest(question) || chr(10) || unnest(answers) AS content
 FROM {_QA} WHERE len(question) = len(answers)""",
 )
 def qa_chunks(spark, sf):
-    return ck.qa_chunks(validate.check_qa(_qa_sets(spark, sf)).where("ok"), ["conv_id", "page"])
+    pairs = convo.qa_pairs(td.said(spark, sf))
+    return pairs.select(F.col("thread_id").alias("conv_id"), "pos", F.concat_ws("\n", "question", "answer").alias("content"))
 
 
-_LINES = """(SELECT source AS uid, lang, doc_id * 1048576 + n - 1 AS chunk_id, content FROM
+_LINES = """(SELECT source AS uid, lang, doc_id AS text_id, n - 1 AS line, content FROM
 (SELECT source, lang, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n,
 unnest(string_split(text, chr(10))) AS content FROM documents) WHERE trim(content, ' ') <> '')"""
 
@@ -57,7 +43,7 @@ def _lines(spark, sf):
     return ck.sentence_chunks(docs.select(F.col("source").alias("uid"), F.col("doc_id").alias("text_id"), "text"))
 
 
-@query("sentence_chunks", f"SELECT uid, chunk_id, content FROM {_LINES}")
+@query("sentence_chunks", f"SELECT uid, text_id, line, content FROM {_LINES}")
 def sentence_chunks(spark, sf):
     return _lines(spark, sf)
 
@@ -79,11 +65,14 @@ def chunk_metadata(spark, sf):
 
 @query(
     "ingest_chunks",
-    f"""SELECT uid, content, min(chunk_id) AS chunk_id, count(*) AS copies, sha256(content) AS fp
-FROM {_LINES} GROUP BY uid, content""",
+    f"""SELECT uid, content, text_id, arg_min(line, (text_id, line)) AS line, copies, fp, 'lines' AS kind FROM
+(SELECT uid, content, line, text_id, count(*) OVER (PARTITION BY uid, content) AS copies, sha256(content) AS fp,
+min(text_id) OVER (PARTITION BY uid, content) AS least FROM {_LINES}) WHERE text_id = least GROUP BY uid, content, text_id, copies, fp""",
 )
 def ingest_chunks(spark, sf):
-    return ck.ingest(_lines(spark, sf))
+    stamped = ck.stamp(_lines(spark, sf).withColumn("kind", F.lit("lines")), kind="kind")
+    out = ck.ingest(stamped, ("text_id", "line"))
+    return out.withColumn("kind", F.col("metadata")["kind"]).drop("metadata")
 
 
 @query("tenant_filter", "SELECT doc_id, source AS uid, text FROM documents WHERE source = 'src7'")

@@ -205,7 +205,7 @@ def path_slice(spark, sf):
 UNION ALL SELECT doc_id, '$.lines[' || (n - 1) || '].chars', length(text) FROM {LINES}""",
 )
 def path_descendants(spark, sf):
-    rows = reads.descendants(lv.explode_leaves(td.text_docs(spark, sf), max_depth=3), "chars")
+    rows = reads.descendants(td.text_docs(spark, sf), "chars", max_depth=3)
     return rows.select(
         F.col("db_id").alias("doc_id"), "path", F.variant_get("v", "$", "bigint").alias("value")
     )

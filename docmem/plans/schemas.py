@@ -64,41 +64,46 @@ def schema_field_presence(spark, sf):
 @query(
     "schema_drift",
     """SELECT path, old_types, new_types, change FROM (VALUES
-('$.nation', 'integer', 'string', 'retyped'), ('$.market.segment', 'string', NULL, 'removed'),
+('$.nation', 'integer', 'string', 'retyped'), ('$.market.segment', 'string', NULL, 'removed'), ('$.market', 'object', NULL, 'removed'),
 ('$.supplier', NULL, 'boolean', 'added')) t(path, old_types, new_types, change)""",
 )
 def schema_drift(spark, sf):
     return schema.drift(
-        schema.profile(td.customer_docs(spark, sf), max_depth=3), schema.profile(td.supplier_docs(spark, sf), max_depth=3)
+        schema.profile(td.customer_docs(spark, sf), max_depth=3, containers=True),
+        schema.profile(td.supplier_docs(spark, sf), max_depth=3, containers=True),
     )
 
 
 @query(
     "schema_conflicts",
     """SELECT '$.nation' AS path, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n,
-'integer|string' AS types""",
+'integer|string' AS types UNION ALL
+SELECT '$.market', (SELECT count(*) FROM customer) + (SELECT count(*) FROM part), 'integer|object'""",
 )
 def schema_conflicts(spark, sf):
-    both = td.customer_docs(spark, sf).unionByName(td.supplier_docs(spark, sf))
-    return schema.conflicts(schema.profile(both, max_depth=3)).withColumn("types", F.array_join("types", "|"))
+    sizes = td.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("db_id"), F.to_variant_object(F.struct(F.col("p_size").alias("market"))).alias("doc")
+    )
+    both = td.customer_docs(spark, sf).unionByName(td.supplier_docs(spark, sf)).unionByName(sizes)
+    return schema.conflicts(schema.profile(both, max_depth=3, containers=True)).withColumn("types", F.array_join("types", "|"))
 
 
 @query(
     "schema_with_descriptions",
-    """SELECT path, n, types, description FROM (SELECT * FROM (VALUES ('$.name', 'string'), ('$.nation', 'integer'),
-('$.balance', 'number'), ('$.market.segment', 'string')) t(path, types), (SELECT count(*) AS n FROM customer))
-LEFT JOIN (SELECT '$.' || key AS path, max(key || ' in ' || r_name) AS description
-FROM region, (VALUES ('name'), ('nation')) k(key) GROUP BY key) USING (path)""",
+    """SELECT c_custkey AS db_id, path, 1 AS n, types, description FROM (VALUES ('$.name', 'string'), ('$.nation', 'integer'),
+('$.balance', 'number'), ('$.market.segment', 'string')) t(path, types), customer
+LEFT JOIN (SELECT r_regionkey AS owner, '$.' || key AS key, key || ' in ' || r_name AS description
+FROM region, (VALUES ('name'), ('nation')) k(key)) ON owner = c_custkey AND key = path""",
 )
 def schema_with_descriptions(spark, sf):
-    prof = schema.profile(td.customer_docs(spark, sf), max_depth=3).withColumn("types", F.array_join("types", "|"))
+    prof = schema.profile(td.customer_docs(spark, sf), max_depth=3, by=("db_id",)).withColumn("types", F.array_join("types", "|"))
     notes = td.table(spark, sf, "region").select(
         F.col("r_regionkey").alias("seq"),
         F.explode(F.array(F.lit("name"), F.lit("nation"))).alias("key"),
         F.col("r_name"),
     )
     descriptions = notes.select(
-        F.lit("customer").alias("db_id"),
+        F.col("seq").alias("db_id"),
         "seq",
         F.concat(F.lit("$."), "key").alias("path"),
         F.concat("key", F.lit(" in "), "r_name").alias("description"),

@@ -106,8 +106,8 @@ def blob_upsert_latest(spark, sf):
 
 @query(
     "docs_create",
-    """SELECT md5('users/' || c_name) AS uid, NULL AS id, c_name AS name FROM customer
-UNION ALL SELECT NULL, md5('shops/' || s_name), s_name FROM supplier""",
+    """SELECT md5(to_json(['users', c_name])::VARCHAR) AS uid, NULL AS id, c_name AS name FROM customer
+UNION ALL SELECT NULL, md5(to_json(['shops', s_name])::VARCHAR), s_name FROM supplier""",
 )
 def docs_create(spark, sf):
     users = keyed.create(td.table(spark, sf, "customer").select(F.col("c_name").alias("name")), "users", "name")

@@ -70,12 +70,12 @@ def last_message(spark, sf):
 
 @query(
     "previous_context",
-    r"""SELECT conv_id AS thread_id, turn, turn // 256 AS page, coalesce(string_agg(text, chr(10) || '  ')
-OVER (PARTITION BY conv_id, turn // 256 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
+    r"""SELECT conv_id AS thread_id, turn, coalesce(string_agg(text, chr(10) || '  ')
+OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context
 FROM conversations""",
 )
 def previous_context(spark, sf):
-    return convo.previous_context(td.said(spark, sf)).select("thread_id", "turn", "page", "context")
+    return convo.previous_context(td.said(spark, sf)).select("thread_id", "turn", "context")
 
 
 @query(
@@ -137,7 +137,7 @@ PROMPT = "SCHEMA:\n{schema}\nPREVIOUS USER REQUESTS:\n{context}\nREQUEST:\n{requ
     "prompt_table",
     """SELECT conv_id AS thread_id, turn, 'SCHEMA:' || chr(10) || '{"k":"integer"}' || chr(10) ||
 'PREVIOUS USER REQUESTS:' || chr(10) || coalesce(string_agg(text, chr(10) || '  ')
-OVER (PARTITION BY conv_id, turn // 256 ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ||
+OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ||
 chr(10) || 'REQUEST:' || chr(10) || text AS prompt FROM conversations WHERE role = 'user'""",
 )
 def prompt_table(spark, sf):

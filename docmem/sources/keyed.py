@@ -17,7 +17,7 @@ def get_blob(blobs: DataFrame, uid: object, path: str) -> DataFrame:
 
 def new_id(collection: Column, *parts: Column) -> Column:
     """A repeatable id from the record's own values, so that a retry makes no second one."""
-    return F.md5(F.concat_ws("/", collection, *[p.cast("string") for p in parts]))
+    return F.md5(F.to_json(F.array(collection, *[p.cast("string") for p in parts])))
 
 
 def create(records: DataFrame, collection: str, *identity: str) -> DataFrame:

@@ -117,10 +117,9 @@ def test_threads_in_pages(spark):
     df = convo.with_visibility(spark.createDataFrame(rows, "thread_id int, turn bigint, role string, content string"))
     threads = convo.export(convo.assemble(df, size=4)).sort("page").collect()
     assert [[m.content for m in t.messages] for t in threads] == [["m0", "m1", "m2"], ["m4", "m5", "m6"], ["m8", "m9"]]
-    before = {r.turn: (r.page, r.context) for r in convo.previous_context(df, size=4).collect()}
-    assert before[0] == (0, "") and before[3] == (0, "m0\n  m1\n  m2") and before[4] == (1, "")
-    whole = {r.turn: r.context for r in convo.previous_context(df).collect()}
-    assert whole[9] == "\n  ".join(f"m{t}" for t in range(9))
+    for size in (4, 256):
+        before = {r.turn: r.context for r in convo.previous_context(df, size=size).collect()}
+        assert before == {t: "\n  ".join(f"m{i}" for i in range(t)) for t in range(10)}
     assert convo.last_message(df).first().content == "m9"
     seeded = convo.seed_system_turn(df, "be kind").where("role = 'system'").collect()
     assert [(r.thread_id, r.turn, r.content) for r in seeded] == [(1, -1, "be kind")]
@@ -141,7 +140,12 @@ def test_chunks(spark):
     sets = spark.createDataFrame([(1, ["q1", "q2"], ["a1", "a2"]), (2, [], [])], "i int, question array<string>, answers array<string>")
     assert [r.content for r in chunks.qa_chunks(sets, ["i"]).sort("pos").collect()] == ["q1\na1", "q2\na2"]
     texts = spark.createDataFrame([("u", 1, "a\n \nb"), ("u", 2, "a"), ("v", 3, "a")], "uid string, text_id bigint, text string")
-    stored = chunks.ingest(chunks.sentence_chunks(texts)).collect()
+    ids = ("text_id", "line")
+    kept = chunks.ingest(chunks.stamp(chunks.sentence_chunks(texts)), ids)
+    stored = kept.collect()
+    assert all(r.metadata["uid"] == r.uid for r in stored)
+    later = chunks.sentence_chunks(texts.unionAll(spark.createDataFrame([("v", 4, "b")], texts.schema)))
+    assert [(r.uid, r.content) for r in chunks.ingest(chunks.stamp(later), ids, into=kept).collect()] == [("v", "b")]
     assert sorted((r.uid, r.content, r.copies) for r in stored) == [("u", "a", 2), ("u", "b", 1), ("v", "a", 1)]
 
 
