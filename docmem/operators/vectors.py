@@ -10,16 +10,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-GROUP_ROWS = 50_000
+GROUP_ROWS = 16_384
+GROUP_BYTES = 32 << 20  # of vectors on either side of a grid cell
+TILE = 2048  # candidates and queries scored at once: 32 MB of scores
 DIGITS = 6
 
 
+def _is_usable(dims: int) -> Column:
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce(F.col("vector").isNotNull() & (F.size("vector") == dims) & finite, F.lit(False))
+
+
+def unusable(df: DataFrame, dims: int) -> DataFrame:
+    """Rows that no search can use: NULL vectors, NULL or non-finite components, another length than `dims`."""
+    return df.where(~_is_usable(dims))
+
+
 def _matrix(vectors) -> np.ndarray:
     """Rows of unit length; a zero vector scores 0 with everything."""
     m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -45,13 +57,21 @@ class _Best:
         self.top: list = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
 
     def add(self, ids: np.ndarray, vectors) -> None:
-        scores = np.round(_matrix(vectors) @ self.matrix.T, DIGITS)
-        for i in range(len(self.query_ids)):
-            old_scores, old_ids = self.top[i]
+        rows = _matrix(vectors)
+        for r in range(0, len(rows), TILE):
+            for c in range(0, len(self.query_ids), TILE):
+                scores = rows[r : r + TILE] @ self.matrix[c : c + TILE].T
+                self._merge(ids[r : r + TILE], np.round(scores, DIGITS, out=scores), c)
+
+    def _merge(self, ids: np.ndarray, scores: np.ndarray, first: int) -> None:
+        # only queries for which the tile holds something as good as their worst so far
+        worst = np.array([s[-1] if len(s) == self.k else -np.inf for s, _ in self.top[first : first + scores.shape[1]]])
+        for i in np.flatnonzero(scores.max(axis=0) >= worst):
+            old_scores, old_ids = self.top[first + i]
             s = np.concatenate([old_scores, scores[:, i]])
             d = np.concatenate([old_ids, ids])
             at = _best(s, d, self.k)
-            self.top[i] = (s[at], d[at])
+            self.top[first + i] = (s[at], d[at])
 
     def frame(self, tenant) -> pd.DataFrame:
         n = [len(d) for _, d in self.top]
@@ -98,13 +118,16 @@ def _scan(candidates: DataFrame, queries: pd.DataFrame, k: int, schema: T.Struct
 def _grid(candidates: DataFrame, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
     """For query sets too large to send around: per tenant a grid of bounded cells.
 
-    Candidates fall into row groups and queries into column groups, both about
-    `GROUP_ROWS` large by the tenant's own counts; each side is repeated once
-    per group of the other side, and a cell scores its two groups.
+    Candidates fall into row groups and queries into column groups, both of at most
+    about `GROUP_ROWS` rows and `GROUP_BYTES` by the tenant's own counts; each side
+    is repeated once per group of the other side, and a cell scores its two groups
+    tile by tile. A task holds both groups (as rows and as matrices, some four times
+    `GROUP_BYTES`) and one tile of scores.
     """
 
     def groups(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("uid").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(name))
+        parts = F.greatest(F.count("*") / GROUP_ROWS, F.sum(F.size("vector")) * 8 / GROUP_BYTES)
+        return df.groupBy("uid").agg(F.ceil(parts).cast("int").alias(name))
 
     sizes = groups(candidates, "n_rows").join(groups(queries, "n_cols"), "uid")
 
@@ -124,8 +147,8 @@ def _grid(candidates: DataFrame, queries: DataFrame, k: int, schema: T.StructTyp
         if c.empty or q.empty:
             return pd.DataFrame({"uid": [], "query_id": [], "vec_id": [], "score": []})
         best = _Best(q["query_id"].to_numpy(), _matrix(q["vector"]), k)
-        for start in range(0, len(c), 4096):
-            part = c.iloc[start : start + 4096]
+        for start in range(0, len(c), TILE):
+            part = c.iloc[start : start + TILE]
             best.add(part["vec_id"].to_numpy(), part["vector"])
         return best.frame(c["uid"].iloc[0])
 
@@ -139,9 +162,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     `candidates(uid, vec_id, vector)` and `queries(uid, query_id, vector)` meet
     within a tenant. Scores are rounded so that ties break by id alike on every
     layout of the data. Query sets of a checked size are sent to the tasks and
-    the candidates are read once in place; larger sets go through a grid.
+    the candidates are read once in place; larger sets go through a grid. Rows of
+    `unusable` (for the length of the query vectors) take no part.
     """
     schema = _schema(candidates, queries)
+    dims = queries.agg(F.max(F.size("vector"))).first()[0] or 0
+    candidates, queries = candidates.where(_is_usable(dims)), queries.where(_is_usable(dims))
     head = queries.select("uid", "query_id", "vector").limit(MAX_BROADCAST_QUERIES + 1).toPandas()
     floats = sum(len(v) for v in head["vector"])
     if len(head) <= MAX_BROADCAST_QUERIES and floats * 8 <= MAX_BROADCAST_BYTES:

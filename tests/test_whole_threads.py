@@ -84,3 +84,13 @@ def test_small_mends(spark):
     got = {r.path: r.data for r in log.collect()}
     assert got["$.places"] == '["San Francisco"]' and got["$.last_names"] == '["Moko\u0161"]' and got["$.likes"] == '["ice cream"]'
     assert log.select("db_id", "seq").distinct().count() == log.count()
+
+
+def test_bad_vectors_are_set_aside(spark):
+    from docmem.operators import vectors
+
+    rows = [(0, 1, [1.0, 0.0]), (0, 2, None), (0, 3, [1.0]), (0, 4, [float("nan"), 1.0]), (0, 5, [1.0, None]), (0, 6, [0.6, 0.8])]
+    c = spark.createDataFrame(rows, "uid int, vec_id bigint, vector array<double>")
+    q = spark.createDataFrame([(0, 9, [1.0, 0.0]), (0, 10, None)], "uid int, query_id bigint, vector array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in vectors.top_k(c, q, 3).sort("rank").collect()] == [(9, 1, 1.0), (9, 6, 0.6)]
+    assert {r.vec_id for r in vectors.unusable(c, 2).collect()} == {2, 3, 4, 5}
