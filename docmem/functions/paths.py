@@ -252,6 +252,11 @@ def normalise_quotes(path: Col) -> Column:
     return F.regexp_replace(keys, r"(=~?\s*)'([^']*)'", '$1"$2"')
 
 
+def one_form(path: Col) -> Column:
+    """Quoted keys that are plain names without quotes, as the walk writes them."""
+    return F.regexp_replace(col(path), r'\["([A-Za-z_][A-Za-z0-9_-]*)"\]', ".$1")
+
+
 def any_index(path: Col) -> Column:
     """List positions as `[*]`, so that all elements share one path."""
     return F.regexp_replace(col(path), r"\[\d+\]", "[*]")

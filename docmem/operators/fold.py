@@ -317,9 +317,10 @@ def pages(folded: DataFrame, size: int = PAGE) -> DataFrame:
     A page holds at most `size` elements; the list is its pages in order. Most
     lists are one page, a huge one never has to fit into one row.
     """
-    page = F.floor(F.coalesce(F.col("pos"), F.lit(0)) / size)
+    placeless = F.raise_error(F.lit("list elements without positions: fold with positions=True")).cast("bigint")
+    page = F.floor(F.when(F.col("pos").isNull(), placeless).otherwise(F.col("pos")) / size)
     lists = (
-        folded.where(F.col("pos").isNotNull())
+        folded.where(F.col("in_list"))
         .groupBy(*KEY, page.alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("e"))
         .select(
@@ -330,7 +331,7 @@ def pages(folded: DataFrame, size: int = PAGE) -> DataFrame:
             ),
         )
     )
-    plain = folded.where(F.col("pos").isNull()).select(*KEY, F.lit(0).cast("bigint").alias("page"), "value")
+    plain = folded.where(~F.col("in_list")).select(*KEY, F.lit(0).cast("bigint").alias("page"), "value")
     return lists.unionByName(plain)
 
 

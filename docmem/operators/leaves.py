@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmem.functions.jsontext import Col, col, json_type
+from docmem.functions.jsontext import Col, col, json_type, quote
 from docmem.functions.paths import key_step, steps_of
 
 MAX_DEPTH = 8
@@ -101,20 +101,36 @@ def leaves(df: DataFrame, doc: str = "doc", **options) -> DataFrame:
 
 
 def _key_of(step: Column) -> Column:
-    return F.when(
-        step.startswith("."), F.concat(F.lit('"'), F.substring(step, 2, 1 << 30), F.lit('"'))
-    ).otherwise(step.substr(F.lit(2), F.length(step) - 2))
+    """The key of a step as a JSON string."""
+    inner = step.substr(F.lit(3), F.length(step) - 4)
+    raw = F.regexp_replace(inner, r"\\(.)", "$1")
+    return quote(F.when(step.startswith("."), F.substring(step, 2, 1 << 30)).otherwise(raw))
 
 
-def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH, alternatives: bool = False) -> DataFrame:
     """Inverse of the leaf walk: rows `(keys, path, value)` to `(keys, doc)`.
 
     Levels close from the deepest up. Every level groups by `keys` plus the
     parent path on data already partitioned by `keys`, so one shuffle serves
     all of them. A step `[*]` closes as a one-element list (used for schemas).
     Keys must bound the group: callers page large documents first. Paths deeper
-    than `max_depth` fail the job instead of giving a second document.
+    than `max_depth` fail the job instead of giving a second document, and so does
+    a place with a value of its own and children; with `alternatives` (schemas)
+    it closes as a list of both.
     """
+    # an empty object above its fields is those fields
+    kept_own = F.when((F.col("_own") != "{}") | (F.size("_fields") == 0), F.col("_own"))
+    both = (F.size("_fields") > 0).cast("int") + F.col("_item").isNotNull().cast("int") + kept_own.isNotNull().cast("int")
+    fields = F.when(
+        F.size("_fields") > 0, F.concat(F.lit("{"), F.array_join(F.array_sort("_fields"), ","), F.lit("}"))
+    )
+    item = F.concat(F.lit("["), "_item", F.lit("]"))
+    if alternatives:
+        own = F.regexp_replace(kept_own, r"^\[(.*)\]$", "$1")
+        clash = F.concat(F.lit("["), F.concat_ws(",", own, fields, item), F.lit("]"))
+    else:
+        clash = F.raise_error(F.concat(F.lit("a value and children at the same place below "), F.to_json("_at"))).cast("string")
+
     steps = steps_of("path")
     deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
     steps = F.when(F.size(steps) > max_depth, deep.cast("array<string>")).otherwise(steps)
@@ -139,13 +155,7 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH) -> DataF
             .select(
                 *keys,
                 "_at",
-                F.when(
-                    F.size("_fields") > 0,
-                    F.concat(F.lit("{"), F.array_join(F.array_sort("_fields"), ","), F.lit("}")),
-                )
-                .when(F.col("_item").isNotNull(), F.concat(F.lit("["), "_item", F.lit("]")))
-                .otherwise(F.col("_own"))
-                .alias("value"),
+                F.when(both > 1, clash).otherwise(F.coalesce(fields, item, F.col("_own"))).alias("value"),
             )
         )
     return out.select(*keys, F.col("value").alias("doc"))

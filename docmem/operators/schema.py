@@ -81,11 +81,11 @@ def compress(prof: DataFrame, by: tuple[str, ...] = (), max_depth: int = MAX_DEP
     """
     keys = list(by) or ["_all"]
     rows = prof if by else prof.withColumn("_all", F.lit(0))
-    # a path that is sometimes a leaf and sometimes a container shows as the container
+    # a path that is sometimes a leaf and sometimes a container shows both
     value = F.when(
         F.size("types") == 1, F.concat(F.lit('"'), F.element_at("types", 1), F.lit('"'))
     ).otherwise(F.to_json("types"))
-    out = rebuild(rows.select(*keys, "path", value.alias("value")), keys, max_depth)
+    out = rebuild(rows.select(*keys, "path", value.alias("value")), keys, max_depth, alternatives=True)
     return out.select(*by, F.col("doc").alias("schema"))
 
 

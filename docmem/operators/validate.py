@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import is_json
-from docmem.functions.paths import ELEMENT_PATH, READ_PATH, STATIC_PATH, normalise_quotes
+from docmem.functions.paths import ELEMENT_PATH, READ_PATH, STATIC_PATH, normalise_quotes, one_form
 
 
 def edit_fault(path: Column, data: Column) -> Column:
@@ -16,8 +16,8 @@ def edit_fault(path: Column, data: Column) -> Column:
 
 
 def check_edits(edits: DataFrame) -> DataFrame:
-    """Edits with normalised path quotes and a `fault` column."""
-    clean = edits.withColumn("path", normalise_quotes("path"))
+    """Edits with paths in one form (`$['a']` is `$.a`) and a `fault` column."""
+    clean = edits.withColumn("path", one_form(normalise_quotes("path")))
     return clean.withColumn("fault", edit_fault(F.col("path"), F.col("data")))
 
 

@@ -94,3 +94,30 @@ def test_bad_vectors_are_set_aside(spark):
     q = spark.createDataFrame([(0, 9, [1.0, 0.0]), (0, 10, None)], "uid int, query_id bigint, vector array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in vectors.top_k(c, q, 3).sort("rank").collect()] == [(9, 1, 1.0), (9, 6, 0.6)]
     assert {r.vec_id for r in vectors.unusable(c, 2).collect()} == {2, 3, 4, 5}
+
+
+def test_no_value_is_lost_in_a_rebuild(spark):
+    clash = spark.createDataFrame([(1, "$.a", "1"), (1, "$.a.b", "2")], "db_id int, path string, value string")
+    with pytest.raises(PySparkException):
+        leaves.rebuild(clash, ["db_id"]).collect()
+    edits = spark.createDataFrame([(1, 1, "$.a", "[1,2,3]")], "db_id int, seq bigint, path string, data string")
+    with pytest.raises(PySparkException):
+        fold.documents(fold.fold(edits, positions=False)).collect()
+    assert [r.doc for r in fold.documents(fold.fold(edits)).collect()] == ['{"a":[1,2,3]}']
+    docs = spark.sql("""SELECT 1 AS db_id, parse_json('{"a\\\\nb":{"q\\\\"z":1}}') AS doc""")
+    rows = leaves.leaves(docs).select("db_id", "path", "value")
+    assert [r.doc for r in leaves.rebuild(rows, ["db_id"]).collect()] == ['{"a\\nb":{"q\\"z":1}}']
+
+
+def test_spellings_of_a_path_are_one_path(spark):
+    from docmem.operators import validate
+
+    rows = [(1, 1, "$.a", "1"), (1, 2, "$['a']", "2"), (1, 3, '$["a"]', "3"), (1, 4, "$['a b']", "4")]
+    checked = validate.check_edits(spark.createDataFrame(rows, "db_id int, seq bigint, path string, data string"))
+    assert [r.path for r in checked.sort("seq").collect()] == ["$.a", "$.a", "$.a", '$["a b"]']
+
+
+def test_compressed_schema_keeps_alternatives(spark):
+    docs = spark.sql("""SELECT 1 AS db_id, parse_json('{"u":"x","l":[1]}') AS doc
+    UNION ALL SELECT 2, parse_json('{"u":{"a":1},"l":[{"b":2}]}')""")
+    assert schema.compress(schema.profile(docs)).first().schema == '{"l":[["integer",{"b":"integer"}]],"u":["string",{"a":"integer"}]}'
