@@ -38,9 +38,11 @@ from .text import lower_words
 
 WORDS = 5
 PER_CENT = 80
-PIVOTS = 16
+PIVOTS = 1024  # of a part and round, at most
+PIVOT_SHINGLES = 1 << 20  # of these together, beyond the first 16
 SLOT_BYTES = 8 << 20
 SAMPLE = np.uint64(2)  # one of so many shingles by hash is sent to find lone ones
+KEPT = 300_000  # word hashes a task remembers
 SENT = 1_000_000  # numbers that are broadcast at most
 
 
@@ -76,7 +78,7 @@ def facts(docs: DataFrame) -> DataFrame:
     def run(batches):
         table = WordHash()
         for b in batches:
-            if len(table) > 1_000_000:
+            if len(table) > KEPT:
                 table.clear()
             n, key = [], []
             for text in b.column("text").to_pylist():
@@ -104,7 +106,7 @@ def lone_counts(docs: DataFrame, total: int) -> DataFrame:
     def cut(batches):
         table = WordHash()
         for b in batches:
-            if len(table) > 1_000_000:
+            if len(table) > KEPT:
                 table.clear()
             done: set[bytes] = set()
             keys, sizes, values = [], [], []
@@ -270,7 +272,7 @@ def links(points: DataFrame) -> DataFrame:
     placed = tables.written(points.join(weight, "part").withColumn("slot", slot).drop("slots"))
     # region -1 is the whole part, before there are pivots
     state = tables.written(
-        placed.select("part", "cls", F.col("cls").alias("comp"), F.lit(False).alias("was_pivot"), F.lit(-1).cast("bigint").alias("region"), F.lit(1.0).alias("d"))
+        placed.select("part", "cls", "n", F.col("cls").alias("comp"), F.lit(False).alias("was_pivot"), F.lit(-1).cast("bigint").alias("region"), F.lit(1.0).alias("d"))
     )
     good: DataFrame | None = None
 
@@ -297,16 +299,26 @@ def links(points: DataFrame) -> DataFrame:
         largest = sizes.groupBy("part").agg(F.max(F.struct("k", "comp")).alias("m")).select("part", F.col("m.comp").alias("main"))
         waiting = state.join(largest, "part").where("comp <> main AND NOT was_pivot")
         order = Window.partitionBy("part").orderBy(F.xxhash64("cls"), "cls")
+        running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
         chosen = tables.written(
-            waiting.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).select("part", F.col("cls").alias("pivot"), "region", "d")
+            waiting.withColumn("r", F.row_number().over(order))
+            .where(F.col("r") <= PIVOTS)
+            .withColumn("shingles", running)
+            .where((F.col("r") <= 16) | (F.col("shingles") <= PIVOT_SHINGLES))
+            .select("part", F.col("cls").alias("pivot"), "region", "d")
         )
         if chosen.isEmpty():
             return good if good is not None else state.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
 
+        # only the parts that go on; few numbers per point are broadcast where they are few enough
+        live = tables.written(
+            tables.again(state).select("part", "cls", "region", "d").join(tables.again(chosen).select("part").distinct(), "part")
+        )
+        small = live.count() <= SENT // 5
+
         def members() -> DataFrame:
-            live = tables.again(chosen).select("part").distinct()
-            where = tables.again(state).select("cls", "region", "d")
-            return tables.again(placed).join(where, "cls").join(live, "part")
+            where = tables.again(live).drop("part")
+            return tables.again(placed).join(F.broadcast(where) if small else where, "cls")
 
         # a pivot meets the regions that the triangle inequality allows: its own region's pivot is at
         # distance d, so others of that region lie within d +- threshold; other regions it meets in full
@@ -316,8 +328,10 @@ def links(points: DataFrame) -> DataFrame:
             reach.join(chosen.withColumnsRenamed({"region": "own", "d": "pd"}), "part")
             .where((F.col("region") != F.col("own")) | (F.col("region") == -1) | F.col("pd").between(F.col("lo") - near, F.col("hi") + near))
             .select("part", "region", "slot", "pivot")
-            .join(tables.again(placed).select(F.col("cls").alias("pivot"), F.col("x").alias("px")), "pivot")
         )
+        whole = tables.again(placed).select(F.col("cls").alias("pivot"), F.col("x").alias("px"))
+        names = tables.again(chosen).select("pivot")
+        sent = whole.join(F.broadcast(names) if small else names, "pivot").join(sent, "pivot")
         keys = ["part", "region", "slot"]
         checked = tables.written(
             members().select(*keys, "cls", "x")
@@ -343,6 +357,7 @@ def links(points: DataFrame) -> DataFrame:
             .select(
                 "part",
                 "cls",
+                "n",
                 F.coalesce("root", "comp").alias("comp"),
                 (F.col("was_pivot") | F.coalesce("now_pivot", F.lit(False))).alias("was_pivot"),
                 F.when(F.col("now_pivot"), F.col("cls")).when(F.col("m.d") < F.col("d"), F.col("m.pivot")).otherwise(F.col("region")).alias("region"),

@@ -30,14 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, tables
-from .text import lower_words
+from .text import lower_words, runs
 
 DEPTH = 5
 SHARE = 1e-6
 LEAST = 4
 HEAVY = 1e-6
 WEIGHT = 0.3  # of the unigram base in the mixture
-FLUSH = 4_000_000  # grams a task holds before it sends their counts
+FLUSH = 1_000_000  # grams a task holds before it sends their counts
+
+KEPT = 300_000  # word hashes a task remembers
 
 START, END = 0x110000, 0x110001  # beyond the last code point
 SYMBOLS = 0x110002
@@ -110,7 +112,7 @@ class WordHash(dict):
 
 def hashed(words: list[list[bytes]], table: WordHash) -> np.ndarray:
     total = sum(map(len, words))
-    if len(table) > 2_000_000:
+    if len(table) > KEPT:
         table.clear()
     return np.fromiter((table[w] for ws in words for w in ws), np.uint64, total)
 
@@ -154,12 +156,12 @@ def corpus_counts(train: DataFrame) -> DataFrame:
 
         for b in batches:
             texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 2048):
-                words = [lower_words(t) for t in texts[lo : lo + 2048]]
+            for lo, hi in runs(texts):
+                words = [lower_words(t) for t in texts[lo:hi]]
                 h = np.append(hashed(words, table), np.full(len(words), ENDING, np.uint64))
                 held_words.append(np.unique(h, return_counts=True))
                 held.append(grams(words))
-            yield from send(False)
+                yield from send(False)
         yield from send(True)
 
     made = train.select("text").mapInArrow(run, "kind tinyint, high bigint, low bigint, n bigint")
@@ -369,8 +371,8 @@ def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: f
             names = b.column("doc_id").to_pylist()
             held = np.asarray(b.column("held_out").to_pylist(), np.int64)
             rare = []
-            for lo in range(0, len(texts), 256):
-                words = [lower_words(t) for t in texts[lo : lo + 256]]
+            for lo, hi in runs(texts):
+                words = [lower_words(t) for t in texts[lo:hi]]
                 m = len(words)
                 sizes = np.array([len(w) + 1 for w in words])
                 h = hashed([[*w, b"\n"] for w in words], table)
@@ -382,7 +384,7 @@ def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: f
                 by_tree = np.bincount(token, model.log10s(s, at), len(h))
                 doc = blocks.spans(sizes)
                 base = value[hit] - per_token
-                yield buckets + lo // 256 % buckets, blocks.packed(
+                yield buckets + int(uids[lo]) % buckets, blocks.packed(
                     [
                         uids[lo : lo + m],
                         np.array([x is None for x in names[lo : lo + m]], np.int64),

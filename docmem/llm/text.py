@@ -33,6 +33,18 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(text) if ODD_BLANKS.search(text) else text.split()
 
 
+def runs(texts: list[str | None], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of texts of at most `most` characters together, or of one longer text: (first, after last)."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "") + 1
+        if size + n > most and i > lo:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += n
+    return [*out, (lo, len(texts))] if texts else out
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """UTF-8 words with A-Z in lower case. `bytes.split` and `bytes.lower` know ASCII only, which is what is wanted."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
