@@ -37,7 +37,7 @@ SHARE = 1e-6
 LEAST = 4
 HEAVY = 1e-6
 WEIGHT = 0.3  # of the unigram base in the mixture
-FLUSH = 1_000_000  # grams a task holds before it sends their counts
+FLUSH = 3_000_000  # counts a task holds; they are merged then, and sent if still more than half as many
 
 KEPT = 300_000  # word hashes a task remembers
 
@@ -146,13 +146,16 @@ def corpus_counts(train: DataFrame) -> DataFrame:
         def send(final):
             nonlocal held, held_words
             if held and (final or sum(len(h[0]) for h in held) > FLUSH):
-                yield rows(1, *joined(held))
-                held = []
+                held = [joined(held)]
+                if final or 2 * len(held[0][0]) > FLUSH:
+                    yield rows(1, *held.pop())
             if held_words and (final or sum(len(h[0]) for h in held_words) > FLUSH):
                 w, n = (np.concatenate(c) for c in zip(*held_words))
                 w, at = np.unique(w, return_inverse=True)
-                yield rows(0, np.zeros(len(w), np.int64), w.view(np.int64), np.bincount(at, n).astype(np.int64))
-                held_words = []
+                held_words = [(w, np.bincount(at, n).astype(np.int64))]
+                if final or 2 * len(w) > FLUSH:
+                    w, n = held_words.pop()
+                    yield rows(0, np.zeros(len(w), np.int64), w.view(np.int64), n)
 
         for b in batches:
             texts = b.column("text").to_pylist()
