@@ -62,9 +62,65 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), F.col("host").rlike(LISTED))
 
 
-@query("op2_host_rules")
+def _rate(rule: str) -> str:
+    """SQL for the shrunk failure rate of a host."""
+    weight = (
+        f"CASE WHEN v_{rule} > 0 AND m_{rule} > 0 AND m_{rule} < 1 "
+        f"THEN least(100.0, greatest(10.0, m_{rule} * (1 - m_{rule}) / v_{rule} - 1)) ELSE 100.0 END"
+    )
+    return f"(s_{rule} + m_{rule} * ({weight}) + 0.5) / (n + ({weight}) + 1.0) <= 0.5"
+
+
+_RULES = {"few": "n_words < 10", "rep": "n_repeat_words * 100 > n_words * 20", "sym": "n_symbols * 10 > n_words"}
+
+HOST_SQL = rf"""
+WITH read AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(t, '{WORD}') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS ls
+  FROM read
+), windows AS (
+  SELECT id, i, ws[i:i + 4] AS w FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM cut)
+), twice AS (
+  SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, w) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT id, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(5)) AS j) GROUP BY id
+), measured AS (
+  SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words
+  FROM cut LEFT JOIN covered USING (id)
+), hosts AS (
+  SELECT source AS host, count(*) AS n, {", ".join(f"count(*) FILTER ({c}) AS s_{r}" for r, c in _RULES.items())}
+  FROM measured GROUP BY source
+), prior AS (
+  SELECT {", ".join(f"avg(s_{r} / n) AS m_{r}, coalesce(var_samp(s_{r} / n), 0) AS v_{r}" for r in _RULES)} FROM hosts
+), judged AS (
+  SELECT host, n AS host_docs, {" AND ".join(_rate(r) for r in _RULES)} AS host_kept FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, host_docs, host_kept,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND host_kept AS kept
+FROM measured JOIN judged ON source IS NOT DISTINCT FROM host
+"""
+
+
+@query("op2_host_rules", HOST_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    judged = host_rules.judge(dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "host_docs",
+        "host_kept",
+        "base_failed",
+        "kept",
+    )
 
 
 @query("op3_source_mix")
