@@ -117,7 +117,6 @@ def hashed(words: list[list[bytes]], table: WordHash) -> np.ndarray:
     return np.fromiter((table[w] for ws in words for w in ws), np.uint64, total)
 
 
-FIELDS = ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 ENDING = 1  # stands for the end among the word hashes
 
 
@@ -334,7 +333,10 @@ def mixed(base: np.ndarray, tree: np.ndarray, weight: float) -> np.ndarray:
     return np.log10(weight * np.power(10.0, base) + (1 - weight) * np.power(10.0, tree))
 
 
-RESULT = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+# a text's sums: its row, what they are, doc_id, held out, tokens, known tokens, base, score
+SUMS = ["<i8"] * 6 + ["<f8"] * 2
+NAMELESS, PART = 1, 2  # a text without doc_id; the part of a text from rare words
 
 
 def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: float = WEIGHT) -> DataFrame:
@@ -407,39 +409,55 @@ def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: f
                     yield bucket, blocks.packed([uids[owner] * 2 + held[owner], per.astype("<u4"), h[at], by_tree[at]])
 
     def merge(bucket, found):
+        """Sums of texts pass on as they are; rare words give one block of sums per text."""
         if bucket >= buckets:
-            uid, none, name, held, size, hit, base, mix = blocks.gathered(found, ["<i8"] * 6 + ["<f8"] * 2)
-            return pa.table(
-                [pa.array(uid), pa.array(name, mask=none == 1), pa.array(held == 1), pa.array(size), pa.array(hit), pa.array(base), pa.array(mix)],
-                names=FIELDS,
-            )
+            return pa.table({"block": pa.array(found, pa.binary())})
         uid, per, h, by_tree = blocks.gathered(found, ["<i8", "<u4", "<u8", "<f4"])
         doc = blocks.spans(per)
         name, number = np.unique(h, return_inverse=True)
         c = np.bincount(number, uid[doc] % 2 == 0, len(name))[number]
         base = np.log10(c + 1) - per_token
         owner, at = np.unique(uid[doc] // 2, return_inverse=True)
-        nothing = pa.nulls(len(owner))
+        zero = np.zeros(len(owner), np.int64)
+        sums = [
+            owner,
+            zero + PART,
+            zero,
+            zero,
+            zero,
+            np.bincount(at, c > 0).astype(np.int64),
+            np.bincount(at, base),
+            np.bincount(at, mixed(base, by_tree.astype(float), weight)),
+        ]
+        return pa.table({"block": pa.array([blocks.packed(sums)], pa.binary())})
+
+    def deal(batches):
+        for b in batches:
+            for block in b.column("block").to_pylist():
+                arrays = blocks.unpacked(block, SUMS)
+                for bucket, at in blocks.by_bucket(arrays[0] % buckets):
+                    yield bucket, blocks.packed([x[at] for x in arrays])
+
+    def total(_, found):
+        uid, what, name, held, size, known, base, mix = blocks.gathered(found, SUMS)
+        owner, at = np.unique(uid, return_inverse=True)
+        own = np.flatnonzero(what != PART)
+        first = np.zeros(len(owner), np.int64)
+        first[at[own]] = own
         return pa.table(
             [
-                pa.array(owner),
-                nothing.cast(pa.int64()),
-                nothing.cast(pa.bool_()),
-                nothing.cast(pa.int64()),
-                pa.array(np.bincount(at, c > 0).astype(np.int64)),
+                pa.array(name[first], mask=what[first] == NAMELESS),
+                pa.array(held[first] == 1),
+                pa.array(size[first]),
+                pa.array(np.bincount(at, known).astype(np.int64)),
                 pa.array(np.bincount(at, base)),
-                pa.array(np.bincount(at, mixed(base, by_tree.astype(float), weight))),
+                pa.array(np.bincount(at, mix)),
             ],
-            names=FIELDS,
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    parts = blocks.exchange(rows, cut, merge, RESULT)
-    return parts.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("uid")
+    parts = blocks.exchange(rows, cut, merge, "block binary")
+    done = blocks.exchange(parts, deal, total, RESULT)
+    return done.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"
+    )
