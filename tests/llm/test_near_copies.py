@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -99,6 +100,39 @@ def test_line_links(spark, documents):
     assert roots(len(rows), got) == roots(len(rows), pairs)
 
 
+def edited_lines(seed):
+    """Five random trees and a chain of 200 lines, each a copy of another line with one word changed."""
+    r = random.Random(seed)
+    word = lambda: f"word{r.randrange(10**5)}"
+    out = []
+    for family in range(6):
+        lines = [[word() for _ in range(25)]]
+        while len(lines) < 200:
+            words = list(lines[-1] if family == 5 else r.choice(lines))
+            words[r.randrange(25)] = word()
+            lines.append(words)
+        out += [" ".join(x) for x in lines]
+    r.shuffle(out)
+    return out
+
+
+def same_parts(got, want):
+    return len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+@pytest.mark.parametrize("group", [16384, 20])
+def test_line_links_of_edited_lines(spark, monkeypatch, group):
+    """Components are those of brute force, in one task and over rounds."""
+    monkeypatch.setattr(line_dedup, "GROUP", group, raising=False)
+    texts = edited_lines(1)
+    got = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").coalesce(1)
+    got = [(x.a, x.b) for x in line_dedup.links(got).collect()]
+    shingles = [{t[i : i + line_dedup.SHINGLE] for i in range(len(t) - line_dedup.SHINGLE + 1)} for t in texts]
+    pairs = [(i, j) for i, x in enumerate(shingles) for j, y in enumerate(shingles[:i]) if 100 * len(x & y) >= line_dedup.SIMILAR * len(x | y)]
+    assert set(got) | {(b, a) for a, b in got} <= {*pairs, *((j, i) for i, j in pairs)}
+    assert same_parts(roots(len(texts), got), roots(len(texts), pairs))
+
+
 def test_line_dedup(spark, tmp_path, empty):
     docs = [
         (2, "The same line of text, again and again.\nonly here", 0),
