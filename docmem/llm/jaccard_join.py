@@ -380,7 +380,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = own.agg(F.sum("n")).first()[0] or 0
     lone = lone_counts(rows, int(total))
     may_miss = F.col("n") - F.floor((F.col("n") * PER_CENT + 99) / 100)
-    wanted = tables.written(own.join(lone, "set").where(F.col("lone") <= may_miss).select("set", "cls", "text_hash"))
+    # a set without sampled shingles has no row in `lone`
+    wanted = tables.written(
+        own.join(lone, "set", "left").where(F.coalesce("lone", F.lit(0)) <= may_miss).select("set", "cls", "text_hash")
+    )
     sets = tables.written(sets_of(rows, wanted))
     parts = tables.written(graph.components(prefix_edges(sets)).withColumnsRenamed({"node": "cls", "root": "part"}))
     linked = graph.components(links(sets.join(parts, "cls").select("part", "cls", "n", "x")))

@@ -84,6 +84,17 @@ def test_jaccard_chains_and_thresholds(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_jaccard_short_texts(spark):
+    """Texts of few shingles, all of which may fall outside the sample, and the same with one word more."""
+    rows = []
+    for n in (8, 9, 10):
+        for i in range(100):
+            words = [f"v{n}x{i}x{j}" for j in range(n)]
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, "more"]))]
+    got = {x.doc_id: x.component_id for x in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 def test_line_links(spark, documents):
     r = random.Random(2)
     base = [" ".join(f"word{r.randrange(5000)}" for _ in range(25)) for _ in range(30)]
