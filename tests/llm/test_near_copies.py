@@ -144,6 +144,18 @@ def test_line_links_of_edited_lines(spark, monkeypatch, group):
     assert same_parts(roots(len(texts), got), roots(len(texts), pairs))
 
 
+def test_typos_and_outer_blanks(spark):
+    """A line of 60 characters with one wrong is a copy, and so is a line with other blanks around it."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(100)]
+    typo = [t[:30] + "#" + t[31:] for t in base]
+    rows = list(enumerate([*base, *typo]))
+    got = {tuple(sorted((x.a, x.b))) for x in line_dedup.links(spark.createDataFrame(rows, "node bigint, text string")).collect()}
+    assert got == {(i, 100 + i) for i in range(100)}
+    docs = spark.createDataFrame([(0, 1, "ab\n\t \n\x0b\r\n"), (1, 2, " ab\r"), (2, 3, "\t ab \x0c\x0b "), (3, 4, "\r\n")], "uid bigint, doc_id bigint, text string")
+    assert sorted((x.uid, x.line, x.text) for x in line_dedup.lines(docs).collect()) == [(0, 0, "ab"), (1, 0, "ab"), (2, 0, "ab")]
+
+
 def test_line_dedup(spark, tmp_path, empty):
     docs = [
         (2, "The same line of text, again and again.\nonly here", 0),
