@@ -1,8 +1,8 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are the characters of a text's lower-cased words, one blank between
-words, and an end. A context of up to `DEPTH` symbols is kept if it is frequent
-enough (`SHARE` of all symbols) and if what follows it differs from what follows
+words, and an end. A context of up to `DEPTH` symbols is kept if it occurs
+`LEAST` times, whatever the size of the corpus, and if what follows it differs from what follows
 its suffix: twice its divergence, a chi-square number when nothing differs, must
 be beyond chance. The distribution of a kept context is smoothed towards that of
 its longest kept suffix by the number of different symbols seen after it. A text
@@ -10,9 +10,9 @@ is scored symbol by symbol from the longest kept suffix of what came before;
 contexts run on over word ends. The probability of a word by the tree is mixed
 with that of the unigram base, which knows whole words, as the last smoothing.
 
-Counts cover all training texts. At most `1 / SHARE` contexts of each length are
-kept, which bounds the model that is broadcast for scoring; the counting and the
-divergence tests are joins in Spark.
+Counts cover all training texts. The counting and the divergence tests are joins in
+Spark. The tree is broadcast for scoring; it grows with the corpus, and nothing
+but the number of different grams bounds it.
 
 The unigram base needs the exact count of every word of the corpus, which no
 bound holds. Words of at least `HEAVY` of all tokens (at most `1 / HEAVY` of
@@ -33,7 +33,6 @@ from . import blocks, tables
 from .text import lower_words, runs
 
 DEPTH = 5
-SHARE = 1e-6
 LEAST = 4
 HEAVY = 1e-6
 WEIGHT = 0.3  # of the unigram base in the mixture
@@ -177,7 +176,7 @@ def _newest(level: int) -> tuple[Column, Column]:
     return F.lit(0).cast("bigint"), F.col("low").bitwiseAND((1 << (FIELD * (level + 1))) - 1)
 
 
-def tree(counts: DataFrame, share: float = SHARE) -> tuple[pd.DataFrame, pd.DataFrame]:
+def tree(counts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     """Kept contexts (level, high, low, back) and their entries (level, high, low, p): log10 values.
 
     An entry is keyed by the context with the symbol, a context by itself with a
@@ -192,7 +191,6 @@ def tree(counts: DataFrame, share: float = SHARE) -> tuple[pd.DataFrame, pd.Data
         )
     root = levels[0].agg(F.sum("n"), F.count(F.lit(1))).first()
     total, kinds = float(root[0] or 0), float(root[1])
-    least = max(LEAST, share * total)
     floor = kinds / SYMBOLS
     above = tables.written(
         levels[0].select(
@@ -206,7 +204,7 @@ def tree(counts: DataFrame, share: float = SHARE) -> tuple[pd.DataFrame, pd.Data
         frequent = (
             levels[level]
             .withColumns({"of": F.sum("n").over(context), "k": F.count(F.lit(1)).over(context)})
-            .where(F.col("of") >= least)
+            .where(F.col("of") >= LEAST)
         )
         ph, pl = _newest(level - 1)
         parent = above.select(
@@ -339,7 +337,7 @@ SUMS = ["<i8"] * 6 + ["<f8"] * 2
 NAMELESS, PART = 1, 2  # a text without doc_id; the part of a text from rare words
 
 
-def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of documents (doc_id, text).
 
     A token's probability is a mixture of the tree's (product over its symbols) and
@@ -363,7 +361,7 @@ def score(docs: DataFrame, share: float = SHARE, heavy: float = HEAVY, weight: f
     per_token = float(np.log10(n + v + 1))
     common = counts.where("kind = 0").where(F.col("n") >= max(1.0, heavy * n)).select("low", "n").toArrow().to_pandas()
     keys, values = common["low"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)
-    sent = spark.sparkContext.broadcast((Tree(*tree(counts, share)), Lookup(keys, values)))
+    sent = spark.sparkContext.broadcast((Tree(*tree(counts)), Lookup(keys, values)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = blocks.buckets_for(size * 0.6)
 

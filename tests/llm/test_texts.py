@@ -147,3 +147,16 @@ def test_tree_probabilities_sum_to_one(spark):
         ]
         total = sum(p[:4]) + p[4] * (suffix_tree.SYMBOLS - 4)
         assert total <= 1.0000001 and total > 0.6
+
+
+def test_contexts_stay_in_a_large_corpus(spark):
+    docs = spark.createDataFrame([(i, "abab abba abab ba" * (i % 3 + 1)) for i in range(12)], "doc_id bigint, text string")
+    counts = suffix_tree.corpus_counts(docs)
+    z = sum(ord("z") << (suffix_tree.FIELD * i) for i in range(3))
+    more = spark.createDataFrame([(1, z, z, 10**9)], "kind tinyint, high bigint, low bigint, n bigint")
+    kept = []
+    for c in (counts, counts.unionByName(more)):
+        contexts = suffix_tree.tree(c)[0]
+        # the suffix of a single symbol is the whole corpus, which changes
+        kept.append({(x.level, x.high, x.low) for x in contexts.itertuples() if x.level > 1})
+    assert kept[0] and kept[0] <= kept[1]
