@@ -4,11 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ann, host_rules, jaccard_join, line_dedup, mixing, packing, quality, sharding, suffix_tree, url_filters
-from .tables import dealt, table
+from . import (
+    ann,
+    fill_in_middle,
+    host_rules,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    reply_trees,
+    sharding,
+    suffix_tree,
+    turn_repair,
+    url_filters,
+)
+from .tables import dealt, table, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -185,3 +199,103 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+_CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]|SYS\]|ROLE\]|TURN\]))"
+
+# The read-back must equal the input, so the SQL takes the input; only formatted_chars knows the template.
+CHAT_SQL = rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, length(regexp_replace(text, '{_CONTROL}', '\1\\\2\3', 'g'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11
+      ELSE 20 + length(regexp_replace(role, '{_CONTROL}', '\1\\\2\3', 'g')) END AS n
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query("op11_reply_trees", CHAT_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    said = rows.unionByName(more).withColumn("id", F.monotonically_increasing_id())  # a plain read: the same each time
+    slim = said.select(F.col("conv_id").alias("tree"), "id", "turn", "role", F.xxhash64("text").alias("h"))
+    before = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "h", "id")
+    links = slim.select("tree", "id", F.lag("id").over(before).alias("parent"), F.lit(0.0).alias("score"))
+    chats = reply_trees.conversations(links, said.select(F.col("conv_id").alias("tree"), "id", "role", "text"))
+    return reply_trees.read_back(chats).withColumnRenamed("tree", "conv_id")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The rows of conversations after the damage that the contract of operator 12 fixes."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    return (
+        rows.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind"))
+        .where("kind <> 0")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+            F.when(F.col("kind") == 1, "")
+            .when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+            .otherwise(F.col("text"))
+            .alias("text"),
+            F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+        )
+        .drop("copy")
+    )
+
+
+@query("op12_turn_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = damaged(rows)
+    audited = written(turn_repair.audits(hurt, also=rows))
+    sums = turn_repair.digests(hurt, audited)
+    return audited.join(sums, audited.conv_id.eqNullSafe(sums.conv_id)).drop(sums.conv_id)
+
+
+FIM_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(u[1:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(u[greatest(c1, c2) + 1:n], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m)
+              ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", FIM_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
