@@ -29,7 +29,7 @@ READ_PATH = (
     r"|\[\*\]|\[-?\d+\]|\[-?\d*:-?\d*\]"
     r"|\[[\\/][A-Za-z_][A-Za-z0-9_]*(?:,\s*[\\/][A-Za-z_][A-Za-z0-9_]*)*\]"
     r'|\[\?\(?\s*(?:@\.)?[A-Za-z_][A-Za-z0-9_.]*\s*(?:==?|!=|<=?|>=?|=~)\s*(?:"[^"]*"|-?\d+(?:\.\d+)?)\s*\)?\]'
-    r"|\.`[^`]+`"
+    r"|\.`(?:len|keys|this|sub\(/(?:[^/\\`]|\\.)*/,\s*(?:[^)\\`]|\\.)*\)|split\(\s*[^`]+?\s*,\s*-?\d+\s*,\s*-?\d+\s*\))`"
     r")*$"
 )
 # list path, selecting field and JSON literal (both empty for `[*]`), target field
@@ -38,6 +38,13 @@ ELEMENT_PATH = (
     r'\[(?:\*|\?\s*([A-Za-z_][A-Za-z0-9_]*)\s*==?\s*("[^"]*"|-?\d+(?:\.\d+)?)\s*)\]'
     r"\.([A-Za-z_][A-Za-z0-9_]*)$"
 )
+# any edit of list elements: list path, selector, field, operator and literal of a test, keys below the element
+ANY_ELEMENT_PATH = (
+    r"^(\$(?:\.[A-Za-z_][A-Za-z0-9_-]*)+)"
+    r"\[(\*|-?\d+|\?\(?\s*(?:@\.)?([A-Za-z_][A-Za-z0-9_]*)\s*(==?|!=|<=?|>=?)"
+    r'\s*("[^"]*"|-?\d+(?:\.\d+)?)\s*\)?)\]'
+    r"((?:\.[A-Za-z_][A-Za-z0-9_]*)*)$"
+)
 
 
 # ---- builders over one document ------------------------------------------------
@@ -168,19 +175,20 @@ def index(i: int) -> Step:
     )
 
 
-def part(start: int, stop: int) -> Step:
-    """`[start:stop]` with non-negative bounds."""
-    return lambda m: F.flatten(
-        F.filter(
-            F.transform(
-                m,
-                lambda x: F.slice(
-                    F.try_variant_get(x, "$", "array<variant>"), start + 1, max(stop - start, 0)
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    )
+def part(start: int | None, stop: int | None) -> Step:
+    """`[start:stop]`; a negative bound counts from the end, an open one (None) is the end."""
+
+    def cut(x: Column) -> Column:
+        items = F.try_variant_get(x, "$", "array<variant>")
+        n = F.size(items)
+
+        def bound(b: int | None, none: Column) -> Column:
+            return none if b is None else F.greatest(n + b, F.lit(0)) if b < 0 else F.least(F.lit(b), n)
+
+        first = bound(start, F.lit(0))
+        return F.slice(items, first + 1, F.greatest(bound(stop, n) - first, F.lit(0)))
+
+    return lambda m: F.flatten(F.filter(F.transform(m, cut), lambda x: x.isNotNull()))
 
 
 def split(sep: str, i: int) -> Callable[[Column], Column]:

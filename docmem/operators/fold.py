@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import text_kind
 from docmem.functions.paths import depth_of, prefixes_of
-from docmem.operators.leaves import MAX_DEPTH, explode_leaves, rebuild
+from docmem.operators.leaves import explode_leaves, rebuild
 from docmem.session import cut_lineage
 
 SEGMENT = 1 << 20
@@ -33,7 +33,7 @@ def drop_na(edits: DataFrame) -> DataFrame:
     return edits.where(F.col("path") != "NA")
 
 
-def spread(edits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def spread(edits: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Log rows to write rows `(db_id, seq, path, value, kind, implied, marker)`.
 
     An edit holding a non-empty object becomes a *marker* at its path, which
@@ -250,6 +250,25 @@ def _offsets(w: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def compact(writes: DataFrame) -> DataFrame:
+    """The write rows that still matter once no earlier edit can come any more.
+
+    Void writes go; of a path its last write stays, or all writes from the first
+    list on. Folding these with any later writes gives what folding everything
+    gives: later writes look at a path's last replacement and at nothing before it.
+    """
+    settled = settle(writes)
+    w = settled.withColumn("segment", F.floor(F.col("seq") / SEGMENT))
+    summary = cut_lineage(
+        w.groupBy(*KEY, "segment").agg(
+            F.min(F.when(F.col("kind") == "list", F.col("seq"))).alias("first_list"), F.max("seq").alias("last")
+        )
+    )
+    first = summary.groupBy(*KEY).agg(F.coalesce(F.min("first_list"), F.max("last")).alias("first"))
+    units = summary.select(*KEY, "segment").join(first, KEY)
+    return w.join(units, [*KEY, "segment"]).where(F.col("seq") >= F.col("first")).select(writes.columns)
+
+
 def is_flat(edits: DataFrame) -> bool:
     """No edit holds an object and no edited path lies below another one.
 
@@ -262,7 +281,7 @@ def is_flat(edits: DataFrame) -> bool:
 
 
 def fold(
-    edits: DataFrame, *, positions: bool = True, nested: bool | None = None, max_depth: int = MAX_DEPTH
+    edits: DataFrame, *, positions: bool = True, nested: bool | None = None, max_depth: int | None = None
 ) -> DataFrame:
     """Replay a log of edits: `(db_id, path, pos, seq, idx, value, in_list)`.
 
@@ -298,7 +317,7 @@ def last_values(edits: DataFrame) -> DataFrame:
     )
 
 
-def base_edits(docs: DataFrame, seq: int = -1, max_depth: int = MAX_DEPTH) -> DataFrame:
+def base_edits(docs: DataFrame, seq: int = -1, max_depth: int | None = None) -> DataFrame:
     """Stored documents `(db_id, doc VARIANT)` as the first edits of a log.
 
     Objects are taken apart, lists stay whole so that later appends see them.
@@ -336,7 +355,7 @@ def pages(folded: DataFrame, size: int = PAGE) -> DataFrame:
 
 
 def documents(
-    folded: DataFrame, size: int = PAGE, paths_per_part: int = 4096, max_depth: int = MAX_DEPTH
+    folded: DataFrame, size: int = PAGE, paths_per_part: int = 4096, max_depth: int | None = None
 ) -> DataFrame:
     """Fold rows to documents `(db_id, part, page, doc)`, `doc` as JSON text.
 
@@ -358,6 +377,7 @@ def documents(
 
 __all__ = [
     "base_edits",
+    "compact",
     "documents",
     "drop_na",
     "fold",

@@ -7,13 +7,53 @@ shuffle, no recursion, no per-level job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import Col, col, json_type, quote
 from docmem.functions.paths import key_step, steps_of
 
-MAX_DEPTH = 8
+CHAIN = 8  # levels of one walk; documents nested deeper are walked apart from the others
+
+
+def json_depth(text: Col) -> Column:
+    """How many containers enclose the innermost place of a JSON text; empty containers count."""
+    bare = F.regexp_replace(F.regexp_replace(col(text), r"\\.", ""), r'"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, step, lambda acc: acc["most"])
+
+
+def document_depth(df: DataFrame, text: Column | None = None) -> int:
+    """The depth of the deepest document (VARIANT `doc`, or `text`); one scan, nothing is exploded."""
+    return df.agg(F.max(json_depth(F.to_json("doc") if text is None else text))).first()[0] or 0
+
+
+def walked(df: DataFrame, walk: Callable[[DataFrame, int], DataFrame], text: Column | None = None) -> DataFrame:
+    """A walk of all documents to their own depth: `walk(docs, levels)` for each depth class.
+
+    Nearly all documents go through one chain of few levels. Deeper ones are told by
+    their text and walked in chains of doubled length, so that one deep document
+    neither fails the job nor lengthens the walk of the others.
+    """
+    deepest = document_depth(df, text)
+    if deepest <= CHAIN:
+        return walk(df, deepest)
+    depth = json_depth(F.to_json("doc") if text is None else text)
+    out, low, high = None, -1, CHAIN
+    while low < deepest:
+        levels = min(high, deepest)
+        some = walk(df.where((F.coalesce(depth, F.lit(0)) > low) & (F.coalesce(depth, F.lit(0)) <= levels)), levels)
+        out = some if out is None else out.unionByName(some)
+        low, high = levels, 2 * high
+    return out
 
 
 def object_entries(v: Col) -> Column:
@@ -71,15 +111,19 @@ def explode_leaves(
     doc: str = "doc",
     *,
     enter_lists: bool = True,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     root: Column | None = None,
 ) -> DataFrame:
     """One row per leaf of the VARIANT column `doc`: `(..., path, v)`.
 
     Leaves are scalars, JSON null, and empty containers (kept so that a rebuild
-    gives the document back). With `enter_lists=False` a list is a leaf. Deeper
-    nesting than `max_depth` fails the job instead of losing data.
+    gives the document back). With `enter_lists=False` a list is a leaf. The depth
+    comes from the data (see `walked`); a caller who knows it gives `max_depth` and
+    saves a scan: deeper nesting then fails the job instead of losing data.
     """
+    if max_depth is None:
+        options = {"enter_lists": enter_lists, "root": root}
+        return walked(df, lambda some, n: explode_leaves(some, doc, max_depth=n, **options), F.to_json(doc))
     keep = [c for c in df.columns if c != doc]
     out = df.select(*keep, (root if root is not None else F.lit("$")).alias("path"), F.col(doc).alias("v"))
     for _ in range(max_depth):
@@ -107,17 +151,20 @@ def _key_of(step: Column) -> Column:
     return quote(F.when(step.startswith("."), F.substring(step, 2, 1 << 30)).otherwise(raw))
 
 
-def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH, alternatives: bool = False) -> DataFrame:
+def rebuild(df: DataFrame, keys: list[str], max_depth: int | None = None, alternatives: bool = False) -> DataFrame:
     """Inverse of the leaf walk: rows `(keys, path, value)` to `(keys, doc)`.
 
     Levels close from the deepest up. Every level groups by `keys` plus the
     parent path on data already partitioned by `keys`, so one shuffle serves
     all of them. A step `[*]` closes as a one-element list (used for schemas).
-    Keys must bound the group: callers page large documents first. Paths deeper
-    than `max_depth` fail the job instead of giving a second document, and so does
-    a place with a value of its own and children; with `alternatives` (schemas)
-    it closes as a list of both.
+    Keys must bound the group: callers page large documents first. There are as many
+    levels as the longest path has steps; a caller who knows gives `max_depth` and
+    saves that count: deeper paths then fail the job instead of giving a second
+    document. So does a place with a value of its own and children; with
+    `alternatives` (schemas) it closes as a list of both.
     """
+    if max_depth is None:
+        max_depth = df.agg(F.max(F.size(steps_of("path")))).first()[0] or 0
     # an empty object above its fields is those fields
     kept_own = F.when((F.col("_own") != "{}") | (F.size("_fields") == 0), F.col("_own"))
     both = (F.size("_fields") > 0).cast("int") + F.col("_item").isNotNull().cast("int") + kept_own.isNotNull().cast("int")
@@ -137,7 +184,7 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int = MAX_DEPTH, alternat
     out = df.select(*keys, steps.alias("_at"), "value").repartition(*keys)
     for depth in range(max_depth, 0, -1):
         here = F.size("_at") == depth
-        step = F.element_at("_at", -1)
+        step = F.try_element_at("_at", F.lit(-1))
         out = (
             out.select(
                 *keys,

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import quote, text_kind
-from docmem.functions.paths import ELEMENT_PATH
+from docmem.functions.paths import ANY_ELEMENT_PATH, ELEMENT_PATH
 from docmem.operators import fold as fo
+from docmem.operators import sequenced
 from docmem.operators.leaves import object_entries
 from docmem.session import cut_lineage
 
@@ -62,7 +63,7 @@ def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
     the result.
 
     An update of a field that also selects in the same list would change what
-    later updates select; such logs are refused.
+    later updates select; such lists belong to `update_any`, and none may come here.
     """
     key = ["db_id", "path", "field", "equals"]
     latest = updates.groupBy(*key, "target").agg(
@@ -71,13 +72,6 @@ def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
         F.max(text_kind("data") == "list").alias("lists"),
     )
     fields = latest.select("db_id", "path", "field").distinct()
-    moving = fields.select("db_id", "path", F.col("field").alias("target"), F.lit(True).alias("selects"))
-    refused = F.raise_error(
-        F.concat(F.lit("field selects and is updated: "), F.col("path"), F.lit("."), F.col("target"))
-    )
-    latest = latest.join(moving, ["db_id", "path", "target"], "left").withColumn(
-        "data", F.when(F.col("selects"), refused.cast("string")).otherwise(F.col("data"))
-    )
     identity = ["db_id", "path", "seq", "idx"]
     every = F.struct(F.lit("").alias("field"), F.lit("").alias("equals"))
     own = F.transform(_entries(F.col("value")), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("equals")))
@@ -162,9 +156,28 @@ def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def replay(edits: DataFrame, **options) -> DataFrame:
-    """Fold a log that may also edit list elements (see `element_updates`)."""
-    plain = edits.where(~F.col("path").rlike(ELEMENT_PATH))
-    return update_matching(cut_lineage(fo.fold(plain, **options)), element_updates(edits))
+    """Fold a log that may also edit list elements, by any selector (see `sequenced.element_edits`)."""
+    plain = edits.where(~F.col("path").rlike(ANY_ELEMENT_PATH))
+    return update_any(cut_lineage(fo.fold(plain, **options)), edits)
+
+
+def update_any(elements: DataFrame, edits: DataFrame) -> DataFrame:
+    """Fold rows with the element edits of a log applied.
+
+    Lists whose updates select by equality and set one other field take
+    `update_matching`, where only the latest update of each selector travels. The
+    rest, positions, comparisons, whole elements, nested targets, and updates that
+    change what others select by, takes `sequenced.replay_lists`.
+    """
+    updates = sequenced.element_edits(edits)
+    lists = cut_lineage(sequenced.entangled(updates))
+    if lists.isEmpty():
+        return update_matching(elements, element_updates(edits))
+    key = ["db_id", "path"]
+    simple = element_updates(edits).join(lists, key, "left_anti")
+    easy = update_matching(elements.join(lists, key, "left_anti"), simple)
+    hard = sequenced.replay_lists(elements.join(lists, key, "left_semi"), updates.join(lists, key, "left_semi"))
+    return easy.unionByName(hard)
 
 
 def append_to_each(docs: DataFrame, adds: DataFrame, target: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import quote
-from docmem.operators.leaves import MAX_DEPTH
+from docmem.operators.leaves import walked
 
 SUMMARY_CHARS = 50
 
@@ -63,7 +63,7 @@ def _summary(text: Column) -> Column:
     return F.substring(F.array_join(shown, ", "), 1, SUMMARY_CHARS)
 
 
-def tree_nodes(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tree_nodes(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """`(db_id, path, node)` from JSON texts `(db_id, doc)`.
 
     `node` is JSON text of the object's scalar fields in written order; objects
@@ -71,6 +71,8 @@ def tree_nodes(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     `path[i] (summary)`, the summary naming their scalar fields. Scalar items
     give no row. Like the leaf walk this is one explode per level, no shuffle.
     """
+    if max_depth is None:
+        return walked(docs.select("db_id", "doc"), tree_nodes, F.col("doc"))
     out = docs.select(
         "db_id", F.array(F.struct(F.lit("").alias("path"), F.col("doc").alias("text"))).alias("todo")
     ).select("db_id", F.explode("todo").alias("t"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.paths import key_step
-from docmem.operators.leaves import MAX_DEPTH, is_container, list_items, object_entries
+from docmem.operators.leaves import is_container, list_items, object_entries, walked
 
 # One place in a document: plain or quoted keys and list positions.
-ONE_PLACE = r"""^\$(\.[A-Za-z_][A-Za-z0-9_]*|\[\d+\]|\["[^"\\\]]*"\])*$"""
+ONE_PLACE = r"""^\$(\.[A-Za-z_][A-Za-z0-9_-]*|\[\d+\]|\["[^"\\\]]*"\])*$"""
 
 
 def fetch(docs: DataFrame, requests: DataFrame) -> DataFrame:
@@ -17,31 +17,28 @@ def fetch(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
     The paths are data; each names one place. `NA` asks for nothing, a path
     without a match gives no row, JSON null is a match. Paths of other forms are
-    left out here and given by `unanswered`.
+    left out here; `requests.fetch_any` answers all forms.
     """
     asked = requests.select("db_id", F.explode("path_list").alias("path")).where(F.col("path").rlike(ONE_PLACE))
     found = asked.join(docs.select("db_id", "doc"), "db_id").withColumn(
-        "v", F.try_variant_get("doc", F.col("path"), "variant")
+        "v", F.try_variant_get("doc", F.regexp_replace("path", r"\.([A-Za-z_][A-Za-z0-9_-]*)", '["$1"]'), "variant")
     )
     return found.where(F.col("v").isNotNull()).select("db_id", "path", F.to_json("v").alias("value"))
 
 
-def unanswered(requests: DataFrame) -> DataFrame:
-    """`(db_id, path)` of requested paths that name more than one place; the path builders read these."""
-    asked = requests.select("db_id", F.explode("path_list").alias("path"))
-    return asked.where((F.col("path") != "NA") & ~F.col("path").rlike(ONE_PLACE))
-
-
 def as_text(found: Column) -> Column:
     """A list of matches as one JSON text."""
     return F.to_json(found)
 
 
-def descendants(docs: DataFrame, name: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def descendants(docs: DataFrame, name: str, max_depth: int | None = None) -> DataFrame:
     """`..name`: `(..., path, v)` for the value under the key `name` at any depth, containers included.
 
-    A field that is found is kept as it is and also walked on.
+    A field that is found is kept as it is and also walked on. The depth comes from
+    the data unless the caller knows it (`max_depth`).
     """
+    if max_depth is None:
+        return walked(docs, lambda some, n: descendants(some, name, n))
     keep = [c for c in docs.columns if c != "doc"]
     out = docs.select(*keep, F.lit("$").alias("path"), F.col("doc").alias("v"), F.lit(False).alias("_hit"))
 

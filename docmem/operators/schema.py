@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import json_type
 from docmem.functions.paths import any_index, steps_of
-from docmem.operators.leaves import MAX_DEPTH, explode_leaves, rebuild
+from docmem.operators.leaves import explode_leaves, rebuild
 
 
 def infer(docs: DataFrame, *by: str) -> DataFrame:
@@ -15,14 +15,14 @@ def infer(docs: DataFrame, *by: str) -> DataFrame:
     return docs.groupBy(*by).agg(F.schema_of_variant_agg("doc").alias("schema"))
 
 
-def typed_paths(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def typed_paths(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Leaf rows `(db_id, path, jtype)`; list positions become `[*]`."""
     return explode_leaves(docs.select("db_id", "doc"), max_depth=max_depth).select(
         "db_id", any_index("path").alias("path"), json_type("v").alias("jtype")
     )
 
 
-def container_paths(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def container_paths(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """`(db_id, path, jtype)` of the objects and lists above the leaves, each once per document."""
     walked = explode_leaves(docs.select("db_id", "doc"), max_depth=max_depth).select("db_id", steps_of("path").alias("s"))
     above = F.transform(
@@ -42,7 +42,7 @@ def _merge_types(types: Column) -> Column:
     return F.array_sort(F.when(both, F.array_remove(types, "integer")).otherwise(types))
 
 
-def profile(docs: DataFrame, max_depth: int = MAX_DEPTH, by: tuple[str, ...] = (), containers: bool = False) -> DataFrame:
+def profile(docs: DataFrame, max_depth: int | None = None, by: tuple[str, ...] = (), containers: bool = False) -> DataFrame:
     """`(by, path, n, types)` over all documents, or per owner with `by=("db_id",)`.
 
     Counts per `(path, type)` combine on the map side, so what is shuffled grows
@@ -63,7 +63,7 @@ def merge_profiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def presence(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def presence(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Share of documents that have each path; nothing is ever *required*."""
     rows = typed_paths(docs, max_depth).unionByName(container_paths(docs, max_depth))
     per_doc = rows.select("db_id", "path").distinct()
@@ -73,7 +73,7 @@ def presence(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def compress(prof: DataFrame, by: tuple[str, ...] = (), max_depth: int = MAX_DEPTH) -> DataFrame:
+def compress(prof: DataFrame, by: tuple[str, ...] = (), max_depth: int | None = None) -> DataFrame:
     """A profile as one nested name-to-type text, lists as `[type]`.
 
     A field that happens to be called `type` is a field like any other. The
@@ -125,7 +125,7 @@ def first_doc(docs: DataFrame, by: str, order: str) -> DataFrame:
     return docs.join(firsts, [by, order], "left_semi")
 
 
-def listing(docs: DataFrame, keep: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def listing(docs: DataFrame, keep: list[str], max_depth: int | None = None) -> DataFrame:
     """Nested field listing `(keep, path, jtype)`; lists are not entered."""
     rows = explode_leaves(docs.select(*keep, "doc"), enter_lists=False, max_depth=max_depth)
     return rows.select(*keep, "path", json_type("v").alias("jtype"))

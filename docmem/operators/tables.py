@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.paths import steps_of
-from docmem.operators.leaves import MAX_DEPTH, leaves
+from docmem.operators.leaves import leaves
 
 
 SYSTEM = ("sqlite_", "system.")
@@ -52,7 +52,7 @@ def delete_rows(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
-def split_into_tables(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def split_into_tables(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Documents as cells of one table per top-level key.
 
     `(table_name, db_id, item, column_name, value)`: `db_id` is the foreign key

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import is_json
-from docmem.functions.paths import ELEMENT_PATH, READ_PATH, STATIC_PATH, normalise_quotes, one_form
+from docmem.functions.paths import ANY_ELEMENT_PATH, READ_PATH, STATIC_PATH, normalise_quotes, one_form
 
 
 def edit_fault(path: Column, data: Column) -> Column:
     """Why an edit cannot be applied, NULL when it can."""
-    path_ok = path.rlike(STATIC_PATH) | path.rlike(ELEMENT_PATH) | (path == "NA")
+    path_ok = path.rlike(STATIC_PATH) | path.rlike(ANY_ELEMENT_PATH) | (path == "NA")
     return F.when(~F.coalesce(path_ok, F.lit(False)), "path").when(~is_json(data), "data")
 
 

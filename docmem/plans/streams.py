@@ -11,6 +11,7 @@ from docmem.plans.folds import LIST_ITEMS, LIST_PLAIN, K
 from docmem.session import shared_dir
 from docmem.sources import testdata as td
 from docmem.streaming import edits as se
+from docmem.streaming import materialised as mt
 
 
 def _stream(spark, sf):
@@ -44,6 +45,24 @@ def stream_fold(spark, sf):
     return se.refold(spark, f"{where}/log", nested=False).select("db_id", "path", "pos", "value")
 
 
+def _batches(spark, sf, n=4):
+    """The event table as a stream of `n` micro-batches, dealt out at random: each batch has late events."""
+    events = td.table(spark, sf, "events")
+    where = f"{_fresh(spark)}/events"
+    files = n * max(1, -(-events.rdd.getNumPartitions() // n))
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(where)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files // n).parquet(where)
+
+
+@query("stream_fold_incremental", f"SELECT * FROM {LIST_ITEMS} UNION ALL SELECT db_id, path, NULL, value FROM {LIST_PLAIN}")
+def stream_fold_incremental(spark, sf):
+    """Each micro-batch is folded onto the stored state of its owners; many of its edits are late."""
+    where = _fresh(spark)
+    log = td.list_edits_of(_batches(spark, sf))
+    mt.materialise(log, f"{where}/fold", f"{where}/checkpoint", buckets=16, horizon=1 << 10).awaitTermination()
+    return mt.current(spark, f"{where}/fold", buckets=16).select("db_id", "path", "pos", "value")
+
+
 @query(
     "stream_last_value",
     f"""SELECT user_id AS db_id, '$.' || event_type || '.k' AS path, arg_max({K}, event_id) AS value

@@ -50,3 +50,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     table = f"{shared_dir(spark)}/docmem-{uuid.uuid4().hex}"
     df.write.parquet(table)
     return spark.read.schema(df.schema).parquet(table)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no plan reads any more, through Spark's own file systems."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmem.functions.paths import simplify
-from docmem.operators.leaves import MAX_DEPTH, explode_leaves
+from docmem.operators.leaves import explode_leaves
 from docmem.session import cut_lineage
 
 
@@ -27,7 +27,7 @@ def read_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def description_rows(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def description_rows(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Text leaves of description documents."""
     return explode_leaves(docs.select("db_id", "doc"), max_depth=max_depth).select(
         "db_id", "path", F.try_variant_get("v", "$", "string").alias("description")

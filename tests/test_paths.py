@@ -121,6 +121,41 @@ def test_too_deep_fails_loudly(spark):
         raise AssertionError("data was lost")
 
 
+def test_any_depth(spark):
+    def nest(n):
+        doc = {"x": 1.50, "l": [[1, [2.25]], {}]}
+        for i in range(n):
+            doc = {"k": doc, "l": [doc["x"] if "x" in doc else i, [None, {"odd [key": '{[\\"'}]]} if i % 2 else {"d": doc}
+        return doc
+
+    docs = {1: nest(30), 2: {"a": 1}, 3: nest(9), 4: 5, 5: [], 6: nest(3)}
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()], "db_id int, t string")
+    df = df.select("db_id", F.parse_json("t").alias("doc")).unionByName(
+        spark.sql("SELECT 7 AS db_id, CAST(NULL AS VARIANT) AS doc")
+    )
+    assert lv.document_depth(df) > 30
+    rows = lv.leaves(df, enter_lists=False)
+    back = {r.db_id: json.loads(r.doc) for r in lv.rebuild(rows.where("db_id < 7"), ["db_id"]).collect()}
+    assert back == docs
+    every = lv.leaves(df)
+
+    def count(x):
+        kids = x.values() if isinstance(x, dict) else x if isinstance(x, list) else []
+        return sum(map(count, kids)) if kids else 1
+
+    assert {r.db_id: r["count"] for r in every.where("db_id < 7").groupBy("db_id").count().collect()} == {
+        i: count(d) for i, d in docs.items()
+    }
+    assert reads.descendants(df, "x").where("db_id = 1").first().path.count(".") > 25
+
+
+def test_slices(spark):
+    df = spark.createDataFrame([('{"l":[0,1,2,3,4]}',), ('{"l":[]}',), ('{"l":7}',)], "t string").select(F.parse_json("t").alias("doc"))
+    for a, b in [(None, None), (1, 3), (-2, None), (None, -1), (-9, 2), (3, 1), (4, 99), (-1, -3), (7, 9)]:
+        got = df.select(F.to_json(F.transform(paths.matches("doc", paths.field("l"), paths.part(a, b)), lambda x: F.to_json(x)))).collect()
+        assert [json.loads(r[0]) for r in got] == [[str(x) for x in [0, 1, 2, 3, 4][a:b]], [], []]
+
+
 def test_fetch_several_paths(spark):
     docs = spark.createDataFrame([(1, json.dumps(DOC))], "db_id int, t string").select(
         "db_id", F.parse_json("t").alias("doc")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmem.functions import jsontext
 from docmem.functions import paths as p
-from docmem.operators import convo, extract, fold, leaves, reads, schema, tables
+from docmem.operators import convo, extract, fold, leaves, reads, requests, schema, tables
 from docmem.sources import keyed
 
 
@@ -24,11 +24,11 @@ def test_pairs_and_context_of_a_long_thread(spark):
     assert all(context[t] == convo.CONTEXT_SEPARATOR.join(said[:t]) for t in (0, 1, 255, 256, 257, 512, 520))
 
 
-def test_deep_paths_are_refused_not_split(spark):
+def test_deep_paths_are_not_split(spark):
     log = spark.createDataFrame([(1, "$.a.b.c.d.e.f.g.h.i", "1"), (1, "$.x", "2")], "db_id int, path string, value string")
     with pytest.raises(PySparkException):
-        leaves.rebuild(log, ["db_id"]).collect()
-    assert [r.doc for r in leaves.rebuild(log, ["db_id"], max_depth=10).collect()] == ['{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":1}}}}}}}},"x":2}']
+        leaves.rebuild(log, ["db_id"], max_depth=8).collect()
+    assert [r.doc for r in leaves.rebuild(log, ["db_id"]).collect()] == ['{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":1}}}}}}}},"x":2}']
 
 
 def test_kind_of_indented_json(spark):
@@ -53,7 +53,11 @@ def test_requests_of_several_places_do_not_end_the_job(spark):
     docs = spark.sql("""SELECT 1 AS db_id, parse_json('{"a":[{"n":1}],"b c":2}') AS doc""")
     asked = spark.createDataFrame([(1, ["$.a[0].n", '$["b c"]', "$.a[*].n", "$..n", "$.a[?n > 0].n", "NA"])], "db_id int, path_list array<string>")
     assert {r.path: r.value for r in reads.fetch(docs, asked).collect()} == {"$.a[0].n": "1", '$["b c"]': "2"}
-    assert {r.path for r in reads.unanswered(asked).collect()} == {"$.a[*].n", "$..n", "$.a[?n > 0].n"}
+    every = {(r.path, r.ord): r.value for r in requests.fetch_any(docs, asked).collect()}
+    assert every == {("$.a[0].n", 0): "1", ('$["b c"]', 0): "2", ("$.a[*].n", 0): "1", ("$..n", 0): "1", ("$.a[?n > 0].n", 0): "1"}
+    hyphen = spark.sql("""SELECT 1 AS db_id, array('$.a-b', '$.a.c-d[0]') AS path_list""")
+    docs = spark.sql("""SELECT 1 AS db_id, parse_json('{"a-b":1,"a":{"c-d":[2]}}') AS doc""")
+    assert {r.path: r.value for r in reads.fetch(docs, hyphen).collect()} == {"$.a-b": "1", "$.a.c-d[0]": "2"}
     found = reads.descendants(spark.sql("""SELECT 1 AS db_id, parse_json('{"f":{"f":[1],"q.f":2},"g":[{"f":3}]}') AS doc"""), "f")
     assert {r.path: r.t for r in found.select("path", F.to_json("v").alias("t")).collect()} == {"$.f": '{"f":[1],"q.f":2}', "$.f.f": "[1]", "$.g[0].f": "3"}
 
