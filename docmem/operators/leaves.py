@@ -156,7 +156,9 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int | None = None, altern
 
     Levels close from the deepest up. Every level groups by `keys` plus the
     parent path on data already partitioned by `keys`, so one shuffle serves
-    all of them. A step `[*]` closes as a one-element list (used for schemas).
+    all of them; the rows of deep places are closed by themselves first, so that
+    they do not lengthen the way of the others. Steps `[i]` close as a list in order,
+    a step `[*]` as a one-element list (used for schemas).
     Keys must bound the group: callers page large documents first. There are as many
     levels as the longest path has steps; a caller who knows gives `max_depth` and
     saves that count: deeper paths then fail the job instead of giving a second
@@ -165,45 +167,66 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int | None = None, altern
     """
     if max_depth is None:
         max_depth = df.agg(F.max(F.size(steps_of("path")))).first()[0] or 0
-    # an empty object above its fields is those fields
-    kept_own = F.when((F.col("_own") != "{}") | (F.size("_fields") == 0), F.col("_own"))
-    both = (F.size("_fields") > 0).cast("int") + F.col("_item").isNotNull().cast("int") + kept_own.isNotNull().cast("int")
+    steps = steps_of("path")
+    deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
+    steps = F.when(F.size(steps) > max_depth, deep.cast("array<string>")).otherwise(steps)
+    out = df.select(*keys, steps.alias("_at"), "value")
+    if max_depth > CHAIN + 1:
+        below = F.size("_at") > CHAIN
+        closed = _close(out.where(below).repartition(*keys), keys, max_depth, CHAIN + 1, alternatives)
+        out = out.where(~below).unionByName(closed)
+        max_depth = CHAIN + 1
+    return _close(out.repartition(*keys), keys, max_depth, 0, alternatives).select(*keys, F.col("value").alias("doc"))
+
+
+def _close(out: DataFrame, keys: list[str], deepest: int, until: int, alternatives: bool) -> DataFrame:
+    """Rows `(keys, _at, value)` with the places deeper than `until` closed into their parents."""
+    # an empty object above its fields is those fields, an empty list above its elements those elements
+    own_counts = F.when(F.col("_own") == "{}", F.size("_fields") == 0).when(F.col("_own") == "[]", F.size("_slots") == 0).otherwise(True)
+    kept_own = F.when(own_counts, F.col("_own"))
+    both = (
+        (F.size("_fields") > 0).cast("int")
+        + (F.size("_slots") > 0).cast("int")
+        + F.col("_item").isNotNull().cast("int")
+        + kept_own.isNotNull().cast("int")
+    )
     fields = F.when(
         F.size("_fields") > 0, F.concat(F.lit("{"), F.array_join(F.array_sort("_fields"), ","), F.lit("}"))
     )
+    in_order = F.transform(F.array_sort("_slots"), lambda s: s["value"])
+    slots = F.when(F.size("_slots") > 0, F.concat(F.lit("["), F.array_join(in_order, ","), F.lit("]")))
     item = F.concat(F.lit("["), "_item", F.lit("]"))
     if alternatives:
         own = F.regexp_replace(kept_own, r"^\[(.*)\]$", "$1")
-        clash = F.concat(F.lit("["), F.concat_ws(",", own, fields, item), F.lit("]"))
+        clash = F.concat(F.lit("["), F.concat_ws(",", own, fields, slots, item), F.lit("]"))
     else:
         clash = F.raise_error(F.concat(F.lit("a value and children at the same place below "), F.to_json("_at"))).cast("string")
 
-    steps = steps_of("path")
-    deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
-    steps = F.when(F.size(steps) > max_depth, deep.cast("array<string>")).otherwise(steps)
-    out = df.select(*keys, steps.alias("_at"), "value").repartition(*keys)
-    for depth in range(max_depth, 0, -1):
+    for depth in range(deepest, until, -1):
         here = F.size("_at") == depth
         step = F.try_element_at("_at", F.lit(-1))
+        position = F.regexp_extract(step, r"^\[(\d+)\]$", 1)
+        is_key = (position == "") & (step != "[*]")
         out = (
             out.select(
                 *keys,
                 F.when(here, F.slice("_at", 1, depth - 1)).otherwise(F.col("_at")).alias("_at"),
-                F.when(here & (step != "[*]"), F.concat(_key_of(step), F.lit(":"), "value")).alias("_field"),
+                F.when(here & is_key, F.concat(_key_of(step), F.lit(":"), "value")).alias("_field"),
+                F.when(here & (position != ""), F.struct(position.try_cast("bigint").alias("i"), F.col("value").alias("value"))).alias("_slot"),
                 F.when(here & (step == "[*]"), F.col("value")).alias("_item"),
                 F.when(~here, F.col("value")).alias("_own"),
             )
             .groupBy(*keys, "_at")
             .agg(
                 F.collect_list("_field").alias("_fields"),
+                F.collect_list("_slot").alias("_slots"),
                 F.max("_item").alias("_item"),
                 F.max("_own").alias("_own"),
             )
             .select(
                 *keys,
                 "_at",
-                F.when(both > 1, clash).otherwise(F.coalesce(fields, item, F.col("_own"))).alias("value"),
+                F.when(both > 1, clash).otherwise(F.coalesce(fields, slots, item, kept_own)).alias("value"),
             )
         )
-    return out.select(*keys, F.col("value").alias("doc"))
-
+    return out

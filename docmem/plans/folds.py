@@ -8,6 +8,7 @@ from docmem.operators import fold as fo
 from docmem.operators import leaves as lv
 from docmem.operators import matching
 from docmem.plans import query
+from docmem.session import cut_lineage
 from docmem.sources import testdata as td
 
 K = "json_extract_string(props, '$.k')"
@@ -169,6 +170,60 @@ def update_matching_elements(spark, sf):
     return out.select("db_id", "path", "pos", "value")
 
 
+_UPDATES = "(SELECT user_id AS db_id, '$.' || event_type AS path, event_id AS seq, k::BIGINT AS k FROM (SELECT *, " + K + """ AS k FROM events) WHERE value >= 60)"""
+
+
+@query(
+    "update_elements_by_selector",
+    f"""SELECT e.db_id, e.path, e.pos, e.k::BIGINT AS k,
+max(u.seq) FILTER (u.seq % 4 = 0 AND e.k::BIGINT > u.k) AS over,
+max(u.seq) FILTER (u.seq % 4 = 1 AND e.pos = 0) AS first,
+max(u.seq) FILTER (u.seq % 4 = 2 AND (e.next IS NULL OR u.seq < e.next)) AS last,
+max(u.seq) FILTER (u.seq % 4 = 3) AS seen
+FROM (SELECT *, lead(seq) OVER (PARTITION BY db_id, path ORDER BY seq) AS next FROM {_ELEMENTS}) e
+LEFT JOIN {_UPDATES} u ON e.db_id = u.db_id AND e.path = u.path AND u.seq >= e.seq GROUP BY ALL""",
+)
+def update_elements_by_selector(spark, sf):
+    """`[?k > K].over`, `[0].first`, `[-1].last` and `[*].at.seen`, each an edit of the log."""
+    out = matching.replay(td.selector_edits(spark, sf), nested=False)
+    v = F.parse_json("value")
+    get = lambda p: F.try_variant_get(v, f"$.{p}", "bigint")
+    return out.select(
+        "db_id",
+        "path",
+        "pos",
+        get("k").alias("k"),
+        get("over").alias("over"),
+        get("first").alias("first"),
+        get("last").alias("last"),
+        get("at.seen").alias("seen"),
+    )
+
+
+@query(
+    "replay_dependent_updates",
+    f"""WITH e AS (SELECT e.db_id, e.path, e.pos, e.seq, e.k, min(u.seq) FILTER (u.seq % 3 = 0) AS t0 FROM {_ELEMENTS} e
+LEFT JOIN {_UPDATES} u ON e.db_id = u.db_id AND e.path = u.path AND u.seq >= e.seq GROUP BY ALL),
+f AS (SELECT e.*, min(u.seq) FILTER (u.seq % 3 = 1) AS t1 FROM e
+LEFT JOIN {_UPDATES} u ON e.db_id = u.db_id AND e.path = u.path AND u.seq > e.t0 GROUP BY ALL)
+SELECT f.db_id, f.path, f.pos, f.k::BIGINT AS k, CASE WHEN t1 IS NOT NULL THEN 'done' WHEN t0 IS NOT NULL THEN 'seen' ELSE 'new' END AS s,
+max(u.seq) FILTER (u.seq % 3 = 2) AS at FROM f
+LEFT JOIN {_UPDATES} u ON f.db_id = u.db_id AND f.path = u.path AND u.seq > t0 AND (t1 IS NULL OR u.seq < t1) GROUP BY ALL""",
+)
+def replay_dependent_updates(spark, sf):
+    """Updates of the very field that others select by: elements go from `new` over `seen` to `done`."""
+    out = matching.replay(td.state_edits(spark, sf), nested=False)
+    v = F.parse_json("value")
+    return out.select(
+        "db_id",
+        "path",
+        "pos",
+        F.variant_get(v, "$.k", "bigint").alias("k"),
+        F.variant_get(v, "$.s", "string").alias("s"),
+        F.variant_get(v, "$.at", "bigint").alias("at"),
+    )
+
+
 @query(
     "append_per_match",
     """SELECT d.doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
@@ -215,3 +270,31 @@ def leaves(spark, sf):
 def rebuild_docs(spark, sf):
     rows = lv.leaves(td.order_docs(spark, sf), enter_lists=False, max_depth=3)
     return lv.rebuild(rows, ["db_id"], max_depth=3)
+
+
+_PLAIN = "regexp_replace({}::DECIMAL(12,2)::VARCHAR, '\\.?0+$', '')"  # VARIANT drops zeros at the end of a fraction
+_DEEP_ITEMS = f"""(SELECT l_orderkey, '[' || string_agg('[' || l_linenumber || ',' || {_PLAIN.format("l_extendedprice")} || ']', ',' ORDER BY l_linenumber, l_extendedprice) || ']' AS items
+FROM lineitem GROUP BY l_orderkey)"""
+
+
+@query(
+    "leaves_any_depth",
+    f"""SELECT o_orderkey AS db_id, '$' || repeat('.d[0]', (o_orderkey % 16)::INT) || '.total' AS path, {_PLAIN.format("o_totalprice")} AS value FROM orders
+UNION ALL SELECT o_orderkey, '$' || repeat('.d[0]', (o_orderkey % 16)::INT) || '.items', '[]' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+UNION ALL SELECT l_orderkey, '$' || repeat('.d[0]', (l_orderkey % 16)::INT) || '.items[' || pos || '][' || i || ']',
+CASE WHEN i = 0 THEN l_linenumber::VARCHAR ELSE {_PLAIN.format("l_extendedprice")} END
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS pos FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)), (VALUES (0), (1)) t(i)""",
+)
+def leaves_any_depth(spark, sf):
+    """Up to 33 levels; the depth of the walk comes from the documents."""
+    return lv.leaves(td.deep_orders(spark, sf)).select("db_id", "path", "value")
+
+
+@query(
+    "rebuild_any_depth",
+    f"""SELECT o_orderkey AS db_id, repeat('{{"d":[', (o_orderkey % 16)::INT) || '{{"items":' || coalesce(items, '[]') || ',"total":' ||
+{_PLAIN.format("o_totalprice")} || '}}' || repeat(']}}', (o_orderkey % 16)::INT) AS doc FROM orders LEFT JOIN {_DEEP_ITEMS} ON o_orderkey = l_orderkey""",
+)
+def rebuild_any_depth(spark, sf):
+    rows = cut_lineage(lv.leaves(td.deep_orders(spark, sf)))
+    return lv.rebuild(rows, ["db_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docmem.functions import paths as p
 from docmem.operators import leaves as lv
 from docmem.operators import reads
+from docmem.operators import requests as rq
 from docmem.plans import query
 from docmem.sources import testdata as td
 
@@ -85,6 +86,34 @@ def multi_path_fetch(spark, sf):
     return reads.fetch(td.text_docs(spark, sf), requests).withColumnRenamed("db_id", "doc_id")
 
 
+_ANY = {
+    "$.lines[*].n": "SELECT doc_id, n - 1 AS ord, n::VARCHAR AS value FROM {lines}",
+    "$.lines[?chars >= 200].text": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1, to_json(text)::VARCHAR FROM {lines} WHERE length(text) >= 200",
+    "$.lines[-3:-1].chars": "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1, length(text)::VARCHAR FROM {lines} WHERE n BETWEEN of - 2 AND of - 1",
+    "$.lines[-1].text": "SELECT doc_id, 0, to_json(text)::VARCHAR FROM {lines} WHERE n = of",
+    "$.lines[\\chars,/n][0:2][*].n": None,  # slices give elements, which are no lists
+    "$.lines[\\chars,/n][0:2].n": "SELECT doc_id, r, n::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, n) - 1 AS r FROM {lines}) WHERE r < 2",
+    "$..chars": "SELECT doc_id, n - 1, length(text)::VARCHAR FROM {lines} UNION ALL SELECT DISTINCT doc_id, of, n_chars::VARCHAR FROM {lines}",
+    "$.lines.`len`": "SELECT DISTINCT doc_id, 0, of::VARCHAR FROM {lines}",
+    "$.stats.chars": "SELECT DISTINCT doc_id, 0, n_chars::VARCHAR FROM {lines}",
+    '$.lines[?text =~ "^.? "]': "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1, to_json({{'chars': length(text), 'n': n, 'text': text}})::VARCHAR FROM {lines} WHERE regexp_matches(text, '^.? ')",
+}
+_COUNTED = f"(SELECT *, count(*) OVER (PARTITION BY doc_id) AS of FROM {LINES})"
+
+
+@query(
+    "multi_path_fetch_any",
+    " UNION ALL ".join(
+        f"SELECT doc_id, '{path}' AS path, ord, value FROM ({sql.format(lines=_COUNTED)}) AS t(doc_id, ord, value)" for path, sql in _ANY.items() if sql
+    ),
+)
+def multi_path_fetch_any(spark, sf):
+    """Wildcards, tests, slices, sorts, `..chars` and functions, all asked of every document at once."""
+    docs = td.text_docs(spark, sf)
+    asked = docs.select("db_id", F.array(*[F.lit(p) for p in _ANY], F.lit("NA"), F.lit("$.nothing[*]")).alias("path_list"))
+    return rq.fetch_any(docs, asked).withColumnRenamed("db_id", "doc_id")
+
+
 @query(
     "fetch_skip_na",
     """SELECT o_orderkey, '$.status.code' AS path, '"' || o_orderstatus || '"' AS value

@@ -63,6 +63,19 @@ def stream_fold_incremental(spark, sf):
     return mt.current(spark, f"{where}/fold", buckets=16).select("db_id", "path", "pos", "value")
 
 
+@query("stream_state_fold", f"SELECT * FROM {LIST_ITEMS} UNION ALL SELECT db_id, path, NULL, value FROM {LIST_PLAIN}")
+def stream_state_fold(spark, sf):
+    """State per path; late edits, of which every batch has many, take their places."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        sent = _updates(spark, se.state_fold(td.list_edits_of(_batches(spark, sf)), horizon=1 << 40))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return se.sent_values(sent).select("db_id", "path", "pos", "value")
+
+
 @query(
     "stream_last_value",
     f"""SELECT user_id AS db_id, '$.' || event_type || '.k' AS path, arg_max({K}, event_id) AS value

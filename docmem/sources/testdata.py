@@ -156,6 +156,58 @@ def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with decimals and their line items as lists of lists, nested up to 30 levels of objects and lists deep."""
+    price = lambda c: F.col(c).cast("decimal(12,2)").cast("string")
+    item = F.concat(F.lit("["), F.col("l_linenumber").cast("string"), F.lit(","), price("l_extendedprice"), F.lit("]"))
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", item.alias("text")))).alias("items"))
+    )
+    told = F.concat(
+        F.lit('{"items":['), F.array_join(F.coalesce("items.text", F.array()), ","), F.lit('],"total":'), price("o_totalprice"), F.lit("}")
+    )
+    n = (F.col("o_orderkey") % 16).cast("int")
+    doc = F.concat(F.repeat(F.lit('{"d":['), n), told, F.repeat(F.lit("]}"), n))
+    return (
+        table(spark, sf_dir, "orders")
+        .join(items, "o_orderkey", "left")
+        .select(F.col("o_orderkey").alias("db_id"), F.parse_json(doc).alias("doc"))
+    )
+
+
+def selector_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event adds `props` to the list `$.<type>`; those of value 60 or more edit elements of it, by four kinds of selectors."""
+    events = _events(spark, sf_dir)
+    top = F.concat(F.lit("$."), "event_type")
+    adds = events.select("db_id", (F.col("seq") * 2).alias("seq"), top.alias("path"), F.concat(F.lit("["), "props", F.lit("]")).alias("data"))
+    how = F.col("seq") % 4
+    step = (
+        F.when(how == 0, F.concat(F.lit("[?k > "), "k", F.lit("].over")))
+        .when(how == 1, "[0].first")
+        .when(how == 2, "[-1].last")
+        .otherwise("[*].at.seen")
+    )
+    edits = events.where("value >= 60").select(
+        "db_id", (F.col("seq") * 2 + 1).alias("seq"), F.concat(top, step).alias("path"), F.col("seq").cast("string").alias("data")
+    )
+    return adds.unionByName(edits)
+
+
+def state_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event adds an element of state `new`; those of value 60 or more move elements on to `seen` and `done`."""
+    events = _events(spark, sf_dir)
+    top = F.concat(F.lit("$."), "event_type")
+    added = F.concat(F.lit('[{"k":'), "k", F.lit(',"s":"new"}]'))
+    adds = events.select("db_id", (F.col("seq") * 2).alias("seq"), top.alias("path"), added.alias("data"))
+    how = F.col("seq") % 3
+    step = F.when(how == 0, '[?s = "new"].s').when(how == 1, '[?s = "seen"].s').otherwise('[?s = "seen"].at')
+    data = F.when(how == 0, '"seen"').when(how == 1, '"done"').otherwise(F.col("seq").cast("string"))
+    edits = events.where("value >= 60").select("db_id", (F.col("seq") * 2 + 1).alias("seq"), F.concat(top, step).alias("path"), data.alias("data"))
+    return adds.unionByName(edits)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns; each event follows as a hidden tool message."""
     said = table(spark, sf_dir, "conversations").select(

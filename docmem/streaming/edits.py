@@ -88,57 +88,129 @@ def thread_touch(messages: DataFrame, time: str = "created_at") -> DataFrame:
 
 
 class _PathFold(StatefulProcessor):
-    """Values of one path: a plain value, or the number of its list elements.
+    """Values of one path, with room for edits that come late.
 
-    List elements are sent out as they arrive and are not kept in the state, so
-    the state of a path has a fixed size.
+    List elements are sent out as they arrive and are not kept. The state has where the
+    list starts, the newest edit, and, in segments of `seq`, the plain edits before the
+    list that a late list edit may still turn into elements: those that are newer than
+    the newest edit by less than `horizon`, so the state of a path stays small.
     """
 
+    SEGMENT = 1 << 10
+    NEVER, LONG_AGO = (1 << 62), -(1 << 62)
+
+    def __init__(self, horizon: int):
+        self.horizon = horizon
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("path", "is_list boolean, seq bigint, n bigint")
+        self.at = handle.getValueState("at", "start bigint, last bigint")
+        self.held = handle.getMapState("held", "segment bigint", "seqs array<bigint>, data array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        saved = self.state.get() if self.state.exists() else (False, -(1 << 62), 0)
-        is_list, last, n = saved
-        arrived = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+    def _take(self, least: int) -> pd.DataFrame:
+        """Held edits from `least` on; they leave the state. Only segments that reach so far are opened."""
         out = []
-        for row in arrived.itertuples(index=False):
-            if row.seq <= last:
-                out.append((*key, row.seq, None, None, True))
+        for (segment,) in list(self.held.keys()):
+            if (segment + 1) * self.SEGMENT <= least:
                 continue
-            last = row.seq
-            if row.kind == "list" and not is_list:
-                is_list, n = True, 0
-            if is_list:
-                for item in row.items:
-                    out.append((*key, row.seq, n, item, False))
-                    n += 1
-            else:
-                out.append((*key, row.seq, None, row.data, False))
-        self.state.update((is_list, last, n))
-        frame = pd.DataFrame(out, columns=["db_id", "path", "seq", "pos", "value", "late"])
-        yield frame.astype({"pos": "Int64"})
+            rows = pd.DataFrame(dict(zip(("seq", "data"), self.held.getValue((segment,)))))
+            self._store(segment, rows[rows.seq < least])
+            out.append(rows[rows.seq >= least])
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"seq": [], "data": []})
+
+    def _store(self, segment: int, rows: pd.DataFrame) -> None:
+        if rows.empty:
+            if self.held.containsKey((segment,)):
+                self.held.removeKey((segment,))
+        else:
+            self.held.updateValue((segment,), ([int(x) for x in rows.seq], list(rows.data)))
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        for segment, more in rows.groupby(rows.seq // self.SEGMENT):
+            key = (int(segment),)
+            had = self.held.getValue(key) if self.held.containsKey(key) else ([], [])
+            old = pd.DataFrame(dict(zip(("seq", "data"), had)))
+            self._store(key[0], pd.concat([old, more[["seq", "data"]]], ignore_index=True).drop_duplicates("seq"))
+
+    def _forget(self, floor: int) -> None:
+        for (segment,) in list(self.held.keys()):
+            if (segment + 1) * self.SEGMENT <= floor:
+                self.held.removeKey((segment,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, last = self.at.get() if self.at.exists() else (self.NEVER, self.LONG_AGO)
+        arrived = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
+        late = arrived.seq <= last - self.horizon
+        fresh = arrived[~late]
+        first = fresh.seq[fresh.kind == "list"].min()
+        begins = min(start, self.NEVER if pd.isna(first) else int(first))
+        if begins < start:  # the list starts earlier than known: plain edits since then are its elements
+            turned = self._take(begins)
+            turned = turned.assign(idx=0, value=turned.data, in_list=True)
+        else:
+            turned = pd.DataFrame()
+        listed = fresh[fresh.seq >= begins]
+        items = listed.assign(value=listed["items"]).explode("value")
+        items["idx"] = items.groupby("seq").cumcount()
+        items["in_list"] = True
+        plain = fresh[fresh.seq < begins]
+        self._hold(plain)
+        plain = plain.assign(idx=0, value=plain.data, in_list=False)
+        last = max(last, int(arrived.seq.max()))
+        self._forget(last - self.horizon)
+        self.at.update((begins, last))
+        told = arrived[late].assign(idx=0, value=None, in_list=False, late=True)
+        out = pd.concat([x.assign(late=False) for x in (turned, items, plain) if len(x)] + [told], ignore_index=True)
+        out["db_id"], out["path"] = key[0], key[1]
+        yield out[["db_id", "path", "seq", "idx", "value", "in_list", "late"]].astype({"seq": "int64", "idx": "int32", "in_list": bool, "late": bool})
 
     def close(self) -> None:
         pass
 
 
-def state_fold(edits: DataFrame) -> DataFrame:
+def state_fold(edits: DataFrame, horizon: int = 1 << 16) -> DataFrame:
     """Stateful fold per path, for logs without nested paths.
 
-    Emits `(db_id, path, seq, pos, value, late)`: list elements with their
-    position as they arrive, plain values as they change. An edit older than
-    the newest one applied to its path is reported as `late`; the owner is then
-    to be folded again from the log (`refold`). Keyed by `(db_id, path)`, so a
-    busy owner is spread over its paths. What one path brings at once is bounded
-    by the micro-batch (`maxFilesPerTrigger` or its like).
+    Emits `(db_id, path, seq, idx, value, in_list, late)`: plain values and list elements
+    as they arrive, `(seq, idx)` being the place of an element in its list; an empty list
+    shows as one element without a value. Late edits take their place: a late list edit
+    makes elements of the plain edits after it. `sent_values` puts all that was sent
+    together. Only an edit older than its path's newest by more than `horizon` sequence
+    numbers is reported as `late` instead of applied; its owner is then to be folded
+    again from the log (`refold`). Keyed by `(db_id, path)`, so a busy owner is spread
+    over its paths. What one path brings at once is bounded by the micro-batch
+    (`maxFilesPerTrigger` or its like). Needs the RocksDB state store.
     """
     v = F.parse_json("data").cast("array<variant>")
     items = F.when(text_kind("data") == "list", F.transform(v, lambda x: F.to_json(x))).otherwise(F.array("data"))
     typed = fo.drop_na(edits).select("db_id", "path", "seq", "data", text_kind("data").alias("kind"), items.alias("items"))
+    owner = edits.schema["db_id"].dataType.simpleString()
     return typed.groupBy("db_id", "path").transformWithStateInPandas(
-        statefulProcessor=_PathFold(),
-        outputStructType="db_id string, path string, seq bigint, pos bigint, value string, late boolean",
+        statefulProcessor=_PathFold(horizon),
+        outputStructType=f"db_id {owner}, path string, seq bigint, idx int, value string, in_list boolean, late boolean",
         outputMode="Update",
         timeMode="None",
     )
+
+
+def sent_values(sent: DataFrame) -> DataFrame:
+    """All rows that `state_fold` has sent out as fold rows, positions included.
+
+    A plain edit that a late list has made an element was sent twice; it counts as that.
+    """
+    elements = F.array_sort(F.collect_set(F.when(F.col("in_list"), F.struct("idx", "value"))))
+    edits = (
+        sent.where("NOT late")
+        .groupBy("db_id", "path", "seq")
+        .agg(F.max("in_list").alias("listed"), elements.alias("e"), F.max(F.when(~F.col("in_list"), F.col("value"))).alias("plain"))
+    )
+    items = F.filter(F.transform("e", lambda x: x["value"]), lambda x: x.isNotNull())
+    return fo.fold_writes(
+        edits.select(
+            "db_id",
+            "path",
+            "seq",
+            F.when(F.col("listed"), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(F.col("plain")).alias("value"),
+            F.when(F.col("listed"), "list").otherwise("scalar").alias("kind"),
+            F.lit(False).alias("marker"),
+        )
+    )

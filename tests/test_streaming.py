@@ -1,6 +1,7 @@
 """Streams against the batch fold of the same edits."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,28 +64,41 @@ def test_stream_last_value(spark, source):
     assert {(r.db_id, r.path): r.v for r in got} == want
 
 
-def test_stream_state_fold(spark, tmp_path):
+def run_state_fold(spark, tmp_path, parts, horizon):
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    folder = str(tmp_path / "ordered")
-    for start in (0, 8, 16):
-        part = [r for r in ROWS if start <= r[1] < start + 8]
+    folder = str(tmp_path / "parts")
+    for part in parts:
         spark.createDataFrame(part, se.EDIT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(se.EDIT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = []
-
-    def keep(batch, _):
-        got.extend(batch.collect())
-
-    q = se.state_fold(stream).writeStream.outputMode("update").foreachBatch(keep)
+    q = se.state_fold(stream, horizon).writeStream.outputMode("update")
+    q = q.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/sent/batch={n}"))
     q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert not any(r.late for r in got)
-    lists = sorted((r.db_id, r.path, r.pos, r.value) for r in got if r.pos is not None)
-    want = values(fo.fold(spark.createDataFrame(ROWS, se.EDIT_SCHEMA)))
-    assert lists == [w for w in want if w[2] >= 0]
+    return spark.read.parquet(f"{tmp_path}/sent")
+
+
+def test_stream_state_fold(spark, tmp_path):
+    rows = ROWS + [("d", 1, "$.e", "[]"), ("d", 2, "$.f", "null"), ("d", 3, "$.f", "[null, 1]"), ("d", 0, "$.f", "7")]
+    parts = [rows[i::3] for i in range(3)]  # each batch comes late for the one before
+    random.Random(4).shuffle(parts)
+    sent = run_state_fold(spark, tmp_path, parts, horizon=1 << 20)
+    assert sent.where("late").count() == 0
+    assert values(se.sent_values(sent)) == values(fo.fold(spark.createDataFrame(rows, se.EDIT_SCHEMA)))
+
+
+def test_state_is_bounded_by_the_horizon(spark, tmp_path):
+    parts = [
+        [("a", i, "$.p", str(i)) for i in range(0, 6000, 2)],
+        [("a", 5001, "$.p", "[5001]"), ("a", 7, "$.p", "[7]")],  # late by less, and by more, than the horizon
+        [("a", 4999, "$.p", "[4999]")],
+    ]
+    sent = run_state_fold(spark, tmp_path, parts, horizon=2000)
+    assert [r.seq for r in sent.where("late").collect()] == [7]
+    got = [r.value for r in se.sent_values(sent).where("pos IS NOT NULL").orderBy("pos").collect()]
+    assert got == ["4999", "5000", "5001"] + [str(i) for i in range(5002, 6000, 2)]
 
 
 def test_stream_thread_touch(spark, tmp_path):
