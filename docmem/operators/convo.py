@@ -162,6 +162,27 @@ def concat_deltas(frames: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def owner_prompts(asked: DataFrame, template: str, schemas: DataFrame, descriptions: DataFrame, fetched: DataFrame) -> DataFrame:
+    """A prompt for each message `(thread_id, turn, content)` from what its owner has.
+
+    `schemas(db_id, schema)`, `descriptions(db_id, path, description)` and `fetched(db_id,
+    path, ord, value)` belong to the thread of the same id. The template's places are
+    `{schema}`, `{descriptions}`, `{data}`, `{context}` and `{request}`; what an owner
+    does not have is empty. Descriptions and answers are one line per path, in the
+    order of the paths; what is fetched for a prompt has to fit into it.
+    """
+    line = lambda value: F.concat(F.col("path"), F.lit(": "), value)
+    lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    described = descriptions.groupBy("db_id").agg(lines(line(F.col("description"))).alias("descriptions"))
+    matches = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])
+    answers = fetched.groupBy("db_id", "path").agg(F.concat(F.lit("["), F.array_join(matches, ","), F.lit("]")).alias("m"))
+    data = answers.groupBy("db_id").agg(lines(line(F.col("m"))).alias("data"))
+    owner = schemas.join(described, "db_id", "full").join(data, "db_id", "full").withColumnRenamed("db_id", "thread_id")
+    places = {c: F.col(c) for c in ("schema", "descriptions", "data", "context")}
+    prompt = render(template, request=F.col("content"), **places)
+    return previous_context(asked).join(owner, "thread_id", "left").select("thread_id", "turn", prompt.alias("prompt"))
+
+
 def render(template: str, **fields: Column) -> Column:
     """Fill `{name}` places of a template; fields are not searched for places."""
     parts: list[Column] = []

@@ -15,7 +15,7 @@ from docmem.functions.jsontext import quote
 FACTS = (
     ("$.emails", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0),
     ("$.links", r"https?://[A-Za-z0-9./?=&#_%-]+", 0),
-    ("$.phones", r"\+?[0-9]{3}[ -][0-9]{3}[ -][0-9]{3,4}", 0),
+    ("$.phones", r"(?:\+[0-9]{1,3}[ -])?[0-9]{3}[ -][0-9]{3}[ -][0-9]{3,4}|\+[0-9]{3}[ -][0-9]{3}[ -][0-9]{3,4}|\+[0-9]{9,15}", 0),
     ("$.dates", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 0),
     ("$.last_names", r"last name is (\pL[\pL-]*)", 1),
     ("$.places", r"lives in (\pL[\pL-]*(?: \p{Lu}[\pL-]*)*)", 1),

@@ -157,8 +157,11 @@ def update_matching(elements: DataFrame, updates: DataFrame) -> DataFrame:
 
 def replay(edits: DataFrame, **options) -> DataFrame:
     """Fold a log that may also edit list elements, by any selector (see `sequenced.element_edits`)."""
-    plain = edits.where(~F.col("path").rlike(ANY_ELEMENT_PATH))
-    return update_any(cut_lineage(fo.fold(plain, **options)), edits)
+    of_elements = F.col("path").rlike(ANY_ELEMENT_PATH)
+    folded = fo.fold(edits.where(~of_elements), **options)
+    if edits.where(of_elements).isEmpty():
+        return folded
+    return update_any(cut_lineage(folded), edits)
 
 
 def update_any(elements: DataFrame, edits: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ def patch_rows(
     condition (over the patch, as `p.<column>`) under which it is set. A set
     field may become NULL; fields that are not set keep their value.
 
-    Of several patches of a key the latest by `order` counts, without an order the
-    largest row.
+    Of several patches of a key the latest by `order` counts, one without an order
+    before all others; without an order column the largest row.
     """
     row = F.struct(*[F.col(c) for c in patches.columns])
-    latest = F.max(row) if order is None else F.max_by(row, order)
+    latest = F.max(row) if order is None else F.max_by(row, F.struct(F.col(order).isNotNull(), F.col(order)))
     patches = patches.groupBy(key).agg(latest.alias("_row")).select("_row.*")
     b, p = table.alias("b"), patches.withColumn("_hit", F.lit(True)).alias("p")
     joined = b.join(p, F.col(f"b.{key}") == F.col(f"p.{key}"), "left")

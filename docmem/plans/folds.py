@@ -91,23 +91,19 @@ SELECT c_custkey, NULL AS db_id, '$.market.segment' AS path, '"' || c_mktsegment
 WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')
 UNION ALL SELECT c_custkey, NULL, '$.name', '"' || c_name || '"' FROM customer
 UNION ALL SELECT c_custkey, NULL, '$.nation', c_nationkey::VARCHAR FROM customer
-UNION ALL SELECT NULL, user_id, '$.market.k', arg_max({K}, event_id) FROM events WHERE event_type = 'purchase'
-AND user_id IN (SELECT c_custkey FROM customer) GROUP BY user_id)""",
+UNION ALL SELECT c_custkey, NULL, '$.balance', c_acctbal::VARCHAR FROM customer
+UNION ALL SELECT NULL, user_id, CASE WHEN event_type = 'purchase' THEN '$.market.k' ELSE '$.last.' || event_type END,
+arg_max({K}, event_id) FROM events GROUP BY user_id, event_type)""",
 )
 def fold_onto_base(spark, sf):
-    """Stored customers; a purchase replaces `$.market` by its props."""
-    base = fo.base_edits(td.customer_docs(spark, sf), max_depth=3).where(F.col("path") != "$.balance")
-    customers = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("db_id"))
-    log = (
-        td.table(spark, sf, "events")
-        .where(F.col("event_type") == "purchase")
-        .select(
-            F.col("user_id").alias("db_id"),
-            F.col("event_id").alias("seq"),
-            F.lit("$.market").alias("path"),
-            F.col("props").alias("data"),
-        )
-        .join(customers, "db_id", "left_semi")
+    """Stored customers and all events; a purchase replaces `$.market` by its props. Owners without a base start from nothing."""
+    base = fo.base_edits(td.customer_docs(spark, sf), max_depth=3)
+    bought = F.col("event_type") == "purchase"
+    log = td.table(spark, sf, "events").select(
+        F.col("user_id").alias("db_id"),
+        F.col("event_id").alias("seq"),
+        F.when(bought, "$.market").otherwise(F.concat(F.lit("$.last."), "event_type")).alias("path"),
+        F.when(bought, F.col("props")).otherwise(F.get_json_object("props", "$.k")).alias("data"),
     )
     return fo.fold(base.unionByName(log), positions=False, nested=True, max_depth=3).select("db_id", "path", "value")
 

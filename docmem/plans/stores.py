@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docmem.operators import tables as tb
 from docmem.plans import query
+from docmem.session import shared_dir
 from docmem.sources import documents as dc
 from docmem.sources import files, keyed
 from docmem.sources import testdata as td
@@ -69,6 +72,15 @@ def csv_sentences(spark, sf):
     )
 
 
+@query("csv_column", "SELECT text AS sentence FROM conversations")
+def csv_column(spark, sf):
+    """CSV files with a header, written to the shared folder, and one column of them read back."""
+    folder = f"{shared_dir(spark)}/docmem-csv-{uuid.uuid4().hex}"
+    rows = td.table(spark, sf, "conversations").select("conv_id", F.col("text").alias("sentence"), "turn")
+    rows.write.options(header="true", quote='"', escape='"').csv(folder)
+    return files.read_csv_column(spark, folder, "sentence")
+
+
 @query(
     "dump_collections",
     """SELECT source AS uid, 'texts' AS collection, to_json({'doc_id': doc_id, 'lang': lang, 'text': text})::VARCHAR AS doc FROM documents

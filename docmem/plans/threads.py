@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmem.operators import convo, schema
+from docmem.operators import fold as fo
+from docmem.operators import requests as rq
 from docmem.plans import query
+from docmem.session import cut_lineage
+from docmem.sources import documents as dc
 from docmem.sources import testdata as td
 
 SYSTEM_PROMPT = "You keep what the user tells you."
@@ -133,6 +137,37 @@ def concat_deltas(spark, sf):
 PROMPT = "SCHEMA:\n{schema}\nPREVIOUS USER REQUESTS:\n{context}\nREQUEST:\n{request}"
 
 
+OWNER_PROMPT = "SCHEMA:\n{schema}\nDESCRIPTIONS:\n{descriptions}\nDATA:\n{data}\nPREVIOUS USER REQUESTS:\n{context}\nREQUEST:\n{request}"
+
+
+@query(
+    "prompt_table_of_owners",
+    """WITH l AS (SELECT user_id, event_type, arg_max(json_extract_string(props, '$.k'), event_id) AS k FROM events GROUP BY ALL),
+s AS (SELECT user_id, '{' || string_agg('"' || event_type || '":{"k":"integer"}', ',' ORDER BY event_type) || '}' AS schema,
+string_agg('$.' || event_type || '.k: last ' || event_type, chr(10) ORDER BY event_type) AS descriptions,
+coalesce(string_agg('$.' || event_type || '.k: [' || k || ']', chr(10) ORDER BY event_type) FILTER (event_type IN ('click', 'purchase')), '') AS data
+FROM l GROUP BY user_id)
+SELECT conv_id AS thread_id, turn, 'SCHEMA:' || chr(10) || coalesce(schema, '') || chr(10) || 'DESCRIPTIONS:' || chr(10) || coalesce(descriptions, '') ||
+chr(10) || 'DATA:' || chr(10) || coalesce(data, '') || chr(10) || 'PREVIOUS USER REQUESTS:' || chr(10) || coalesce(string_agg(text, chr(10) || '  ')
+OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ||
+chr(10) || 'REQUEST:' || chr(10) || text AS prompt FROM conversations LEFT JOIN s ON conv_id = user_id WHERE role = 'user'""",
+)
+def prompt_table_of_owners(spark, sf):
+    """Prompts with the schema, the descriptions and the fetched data of each thread's own document."""
+    last = fo.last_values(td.field_edits(spark, sf))
+    entry = F.concat(F.lit('"'), F.regexp_extract("path", r"^\$\.(.*)\.k$", 1), F.lit('":{"k":'), "value", F.lit("}"))
+    docs = last.groupBy("db_id").agg(
+        F.parse_json(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}"))).alias("doc")
+    )
+    docs = cut_lineage(docs)
+    schemas = schema.compress(schema.profile(docs, max_depth=2, by=("db_id",)), by=("db_id",), max_depth=2)
+    said = F.concat(F.lit("last "), F.regexp_extract("path", r"^\$\.(.*)\.k$", 1))
+    told = td.field_edits(spark, sf).withColumn("description", said)
+    wanted = docs.select("db_id", F.array(F.lit("$.click.k"), F.lit("$.purchase.k")).alias("path_list"))
+    asked = td.said(spark, sf).where(F.col("role") == "user")
+    return convo.owner_prompts(asked, OWNER_PROMPT, schemas, dc.upsert_descriptions(told), rq.fetch_any(docs, wanted))
+
+
 @query(
     "prompt_table",
     """SELECT conv_id AS thread_id, turn, 'SCHEMA:' || chr(10) || '{"k":"integer"}' || chr(10) ||

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from docmem.functions.jsontext import text_kind
 from docmem.operators import fold as fo
-from docmem.operators import validate
+from docmem.operators import matching, validate
 
 GOOD, BAD = "good", "quarantine"
 EDIT_SCHEMA = "db_id string, seq bigint, path string, data string"
@@ -74,7 +74,7 @@ def refold(spark: SparkSession, log: str, since: int | None = None, **options) -
     edits = read_log(spark, log)
     if since is not None:
         edits = edits.join(changed_since(spark, log, since), "db_id", "left_semi")
-    return fo.fold(edits, **options)
+    return matching.replay(edits, **options)
 
 
 def last_values(edits: DataFrame) -> DataFrame:

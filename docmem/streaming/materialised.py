@@ -18,7 +18,8 @@ are gone, a path keeps its last write, or its list from the first list write on)
 ones are kept as they are. The floor follows the owner's newest edit at a distance of
 `horizon` sequence numbers, so an edit that comes late by less than that finds all it
 may interact with. One that comes even later makes the batch fold its owner anew from
-the bucket's log; such owners are the only ones whose history is read.
+the bucket's log; such owners are the only ones whose history is read. Edits of list
+elements stay in the state as they came and are applied when values are read.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructField, StructType
 
+from docmem.functions.paths import ANY_ELEMENT_PATH
 from docmem.operators import fold as fo
-from docmem.operators import validate
+from docmem.operators import matching, validate
 from docmem.session import cut_lineage, remove
 
 BUCKETS = 64  # so many that a bucket's state is rewritten in little time; fixed for the life of a folder
@@ -41,7 +43,7 @@ FAN = 8  # log folders of one level and bucket before they are merged into one o
 SPLIT = 8  # tasks that write one bucket, so that a hot owner is no single task
 
 _OLDEST = -(1 << 62)
-_HEAD = "head"
+_HEAD, _ELEMENT = "head", "element"
 _MANIFEST = "bucket int, part string, gen string, level int"
 _STATE = "seq bigint, path string, value string, kind string, implied boolean, marker boolean"
 
@@ -104,11 +106,27 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def _writes(edits: DataFrame) -> DataFrame:
+    """State rows of edits: writes as the fold takes them, edits of list elements as they came."""
+    of_elements = F.col("path").rlike(ANY_ELEMENT_PATH)
+    kept = edits.where(of_elements).select(
+        "db_id",
+        "seq",
+        "path",
+        F.col("data").alias("value"),
+        F.lit(_ELEMENT).alias("kind"),
+        F.lit(False).alias("implied"),
+        F.lit(False).alias("marker"),
+    )
+    return fo.spread(edits.where(~of_elements)).select(kept.columns).unionByName(kept)
+
+
 def _compacted(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """State rows of `owners(db_id, floor)`: writes up to the floor compacted, later ones as they are, and a head each."""
     rows = cut_lineage(rows.join(owners.select("db_id", "floor"), "db_id"))
-    old = rows.where(F.col("seq") <= F.col("floor")).drop("floor")
-    new = rows.where(F.col("seq") > F.col("floor")).drop("floor")
+    settled = (F.col("seq") <= F.col("floor")) & (F.col("kind") != _ELEMENT)
+    old = rows.where(settled).drop("floor")
+    new = rows.where(~settled).drop("floor")
     heads = owners.select(
         "db_id",
         F.col("floor").alias("seq"),
@@ -158,11 +176,11 @@ def apply(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS, ho
     # delivered again: the same (db_id, seq) among the writes still kept as they came
     fresh = fresh.join(kept.where(~F.col("implied")).select("db_id", "seq"), ["db_id", "seq"], "left_anti")
     columns = state.columns
-    rows = kept.select(columns).unionByName(fo.spread(fresh).select(columns))
+    rows = kept.select(columns).unionByName(_writes(fresh).select(columns))
     if not late.isEmpty():
         log = _read(spark, _folders(root, entries, "log", touched), _with_id(tail, "seq bigint, path string, data string"))
         again = _once(log.join(late.select("db_id"), "db_id", "left_semi"))
-        rows = rows.unionByName(fo.spread(again).select(columns))
+        rows = rows.unionByName(_writes(again).select(columns))
     unchanged = state.join(owners.select("db_id"), "db_id", "left_anti").select(columns)
     out = _compacted(rows, owners).select(columns).unionByName(unchanged).withColumn("bucket", bucket_of(buckets))
     where = f"{root}/state/gen={batch_id}"
@@ -244,9 +262,11 @@ def current(
     state = _read(spark, paths).where(F.col("kind") != _HEAD)
     if owners is not None:
         state = state.join(owners.select("db_id").distinct(), "db_id", "left_semi")
-    writes = cut_lineage(state)
+    writes = cut_lineage(state.where(F.col("kind") != _ELEMENT))
     settled = fo.settle(writes)
-    return fo.fold_writes(settled if settled is writes else cut_lineage(settled), positions=positions)
+    folded = fo.fold_writes(settled if settled is writes else cut_lineage(settled), positions=positions)
+    edits = state.where(F.col("kind") == _ELEMENT).select("db_id", "seq", "path", F.col("value").alias("data"))
+    return folded if edits.isEmpty() else matching.update_any(cut_lineage(folded), edits)
 
 
 def log_folders(spark: SparkSession, root: str) -> dict[int, int]:

@@ -59,6 +59,15 @@ def test_compaction_drops_what_no_longer_counts(spark, tmp_path):
     assert values(mt.current(spark, root, buckets=2)) == [("a", "$.m.k", -1, "49"), ("a", "$.n", -1, "199")]
 
 
+def test_edits_of_list_elements(spark, tmp_path):
+    rows = [("a", 1, "$.l", '[{"n": 1}, {"n": 2}]'), ("a", 5, "$.l[?n = 2].x", '"y"'), ("a", 9, "$.l", '{"n": 2}'), ("a", 12, "$.l[-1].z", "3")]
+    root = str(tmp_path / "fold")
+    for n, part in enumerate((rows[1:2] + rows[3:], rows[:1] + rows[2:3])):
+        mt.apply(frame(spark, part), n, root, 2, horizon=2)
+    got = [json.loads(x[3]) for x in values(mt.current(spark, root, buckets=2))]
+    assert got == [{"n": 1}, {"n": 2, "x": "y"}, {"n": 2, "z": 3}]
+
+
 def test_log_folders_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(mt, "FAN", 3)
     root = str(tmp_path / "fold")

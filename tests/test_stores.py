@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from docmem.operators import extract, tables
 from docmem.sources import documents, files, keyed
 
 
@@ -11,7 +12,11 @@ def test_document_folder(spark, tmp_path):
     (tmp_path / "2024-04-06.json").write_text(json.dumps({"education": [{"year": "2010"}]}, indent=4))
     (tmp_path / "with space.json").write_text("{}")
     (tmp_path / "2024-04-06-desc.json").write_text(json.dumps({"education": "schools", "user": {"name": "full name"}}))
+    (tmp_path / "broken.json").write_text('{"a": 1')
+    (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     stored = documents.read_folder(spark, str(tmp_path))
+    assert {r.db_id for r in stored.collect()} == {"2024-04-06", "with space"}
+    assert {r.db_id for r in documents.folder_faults(spark, str(tmp_path)).collect()} == {"broken", "twice"}
     asked = spark.createDataFrame([("2024-04-06",), ("with space",), ("unknown",)], "db_id string")
     got = {r.db_id: json.loads(r.d) for r in documents.lookup(asked, stored).select("db_id", F.to_json("doc").alias("d")).collect()}
     assert got == {"2024-04-06": {"education": [{"year": "2010"}]}, "with space": {}, "unknown": {}}
@@ -24,9 +29,28 @@ def test_saved_documents_are_replaced(spark, tmp_path):
     rows = [(f"d{i}", json.dumps({"v": i})) for i in range(50)]
     documents.save(spark.createDataFrame(rows, "db_id string, doc string"), folder, buckets=4)
     changed = spark.createDataFrame([("d7", '{"v":70}'), ("new", "{}")], "db_id string, doc string")
-    documents.replace(spark, folder, changed, buckets=4)
+    documents.replace(spark, folder, changed)
     got = {r.db_id: r.doc for r in documents.load(spark, folder).collect()}
     assert got == {**dict(rows), "d7": '{"v":70}', "new": "{}"}
+    more = spark.createDataFrame([("d8", "[]"), ("newer", "{}")], "db_id string, doc string")
+    documents.save(more, folder, buckets=9)  # the first choice of buckets holds
+    got = {r.db_id: r.doc for r in documents.load(spark, folder).collect()}
+    assert got == {**dict(rows), "d7": '{"v":70}', "new": "{}", "d8": "[]", "newer": "{}"}
+    assert {r.bucket for r in spark.read.parquet(folder).collect()} <= set(range(4))
+
+
+def test_patches_without_an_order(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    patches = spark.createDataFrame([(1, "x", None), (2, "y", None), (2, "z", 5)], "k int, v string, t int")
+    got = tables.patch_rows(table, patches, "k", {"v": F.lit(True)}, "t")
+    assert {r.k: r.v for r in got.collect()} == {1: "x", 2: "z", 3: "c"}
+
+
+def test_whole_phone_numbers(spark):
+    texts = ["call +420 123 456 789 now", "or 123 456 789", "or +420 123 4567", "+420123456789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "db_id int, text string")
+    got = {r.db_id: r.data for r in extract.extract_edits(df).where("path = '$.phones'").collect()}
+    assert got == {0: '"+420 123 456 789"', 1: '"123 456 789"', 2: '"+420 123 4567"', 3: '"+420123456789"'}
 
 
 def test_descriptions_upsert(spark):
