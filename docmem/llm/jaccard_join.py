@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, graph, tables
 from .suffix_tree import WordHash
-from .text import lower_words
+from .text import lower_words, text_runs
 
 WORDS = 5
 PER_CENT = 80
@@ -42,7 +42,7 @@ PIVOTS = 1024  # of a part and round, at most
 PIVOT_SHINGLES = 1 << 20  # of these together, beyond the first 16
 SLOT_BYTES = 8 << 20
 SAMPLE = np.uint64(2)  # one of so many shingles by hash is sent to find lone ones
-KEPT = 300_000  # word hashes a task remembers
+KEPT = 50_000  # word hashes a task remembers, some 10 MB
 SENT = 1_000_000  # numbers that are broadcast at most
 
 
@@ -78,13 +78,14 @@ def facts(docs: DataFrame) -> DataFrame:
     def run(batches):
         table = WordHash()
         for b in batches:
-            if len(table) > KEPT:
-                table.clear()
             n, key = [], []
-            for text in b.column("text").to_pylist():
-                x = shingles(lower_words(text), table)
-                n.append(len(x))
-                key.append(digest(x))
+            for _, texts in text_runs(b.column("text")):
+                if len(table) > KEPT:
+                    table.clear()
+                for text in texts:
+                    x = shingles(lower_words(text), table)
+                    n.append(len(x))
+                    key.append(digest(x))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary())],
                 names=["doc_id", "text_hash", "n", "set"],
@@ -105,12 +106,12 @@ def lone_counts(docs: DataFrame, total: int) -> DataFrame:
 
     def cut(batches):
         table = WordHash()
-        for b in batches:
+        for texts in (texts for b in batches for _, texts in text_runs(b.column("text"))):
             if len(table) > KEPT:
                 table.clear()
             done: set[bytes] = set()
             keys, sizes, values = [], [], []
-            for text in b.column("text").to_pylist():
+            for text in texts:
                 x = shingles(lower_words(text), table)
                 key = digest(x)
                 if len(x) and key not in done:
@@ -133,7 +134,7 @@ def lone_counts(docs: DataFrame, total: int) -> DataFrame:
         wide = np.zeros((len(raw) // bytes_, 8), np.uint8)
         wide[:, :bytes_] = raw.reshape(-1, bytes_)
         x = wide.view("<u8").ravel()
-        # the same set may come from several batches: its shingles are the same each time
+        # the same set may come from several runs of texts: its shingles are the same each time
         key = key.reshape(-1, 2)
         _, first, same = np.unique(key, axis=0, return_index=True, return_inverse=True)
         owner = blocks.spans(per)
@@ -177,10 +178,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         table = WordHash()
-        for b in batches:
+        for texts in (texts for b in batches for _, texts in text_runs(b.column("text"))):
+            if len(table) > KEPT:
+                table.clear()
             done: set[bytes] = set()
             keys, sets = [], []
-            for text in b.column("text").to_pylist():
+            for text in texts:
                 x = shingles(lower_words(text), table)
                 key = digest(x)
                 if key not in done:

@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, tables
-from .text import lower_words, runs
+from .text import lower_words, text_runs
 
 DEPTH = 5
 LEAST = 4
 HEAVY = 1e-6
 WEIGHT = 0.3  # of the unigram base in the mixture
-FLUSH = 3_000_000  # counts a task holds; they are merged then, and sent if still more than half as many
+FLUSH = 1_000_000  # counts a task holds, some 24 MB, and the copies of a merge
 
-KEPT = 300_000  # word hashes a task remembers
+KEPT = 50_000  # word hashes a task remembers, some 10 MB
 
 START, END = 0x110000, 0x110001  # beyond the last code point
 SYMBOLS = 0x110002
@@ -156,9 +156,8 @@ def corpus_counts(train: DataFrame) -> DataFrame:
                     yield rows(0, np.zeros(len(w), np.int64), w.view(np.int64), n)
 
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in runs(texts):
-                words = [lower_words(t) for t in texts[lo:hi]]
+            for _, texts in text_runs(b.column("text")):
+                words = [lower_words(t) for t in texts]
                 h = np.append(hashed(words, table), np.full(len(words), ENDING, np.uint64))
                 held_words.append(np.unique(h, return_counts=True))
                 held.append(grams(words))
@@ -370,12 +369,11 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
         table = WordHash()
         model, known = sent.value
         for b in batches:
-            texts, uids = b.column("text").to_pylist(), b.column("uid").to_numpy()
+            uids = b.column("uid").to_numpy()
             names = b.column("doc_id").to_pylist()
             held = np.asarray(b.column("held_out").to_pylist(), np.int64)
-            rare = []
-            for lo, hi in runs(texts):
-                words = [lower_words(t) for t in texts[lo:hi]]
+            for lo, texts in text_runs(b.column("text")):
+                words = [lower_words(t) for t in texts]
                 m = len(words)
                 sizes = np.array([len(w) + 1 for w in words])
                 h = hashed([[*w, b"\n"] for w in words], table)
@@ -399,11 +397,10 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
                         np.bincount(doc[hit], mixed(base, by_tree[hit], weight), m),
                     ]
                 )
-                rare.append((h[~hit], (doc + lo)[~hit], by_tree[~hit].astype("<f4")))
-            h, doc, by_tree = (np.concatenate(x) for x in zip(*rare))
-            if len(h):
-                for bucket, at in blocks.by_bucket((h % np.uint64(buckets)).astype(np.int64)):
-                    owner, per = np.unique(doc[at], return_counts=True)
+                rare = ~hit
+                h, owners, by_tree = h[rare], (doc + lo)[rare], by_tree[rare].astype("<f4")
+                for bucket, at in blocks.by_bucket((h % np.uint64(buckets)).astype(np.int64)) if len(h) else ():
+                    owner, per = np.unique(owners[at], return_counts=True)
                     yield bucket, blocks.packed([uids[owner] * 2 + held[owner], per.astype("<u4"), h[at], by_tree[at]])
 
     def merge(bucket, found):

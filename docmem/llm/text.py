@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,16 +36,17 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(text) if ODD_BLANKS.search(text) else text.split()
 
 
-def runs(texts: list[str | None], most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Runs of texts of at most `most` characters together, or of one longer text: (first, after last)."""
-    out, lo, size = [], 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
-        if size + n > most and i > lo:
-            out.append((lo, i))
+def text_runs(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of runs of some `most` bytes of an Arrow column of texts; a task holds one run as Python objects."""
+    sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
+    lo, size = 0, 0
+    for i, n in enumerate(sizes):
+        if size + n + 1 > most and i > lo:
+            yield lo, column.slice(lo, i - lo).to_pylist()
             lo, size = i, 0
-        size += n
-    return [*out, (lo, len(texts))] if texts else out
+        size += n + 1
+    if sizes:
+        yield lo, column.slice(lo).to_pylist()
 
 
 def lower_words(text: str | None) -> list[bytes]:
