@@ -203,6 +203,37 @@ def test_neighbours(spark):
     ties = [i for _, i, _ in sorted(got[100])]
     assert ties == [99, 101, 102, 103, 104]
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    in_passes = ann.nearest(df, F.col("vec_id") % 50 == 0, pass_bytes=10_000)
+    assert sorted(map(str, in_passes.collect())) == sorted(map(str, ann.nearest(df, F.col("vec_id") % 50 == 0).collect()))
+
+
+def test_neighbours_in_narrow_windows(spark):
+    """Recall where windows are really a 64th of a curve, and vectors have no structure at all."""
+    r = np.random.default_rng(9)
+    v = r.standard_normal((20000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for x in ann.nearest(df.repartition(4), F.col("vec_id") % 200 == 0).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    w = v.astype(float)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    hit = 0
+    for q, found in got.items():
+        s = w @ w[q]
+        s[q] = -9
+        hit += len(found & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 100 and hit >= 0.9 * 5 * len(got)
+
+
+def test_repeated_and_huge_vectors(spark):
+    rows = [(1, [1.0, 0.0])] + [(2, [1.0, 0.1])] * 40 + [(i, [1.0, float(i)]) for i in range(3, 9)]
+    rows += [(20, [1e200, 1e200]), (21, [1e-200, 2e-200]), (0, [1.0, 0.0]), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(ann.nearest(df, F.col("vec_id") == 1).collect(), key=lambda x: x["rank"])
+    want = sorted(((-np.cos(np.arctan(t)), i) for i, t in [(0, 0), (2, 0.1), (20, 1), (21, 2), (3, 3)]))
+    assert [x.vec_id for x in got] == [i for _, i in want]
+    assert np.allclose([x.score for x in got], [-s for s, _ in want], atol=1e-12)
+    assert len({x.vec_id for x in ann.nearest(df, F.col("vec_id") == 0).collect()}) == 5
 
 
 def test_pipeline(spark, documents, tmp_path):
