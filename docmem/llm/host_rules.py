@@ -1,17 +1,18 @@
 """Host-level quality rules.
 
 Every document is tested by rules of its own. The failures of each rule are
-counted by host, and the rate of a host is shrunk towards the rate of all hosts
-by a beta prior fitted to the spread of the rates (method of moments). A host
-whose shrunk rate of any rule is too high loses its documents. Hosts with few
-documents stay near the prior, so a few bad documents do not condemn them.
+counted by host, and the rate of a host is shrunk towards the rates of the other hosts
+by a beta prior fitted to their mean and spread (method of moments, hosts weighed by their
+documents; the host itself is left out, so that it cannot widen the measure it is judged by). A host whose shrunk rate of
+any rule lies far above that prior loses its documents. Hosts with few documents stay
+near the prior, so a few bad documents do not condemn them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
@@ -19,7 +20,7 @@ from .text import split_words
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-MAX_RATE = 0.5
+WIDE = 4.0  # standard deviations of the prior that a shrunk rate may lie above its mean
 
 METRICS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
@@ -88,12 +89,14 @@ def rules() -> dict:
 BASE = ("few_words", "repeats")
 
 
-def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+def judge(docs: DataFrame, wide: float = WIDE) -> DataFrame:
     """Metrics, `base_failed`, host rates and `kept` of each document (doc_id, source, text).
 
     NULL sources form one host. NULL, empty and blank texts have no words, so they
     fail. Repeated rows count as often as they occur. A document is kept if it
-    passes the base rules and no rule's shrunk rate of its host is above `max_rate`.
+    passes the base rules and no rule's shrunk rate of its host lies more than `wide`
+    standard deviations above the mean of the host's prior. A single host is its own prior
+    and is kept.
     """
     tests = rules()
     measured = tables.written(metrics(docs).withColumns({f"f_{k}": v for k, v in tests.items()}))
@@ -101,17 +104,17 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     hosts = measured.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"f_{k}").cast("int")).alias(f"s_{k}") for k in tests]
     )
-    rate = {k: F.col(f"s_{k}") / F.col("n") for k in tests}
-    spread = hosts.agg(
-        F.count(F.lit(1)).alias("hosts"),
-        *[x for k in tests for x in (F.avg(rate[k]).alias(f"m_{k}"), F.var_samp(rate[k]).alias(f"v_{k}"))],
+    square = {k: F.col(f"s_{k}") * F.col(f"s_{k}") / F.col("n") for k in tests}
+    sums = hosts.agg(
+        F.sum("n").alias("n"),
+        *[x for k in tests for x in (F.sum(f"s_{k}").alias(f"t_{k}"), F.sum(square[k]).alias(f"q_{k}"))],
     ).first()
     verdict, shown = F.lit(True), []
     for k in tests:
-        a, b = beta_prior(spread[f"m_{k}"], spread[f"v_{k}"])
-        shrunk = ((F.col(f"s_{k}") + F.lit(a)) / (F.col("n") + F.lit(a + b))).alias(f"rate_{k}")
-        shown.append(shrunk)
-        verdict = verdict & (F.col(f"rate_{k}") <= max_rate)
+        a, b = prior_of_others(F.col("n"), F.col(f"s_{k}"), sums["n"] or 0, sums[f"t_{k}"] or 0, sums[f"q_{k}"] or 0.0)
+        limit = a / (a + b) + wide * F.sqrt(a * b / (a + b + 1)) / (a + b)
+        shown += [((F.col(f"s_{k}") + a) / (F.col("n") + a + b)).alias(f"rate_{k}"), limit.alias(f"limit_{k}")]
+        verdict = verdict & (F.col(f"rate_{k}") <= F.col(f"limit_{k}"))
     judged = hosts.select(F.col("source").alias("host"), F.col("n").alias("host_docs"), *shown).withColumn("host_kept", verdict)
     failed = F.col(f"f_{BASE[0]}")
     for k in BASE[1:]:
@@ -124,14 +127,16 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     )
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """(a, b) of a beta distribution with this mean and variance of host rates.
+def prior_of_others(n: Column, failed: Column, docs: int, total: int, squares: float) -> tuple[Column, Column]:
+    """(a, b) of a beta distribution with the mean and variance of the rates of all hosts but one.
 
-    Its weight is held between 10 and 100 documents, 100 without spread (one host, equal rates); with
-    a mean of 0 or 1 half a document is added on either side.
+    `n` and `failed` are that host's documents and failures, `docs` and `total` those of all
+    hosts, `squares` the sum of failed^2 / n. The weight is held between 10 and 100 documents, 100
+    without spread (two hosts, equal rates); half a document is added on either side.
     """
-    mean = 0.0 if mean is None else float(mean)
-    weight = 100.0
-    if variance is not None and variance > 0 and 0 < mean < 1:
-        weight = min(100.0, max(10.0, mean * (1 - mean) / float(variance) - 1))
+    rest = F.lit(docs) - n
+    mean = F.when(rest > 0, (F.lit(total) - failed) / rest).otherwise(failed / n)
+    variance = F.when(rest > 0, (F.lit(squares) - failed * failed / n) / rest - mean * mean).otherwise(0.0)
+    fitted = F.least(F.lit(100.0), F.greatest(F.lit(10.0), mean * (1 - mean) / variance - 1))
+    weight = F.when((variance > 0) & (mean > 0) & (mean < 1), fitted).otherwise(100.0)
     return mean * weight + 0.5, (1 - mean) * weight + 0.5

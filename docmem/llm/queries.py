@@ -42,7 +42,8 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-LISTED = "(^|[.])ads[^.]*[.]"  # hosts with a label that starts with "ads"
+# the block list: hosts that have one of these words in a label
+LISTED = "(^|[.-])(ads|adult|bets|casino)([.-]|$)"
 
 URL_SQL = rf"""
 WITH rest AS (
@@ -73,16 +74,32 @@ FROM ruled
 
 @query("op1_url_filters", URL_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages"), F.col("host").rlike(LISTED))
+    pages = dealt(table(spark, sf_dir, "pages").select("page_id", "url"))
+    host, _ = url_filters.host_and_path(F.col("url"))
+    blocked = pages.select(host.alias("host")).where(F.col("host").rlike(LISTED)).distinct()
+    return url_filters.judge(pages, blocked)
 
 
-def _rate(rule: str) -> str:
-    """SQL for the shrunk failure rate of a host."""
-    weight = (
-        f"CASE WHEN v_{rule} > 0 AND m_{rule} > 0 AND m_{rule} < 1 "
-        f"THEN least(100.0, greatest(10.0, m_{rule} * (1 - m_{rule}) / v_{rule} - 1)) ELSE 100.0 END"
+def _moments(rule: str) -> str:
+    """SQL for the mean and variance of the other hosts' rates, weighed by documents."""
+    s, mean = f"s_{rule}", f"(t_{rule} - s_{rule}) / (docs - n)"
+    return (
+        f"CASE WHEN docs > n THEN {mean} ELSE {s} / n END AS m_{rule}, "
+        f"CASE WHEN docs > n THEN (q_{rule} - {s} * {s} / n) / (docs - n) - ({mean}) * ({mean}) ELSE 0.0 END AS v_{rule}"
     )
-    return f"(s_{rule} + m_{rule} * ({weight}) + 0.5) / (n + ({weight}) + 1.0) <= 0.5"
+
+
+def _prior(rule: str) -> str:
+    """SQL for the beta prior of a host."""
+    m, v = f"m_{rule}", f"v_{rule}"
+    weight = f"CASE WHEN {v} > 0 AND {m} > 0 AND {m} < 1 THEN least(100.0, greatest(10.0, {m} * (1 - {m}) / {v} - 1)) ELSE 100.0 END"
+    return f"{m} * ({weight}) + 0.5 AS a_{rule}, (1 - {m}) * ({weight}) + 0.5 AS b_{rule}"
+
+
+def _rate(rule: str) -> str:
+    """SQL: is the shrunk failure rate of a host within its prior?"""
+    a, b = f"a_{rule}", f"b_{rule}"
+    return f"(s_{rule} + {a}) / (n + {a} + {b}) <= {a} / ({a} + {b}) + 4 * sqrt({a} * {b} / ({a} + {b} + 1)) / ({a} + {b})"
 
 
 _RULES = {"few": "n_words < 10", "rep": "n_repeat_words * 100 > n_words * 20", "sym": "n_symbols * 10 > n_words"}
@@ -108,10 +125,14 @@ WITH read AS (
 ), hosts AS (
   SELECT source AS host, count(*) AS n, {", ".join(f"count(*) FILTER ({c}) AS s_{r}" for r, c in _RULES.items())}
   FROM measured GROUP BY source
+), sums AS (
+  SELECT sum(n)::BIGINT AS docs, {", ".join(f"sum(s_{r})::BIGINT AS t_{r}, sum(s_{r} * s_{r} / n) AS q_{r}" for r in _RULES)} FROM hosts
+), others AS (
+  SELECT host, n, {", ".join(f"s_{r}" for r in _RULES)}, {", ".join(_moments(r) for r in _RULES)} FROM hosts, sums
 ), prior AS (
-  SELECT {", ".join(f"avg(s_{r} / n) AS m_{r}, coalesce(var_samp(s_{r} / n), 0) AS v_{r}" for r in _RULES)} FROM hosts
+  SELECT *, {", ".join(_prior(r) for r in _RULES)} FROM others
 ), judged AS (
-  SELECT host, n AS host_docs, {" AND ".join(_rate(r) for r in _RULES)} AS host_kept FROM hosts, prior
+  SELECT host, n AS host_docs, {" AND ".join(_rate(r) for r in _RULES)} AS host_kept FROM prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, host_docs, host_kept,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

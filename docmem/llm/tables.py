@@ -56,8 +56,8 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """Add `rank`, the place from 0 of each row in the order of the columns.
+def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Add `name`, the place from 0 of each row in the order of the columns.
 
     Rows are dealt out by ranges, numbered within their range, and moved by the
     sizes of the ranges before; only one count per range meets in one place.
@@ -66,19 +66,19 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_last() for c in order]
+    tie, part, n, start = (fresh(df, c) for c in ("_tie", "_part", "_n", "_before"))
     placed = written(
-        df.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(parts, *keys, "_tie")
-        .withColumn("_part", F.spark_partition_id())
+        df.withColumn(tie, F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys, tie)
+        .withColumn(part, F.spark_partition_id())
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        placed.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    )
-    within = Window.partitionBy("_part").orderBy(*keys, "_tie")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(n))
+    starts = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(part).orderBy(*keys, tie)
     return (
-        placed.withColumn("_n", F.row_number().over(within))
-        .join(F.broadcast(sizes.drop("count")), "_part")  # one row per range
-        .withColumn("rank", F.col("_before") + F.col("_n") - 1)
-        .drop("_part", "_tie", "_n", "_before")
+        placed.withColumn(n, F.row_number().over(within))
+        .join(F.broadcast(starts), part)  # one row per range
+        .withColumn(name, F.col(start) + F.col(n) - 1)
+        .drop(tie, part, n, start)
     )

@@ -154,36 +154,52 @@ def _member(made):
     return F.pandas_udf(member, "boolean")
 
 
-def mark_listed(rows: DataFrame, key: str, listed: Column, parts: int | None = None) -> DataFrame:
-    """Add `listed` to each row: is its key one of those for which the condition holds in some row?
+def mark_listed(rows: DataFrame, key: str, listed: Column | DataFrame, parts: int | None = None) -> DataFrame:
+    """Add `listed` to each row: is its key on the list?
 
-    NULL keys are never listed. Repeated rows and keys count once. `parts` is the
-    number of cascades; by default as many as keep each below `MAX_BYTES`.
+    The list is a table of keys (its first column), or a condition that holds in some row
+    of the key. NULL keys are never listed; listed keys that no row has change nothing.
+    Repeated rows and keys count once. A column `listed` of the rows is replaced, all others
+    stay. `parts` is the number of cascades; by default as many as keep each below `MAX_BYTES`.
     """
-    h1, h2 = hashes(F.col(key))
+    rows = rows.drop("listed") if isinstance(listed, DataFrame) else rows
+    h1, h2 = hashes(F.col(key).cast("string"))
+    on = F.lit(False) if isinstance(listed, DataFrame) else F.coalesce(listed, F.lit(False))
+    known = rows.where(F.col(key).isNotNull()).select(
+        h1.alias("h1"), h2.alias("h2"), on.alias("listed"), F.lit(True).alias("present")
+    )
+    if isinstance(listed, DataFrame):
+        name = listed.columns[0]
+        l1, l2 = hashes(F.col(name).cast("string"))
+        known = known.unionByName(
+            listed.where(F.col(name).isNotNull()).select(
+                l1.alias("h1"), l2.alias("h2"), F.lit(True).alias("listed"), F.lit(False).alias("present")
+            )
+        )
     universe = tables.written(
-        rows.where(F.col(key).isNotNull())
-        .select(h1.alias("h1"), h2.alias("h2"), F.coalesce(listed, F.lit(False)).alias("listed"))
-        .groupBy("h1", "h2")
-        .agg(F.bool_or("listed").alias("listed"))
+        known.groupBy("h1", "h2")
+        .agg(F.bool_or("listed").alias("listed"), F.bool_or("present").alias("present"))
+        .where("present")
+        .drop("present")
     )
     if parts is None:
         parts = 1 + universe.where("listed").count() * BITS // (8 * MAX_BYTES // 2)
-    out = rows.withColumns({"_h1": h1, "_h2": h2, "listed": F.lit(False)})
+    one, two = tables.fresh(rows, "_h1"), tables.fresh(rows, "_h2")
+    out = rows.withColumns({one: h1, two: h2}).withColumn("listed", F.lit(False))
     for part in range(parts):
         mine = F.pmod(F.col("h1"), F.lit(parts)) == part
         made = rows.sparkSession.sparkContext.broadcast(cascade(universe.where(mine)).levels)
-        here = F.pmod(F.col("_h1"), F.lit(parts)) == part
-        out = out.withColumn("listed", F.when(here, _member(made)("_h1", "_h2")).otherwise(F.col("listed")))
-    return out.withColumn("listed", F.col("listed") & F.col(key).isNotNull()).drop("_h1", "_h2")
+        here = F.pmod(F.col(one), F.lit(parts)) == part
+        out = out.withColumn("listed", F.when(here, _member(made)(one, two)).otherwise(F.col("listed")))
+    return out.withColumn("listed", F.col("listed") & F.col(key).isNotNull()).drop(one, two)
 
 
 def judge(
-    pages: DataFrame, listed: Column, rules: tuple[tuple[str, str], ...] = RULES
+    pages: DataFrame, listed: Column | DataFrame, rules: tuple[tuple[str, str], ...] = RULES
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of every page (page_id, url).
 
-    `listed` is a condition on `host` and `path` that puts a host on the block list.
+    `listed` is the block list: a table of hosts, or a condition on `host` and `path`.
     The longest fitting rule decides; without one a listed host is blocked and any
     other url allowed. NULL urls and urls without a host are allowed.
     """

@@ -4,11 +4,12 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docmem.llm import host_rules, packing, quality, suffix_tree
+from docmem.llm import host_rules, packing, quality, queries, suffix_tree
 from docmem.llm.text import WORD
 
 
@@ -54,6 +55,30 @@ def test_bad_host_loses_its_good_documents(spark):
     assert got[3000].host_kept  # one document does not condemn a host
 
 
+def test_a_host_far_above_the_others_loses_its_documents(spark):
+    """Its rate stays below one half; the others are alike."""
+    full = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(h * 1000 + i, "short" if i % 50 == h % 7 else full(h * 1000 + i), f"h{h}") for h in range(15) for i in range(200)]
+    rows += [(90000 + i, "short" if i % 10 < 3 else full(90000 + i), "worse") for i in range(200)]
+    rows += [(95000 + i, "short" if i < 2 else full(95000 + i), "few") for i in range(4)]
+    got = host_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    kept = {s: {x.host_kept for x in got if x.source == s} for s in {x.source for x in got}}
+    assert kept.pop("worse") == {False}
+    assert all(v == {True} for v in kept.values())
+    assert not any(x.kept for x in got if x.source == "worse")
+
+
+@pytest.mark.parametrize("name", ["op1_url_filters", "op2_host_rules"])
+def test_queries_equal_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, sf)
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want) and want
+
+
 def test_word_ids_are_those_of_the_whole_text():
     words = packing.WordIds()
     texts = ["Hello, World! it's e\u0301t\u00e9 \u03a3\u03a3 \u0130 3.14 <|endoftext|> a<|endoftext|>b <|x", "x\u00a0y\u2003z \x1c q\x85r", "", "don't we'll 'S", "\u4e2d\u6587 \U0001f600 \u00aa\u00b5 A.B,c\u00b2"]
