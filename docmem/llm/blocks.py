@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import give_back
+
 BUCKET_BYTES = 16 << 20
 
 
@@ -58,7 +60,9 @@ def exchange(
             )
 
     def meet(group: pa.Table) -> pa.Table:
-        return merge(group.column("bucket")[0].as_py(), group.column("block").to_pylist())
+        out = merge(group.column("bucket")[0].as_py(), group.column("block").to_pylist())
+        give_back()
+        return out
 
     return df.mapInArrow(send, "bucket int, block binary").groupBy("bucket").applyInArrow(meet, schema)
 

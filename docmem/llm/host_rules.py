@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .text import split_words
+from .text import split_words, text_runs
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -66,7 +66,7 @@ def metrics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [measure(t) for t in b.column("text").to_pylist()]
+            rows = [measure(t) for _, texts in text_runs(b.column("text")) for t in texts]
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("source"), *columns],

@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .text import split_words
+from .text import give_back, split_words, text_runs
 
 LENGTH = 4096
 OPEN = 2048
 PER_TASK = 16384  # pieces packed in one task
 JOIN = 16  # tasks whose rests are packed together
-CACHED = 600_000  # words a worker remembers
+CACHED = 32 << 20  # bytes of words that a task remembers
+WORD_BYTES = 220  # of a remembered word beside its letters and ids: two objects and a place in the table
 END = 1
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -62,8 +63,12 @@ class WordIds:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.forget()
+
+    def forget(self) -> None:
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -71,6 +76,7 @@ class WordIds:
             shown = part.encode("utf-8").decode("latin-1").translate(self.shown)
             found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             self.parts[part] = found
+            self.held += WORD_BYTES + 5 * len(part)
         return found
 
     def learn(self, words: set[str]) -> None:
@@ -85,20 +91,21 @@ class WordIds:
         if odd:
             for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self.held += sum(WORD_BYTES + 5 * len(w) for w in words)
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [split_words(t) for t in texts]
         wanted = set().union(*split)
-        if len(self.words) + len(wanted) > CACHED:
-            self.words, self.parts = {}, {"": b""}
+        if self.held > CACHED:
+            self.forget()
         self.learn(wanted - self.words.keys())
         at = self.words.__getitem__
         return [b"".join(map(at, words)) for words in split]
 
 
 def word_ids(path: str | None) -> WordIds:
-    """The word ids of this worker process: tasks that it runs one after another share what they have learned."""
+    """The tokenizer of this worker process, whose size is that of the vocabulary; words are forgotten after a task."""
     kept = sys.modules.setdefault("_docmem_word_ids", types.ModuleType("_docmem_word_ids")).__dict__
     if ("ids", path) not in kept:
         kept["ids", path] = WordIds(path)
@@ -118,9 +125,9 @@ def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, dig
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out = []
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(names), 512):
-                for name, ids in zip(names[lo : lo + 512], words.texts([t or "" for t in texts[lo : lo + 512]])):
+            names = b.column("doc_id").to_pylist()
+            for lo, texts in text_runs(b.column("text")):
+                for name, ids in zip(names[lo : lo + len(texts)], words.texts([t or "" for t in texts])):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         cut = ids[at : at + 4 * length]
@@ -131,6 +138,8 @@ def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH, dig
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32" if digest else "ids"],
             )
+        words.forget()
+        give_back()
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, PIECE.replace("ids binary", "ids_crc32 bigint") if digest else PIECE)

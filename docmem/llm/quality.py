@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import tables
 from .host_rules import repeated_words
-from .text import split_words
+from .text import split_words, text_runs
 
 MAX_LABELLED = 20_000
 CUT = 0.3
@@ -208,8 +208,8 @@ def score(docs: DataFrame, model: Additive, name: str = "score") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            x = np.array([measure(t) for t in texts]).reshape(-1, len(FEATURES))
+            runs = text_runs(b.column(b.schema.get_field_index("text")))
+            x = np.array([measure(t) for _, texts in runs for t in texts]).reshape(-1, len(FEATURES))
             got = pa.array(model.score(x), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, name])
 

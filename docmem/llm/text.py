@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import string
 from collections.abc import Iterator
@@ -36,6 +37,14 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(text) if ODD_BLANKS.search(text) else text.split()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on and serve the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_runs(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of runs of some `most` bytes of an Arrow column of texts; a task holds one run as Python objects."""
     sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
@@ -47,6 +56,7 @@ def text_runs(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterat
         size += n + 1
     if sizes:
         yield lo, column.slice(lo).to_pylist()
+        give_back()
 
 
 def lower_words(text: str | None) -> list[bytes]:
