@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import quote
-from docmem.operators.leaves import walked
+from docmem.operators.leaves import is_container, list_items, walked
+from docmem.session import cut_lineage
 
 SUMMARY_CHARS = 50
 
@@ -153,3 +154,50 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return (
         per_doc.groupBy("fp").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).where(F.col("n") > 1)
     )
+
+
+def subtrees(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`(db_id, fp, parent)` of every object and list of the documents (VARIANT `doc`) that is not empty.
+
+    `fp` is the SHA-256 of the value's JSON text with sorted keys, so that the order
+    in which keys were written does not matter; `parent` is that of the object or list
+    around it, NULL at the top. Numbers are equal if they are written alike (`1`, not `1.0`).
+    """
+    if max_depth is None:
+        return walked(docs.select("db_id", "doc"), subtrees, F.to_json("doc"))
+    none = F.lit(None).cast("string")
+    out = docs.where(is_container("doc")).select(
+        "db_id", none.alias("parent"), none.alias("fp"), F.col("doc").alias("v")
+    )
+    for _ in range(max_depth):
+        opened = (
+            out.withColumn("_own", F.coalesce("fp", F.sha2(F.to_json("v"), 256)))
+            .withColumn("_fields", F.when(F.col("fp").isNull(), F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))))
+            .withColumn("_items", F.when(F.col("fp").isNull(), list_items("v")))
+        )
+        below = F.filter(F.coalesce("_fields", "_items", F.array().cast("array<variant>")), lambda x: is_container(x))
+        itself = F.array(
+            F.struct(F.col("parent"), F.col("_own").alias("fp"), F.lit(None).cast("variant").alias("v"))
+        )
+        children = F.transform(below, lambda x: F.struct(F.col("_own").alias("parent"), none.alias("fp"), x.alias("v")))
+        out = opened.select("db_id", F.explode(F.concat(itself, children)).alias("t")).select("db_id", "t.parent", "t.fp", "t.v")
+    too_deep = F.raise_error(F.lit(f"nesting deeper than {max_depth} levels"))
+    return out.select("db_id", F.coalesce("fp", too_deep.cast("string")).alias("fp"), "parent")
+
+
+def duplicate_subtrees(rows: DataFrame) -> DataFrame:
+    """Repeated objects and lists, maximal ones only: `(fp, n, n_docs, n_top)` from `subtrees`.
+
+    `n_top` counts the places where what is around the value is not itself repeated;
+    values that are only ever found inside larger repeated ones are left out. Counts
+    combine by value and document, and by value and parent, before anything is joined.
+    """
+    rows = cut_lineage(rows)
+    per_doc = rows.groupBy("fp", "db_id").agg(F.count("*").alias("n"))
+    counts = per_doc.groupBy("fp").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")).where(F.col("n") > 1)
+    # tops have no parent: keys of their own, which match nothing, spread them
+    around = F.coalesce("parent", F.concat(F.lit("top "), "fp")).alias("parent")
+    pairs = rows.groupBy("fp", around).agg(F.count("*").alias("n_top"))
+    inside = counts.select(F.col("fp").alias("parent"))
+    tops = pairs.join(inside, "parent", "left_anti").groupBy("fp").agg(F.sum("n_top").alias("n_top"))
+    return counts.join(tops, "fp")

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmem.functions.jsontext import json_type
-from docmem.functions.paths import any_index, steps_of
-from docmem.operators.leaves import explode_leaves, rebuild
+from docmem.functions.paths import any_index, key_step
+from docmem.operators.leaves import explode_leaves, is_container, list_items, object_entries, rebuild, walked
+
+SEEN = "array<struct<path:string,jtype:string,leaf:boolean>>"
 
 
 def infer(docs: DataFrame, *by: str) -> DataFrame:
@@ -22,18 +24,45 @@ def typed_paths(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
 
 
+def seen_paths(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`(db_id, seen)`: all paths of a document, `seen` holding `(path, jtype, leaf)` once each.
+
+    Documents are opened level by level inside their row, so that what occurs a
+    thousand times in a document is told apart there and not by a shuffle.
+    """
+    if max_depth is None:
+        return walked(docs.select("db_id", "doc"), seen_paths, F.to_json("doc"))
+
+    def below(n: Column) -> Column:
+        fields = F.transform(
+            object_entries(n["v"]),
+            lambda e: F.struct(F.concat(n["path"], key_step(e["key"])).alias("path"), e["value"].alias("v")),
+        )
+        items = F.transform(
+            list_items(n["v"]), lambda x: F.struct(F.concat(n["path"], F.lit("[*]")).alias("path"), x.alias("v"))
+        )
+        return F.coalesce(fields, items, F.array().cast("array<struct<path:string,v:variant>>"))
+
+    def told(n: Column) -> Column:
+        return F.struct(n["path"].alias("path"), json_type(n["v"]).alias("jtype"), (~is_container(n["v"])).alias("leaf"))
+
+    top = F.array(F.struct(F.lit("$").alias("path"), F.col("doc").alias("v")))
+    out = docs.select("db_id", top.alias("_open"))
+    # a document that is no object or list, or an empty one, is a leaf itself
+    out = out.withColumn("seen", F.filter(F.transform("_open", told), lambda s: s["leaf"]))
+    for _ in range(max_depth):
+        out = out.withColumn("_open", F.flatten(F.transform("_open", below)))
+        out = out.withColumn("seen", F.concat("seen", F.array_distinct(F.transform("_open", told))))
+    deeper = F.exists("_open", lambda n: is_container(n["v"]))
+    too_deep = F.raise_error(F.lit(f"nesting deeper than {max_depth} levels")).cast(SEEN)
+    return out.select("db_id", F.when(deeper, too_deep).otherwise(F.col("seen")).alias("seen"))
+
+
 def container_paths(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """`(db_id, path, jtype)` of the objects and lists above the leaves, each once per document."""
-    walked = explode_leaves(docs.select("db_id", "doc"), max_depth=max_depth).select("db_id", steps_of("path").alias("s"))
-    above = F.transform(
-        F.sequence(F.lit(1), F.size("s") - 1),
-        lambda i: F.struct(
-            F.concat(F.lit("$"), F.array_join(F.slice("s", F.lit(1), i), "")).alias("path"),
-            F.when(F.element_at("s", i + 1).rlike(r"^\[\d"), "array").otherwise("object").alias("jtype"),
-        ),
-    )
-    rows = walked.where(F.size("s") > 1).select("db_id", F.explode(above).alias("c"))
-    return rows.select("db_id", any_index("c.path").alias("path"), "c.jtype").distinct()
+    above = F.filter("seen", lambda s: ~s["leaf"])
+    rows = seen_paths(docs, max_depth).select("db_id", F.explode(above).alias("s"))
+    return rows.select("db_id", "s.path", "s.jtype")
 
 
 def _merge_types(types: Column) -> Column:
@@ -56,6 +85,15 @@ def profile(docs: DataFrame, max_depth: int | None = None, by: tuple[str, ...] =
     return merge_profiles(counts, by)
 
 
+def seen_types(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """`(path, jtype, n)`: documents that hold each path with each type, containers included.
+
+    With `max_depth` given it serves streams as well: the state is one row per path and type.
+    """
+    rows = seen_paths(docs, max_depth).select(F.explode("seen").alias("s"))
+    return rows.groupBy("s.path", "s.jtype").agg(F.count("*").alias("n"))
+
+
 def merge_profiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Profiles from `(by, path, jtype, n)` rows; those of batches can be added up."""
     return counts.groupBy(*by, "path").agg(
@@ -64,9 +102,9 @@ def merge_profiles(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def presence(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Share of documents that have each path; nothing is ever *required*."""
-    rows = typed_paths(docs, max_depth).unionByName(container_paths(docs, max_depth))
-    per_doc = rows.select("db_id", "path").distinct()
+    """Share of documents (one row each) that have each path; nothing is ever *required*."""
+    paths = F.array_distinct(F.transform("seen", lambda s: s["path"]))
+    per_doc = seen_paths(docs, max_depth).select(F.explode(paths).alias("path"))
     total = docs.agg(F.count("*")).scalar()
     return (
         per_doc.groupBy("path").agg(F.count("*").alias("n")).withColumn("ratio", F.col("n") / total)

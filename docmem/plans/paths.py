@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docmem.functions import paths as p
 from docmem.operators import leaves as lv
-from docmem.operators import reads
+from docmem.operators import lists, reads
 from docmem.operators import requests as rq
 from docmem.plans import query
 from docmem.sources import testdata as td
@@ -268,3 +268,43 @@ def path_split(spark, sf):
 def path_sub(spark, sf):
     found = p.sub("[^0-9]+0*", "c")(p.matches("doc", p.field("name")))
     return td.customer_docs(spark, sf).select(F.col("db_id").alias("c_custkey"), F.element_at(found, 1).alias("name"))
+
+
+_SHIPPED = """(SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS rank,
+count(*) OVER (PARTITION BY l_returnflag) AS size FROM lineitem)"""
+
+
+def _shipped(spark, sf):
+    """Line items as three lists, of which one holds half of them."""
+    rows = td.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]
+    return lists.ranked(rows, ["l_returnflag"], order)
+
+
+@query("list_rank_rows", f"SELECT l_returnflag, l_orderkey, l_linenumber, rank, size FROM {_SHIPPED}")
+def list_rank_rows(spark, sf):
+    return _shipped(spark, sf).select("l_returnflag", "l_orderkey", "l_linenumber", "rank", "size")
+
+
+@query(
+    "list_slice_rows",
+    f"""SELECT 'first and last' AS part, l_returnflag, rank AS ord, l_orderkey, l_linenumber FROM {_SHIPPED}
+WHERE rank IN (0, size - 1)
+UNION ALL SELECT '[-100:]', l_returnflag, rank - greatest(size - 100, 0), l_orderkey, l_linenumber FROM {_SHIPPED} WHERE rank >= size - 100
+UNION ALL SELECT '[10:-10:7]', l_returnflag, (rank - 10) // 7, l_orderkey, l_linenumber FROM {_SHIPPED}
+WHERE rank >= 10 AND rank < size - 10 AND (rank - 10) % 7 = 0
+UNION ALL SELECT '[::-3]', l_returnflag, (size - 1 - rank) // 3, l_orderkey, l_linenumber FROM {_SHIPPED} WHERE (size - 1 - rank) % 3 = 0""",
+)
+def list_slice_rows(spark, sf):
+    placed = _shipped(spark, sf)
+    parts = {
+        "first and last": lists.at(placed, 0, -1).withColumn("ord", F.col("rank")),
+        "[-100:]": lists.sliced(placed, -100),
+        "[10:-10:7]": lists.sliced(placed, 10, -10, 7),
+        "[::-3]": lists.sliced(placed, step=-3),
+    }
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("part"), "l_returnflag", "ord", "l_orderkey", "l_linenumber")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -210,3 +210,24 @@ GROUP BY node HAVING count(*) > 1""",
 )
 def duplicate_nodes(spark, sf):
     return nodes.duplicates(nodes.tree_nodes(ordered_text_docs(spark, sf), max_depth=4))
+
+
+_REGION = """'{"name":"' || r_name || '"}'"""
+_NATION = f"""'{{"name":"' || n_name || '","region":' || {_REGION} || '}}'"""
+_TAG = """'{"tag":"' || c_mktsegment || '"}'"""
+_PLACE = f"""'{{"band":' || floor(c_acctbal)::BIGINT || ',"nation":' || {_NATION} || ',"tags":[' || {_TAG} || ']}}'"""
+
+
+@query(
+    "duplicate_subtrees",
+    f"""WITH c AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+nodes AS (SELECT c_custkey, '{{"name":"' || c_name || '","place":' || {_PLACE} || '}}' AS node, NULL AS parent FROM c
+UNION ALL SELECT c_custkey, {_PLACE}, '{{"name":"' || c_name || '","place":' || {_PLACE} || '}}' FROM c
+UNION ALL SELECT c_custkey, {_NATION}, {_PLACE} FROM c UNION ALL SELECT c_custkey, {_REGION}, {_NATION} FROM c
+UNION ALL SELECT c_custkey, '[' || {_TAG} || ']', {_PLACE} FROM c UNION ALL SELECT c_custkey, {_TAG}, '[' || {_TAG} || ']' FROM c),
+seen AS (SELECT node, count(*) AS n, count(DISTINCT c_custkey) AS n_docs FROM nodes GROUP BY node HAVING count(*) > 1)
+SELECT sha256(node) AS fp, n, n_docs, count(*) AS n_top FROM seen JOIN nodes USING (node)
+WHERE parent IS NULL OR parent NOT IN (SELECT node FROM seen) GROUP BY ALL""",
+)
+def duplicate_subtrees(spark, sf):
+    return nodes.duplicate_subtrees(nodes.subtrees(td.place_docs(spark, sf), max_depth=5))

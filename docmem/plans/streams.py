@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docmem.operators import schema
 from docmem.plans import query
 from docmem.plans.folds import LIST_ITEMS, LIST_PLAIN, K
 from docmem.session import shared_dir
 from docmem.sources import testdata as td
 from docmem.streaming import edits as se
 from docmem.streaming import materialised as mt
+from docmem.streaming import profiles as sp
 
 
 def _stream(spark, sf):
@@ -45,13 +47,13 @@ def stream_fold(spark, sf):
     return se.refold(spark, f"{where}/log", nested=False).select("db_id", "path", "pos", "value")
 
 
-def _batches(spark, sf, n=4):
-    """The event table as a stream of `n` micro-batches, dealt out at random: each batch has late events."""
-    events = td.table(spark, sf, "events")
-    where = f"{_fresh(spark)}/events"
-    files = n * max(1, -(-events.rdd.getNumPartitions() // n))
-    events.repartition(files, F.xxhash64("event_id")).write.parquet(where)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files // n).parquet(where)
+def _batches(spark, sf, n=4, table="events", key="event_id"):
+    """A table as a stream of `n` micro-batches, dealt out at random: each batch of events has late ones."""
+    rows = td.table(spark, sf, table)
+    where = f"{_fresh(spark)}/{table}"
+    files = n * max(1, -(-rows.rdd.getNumPartitions() // n))
+    rows.repartition(files, F.xxhash64(key)).write.parquet(where)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // n).parquet(where)
 
 
 @query("stream_fold_incremental", f"SELECT * FROM {LIST_ITEMS} UNION ALL SELECT db_id, path, NULL, value FROM {LIST_PLAIN}")
@@ -95,3 +97,16 @@ def stream_thread_touch(spark, sf):
     sent = _updates(spark, se.thread_touch(messages))
     last = sent.groupBy("thread_id").agg(F.max("updated_at").alias("t"))
     return last.select("thread_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at"))
+
+
+@query(
+    "stream_schema_drift",
+    """SELECT path, old_types, new_types, change FROM (VALUES
+('$.nation', 'integer', 'string', 'retyped'), ('$.market.segment', 'string', NULL, 'removed'), ('$.market', 'object', NULL, 'removed'),
+('$.supplier', NULL, 'boolean', 'added')) t(path, old_types, new_types, change)""",
+)
+def stream_schema_drift(spark, sf):
+    """Suppliers come as a stream of batches; their types by path are state, compared with the customers' profile."""
+    streamed = td.supplier_docs_of(_batches(spark, sf, 4, "supplier", "s_suppkey"))
+    sent = _updates(spark, sp.type_counts(streamed, max_depth=3))
+    return sp.drift(schema.profile(td.customer_docs(spark, sf), max_depth=3, containers=True), sent)

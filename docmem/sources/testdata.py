@@ -133,6 +133,10 @@ def customer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_docs_of(busy(table(spark, sf_dir, "supplier")))
+
+
+def supplier_docs_of(suppliers: DataFrame) -> DataFrame:
     """The same kind of record under a changed schema: a number became text."""
     doc = F.struct(
         F.col("s_name").alias("name"),
@@ -140,11 +144,29 @@ def supplier_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").alias("balance"),
         F.lit(True).alias("supplier"),
     )
-    return busy(table(spark, sf_dir, "supplier")).select(
+    return suppliers.select(
         F.col("s_suppkey").alias("db_id"), F.to_variant_object(doc).alias("doc")
     )
 
 
+def place_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with nested places, as VARIANT: nations and regions repeat, places only at times."""
+    nation = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    place = F.struct(
+        F.struct(F.struct(F.col("r_name").alias("name")).alias("region"), F.col("n_name").alias("name")).alias("nation"),
+        F.floor(F.col("c_acctbal")).cast("bigint").alias("band"),
+        F.array(F.struct(F.col("c_mktsegment").alias("tag"))).alias("tags"),
+    )
+    doc = F.struct(F.col("c_name").alias("name"), place.alias("place"))
+    return (
+        busy(table(spark, sf_dir, "customer"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(F.col("c_custkey").alias("db_id"), F.to_variant_object(doc).alias("doc"))
+    )
+
+
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.struct(
         F.col("o_custkey").alias("customer"),
