@@ -10,9 +10,12 @@ is scored symbol by symbol from the longest kept suffix of what came before;
 contexts run on over word ends. The probability of a word by the tree is mixed
 with that of the unigram base, which knows whole words, as the last smoothing.
 
-Counts cover all training texts. The counting and the divergence tests are joins in
-Spark. The tree is broadcast for scoring; it grows with the corpus, and nothing
-but the number of different grams bounds it.
+Counts cover all training texts. The counting, the divergence tests and the smoothing are
+joins in Spark over the distinct grams of all texts: one that only held-out texts have is
+carried with count 0 and so gets what the contexts above it leave to unseen symbols. No task
+holds the tree. Texts come in runs of some `RUN` bytes, whose distinct grams ask the bucket
+of their hash for their probabilities; the answers meet the run again, which is scored with
+no more than its own grams.
 
 The unigram base needs the exact count of every word of the corpus, which no
 bound holds. Words of at least `HEAVY` of all tokens (at most `1 / HEAVY` of
@@ -23,14 +26,13 @@ counted there, and send their part of each text's sum back.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, tables
-from .text import lower_words, text_runs
+from .text import give_back, lower_words, text_runs
 
 DEPTH = 5
 LEAST = 4
@@ -38,6 +40,9 @@ HEAVY = 1e-6
 WEIGHT = 0.3  # of the unigram base in the mixture
 FLUSH = 1_000_000  # counts a task holds, some 24 MB, and the copies of a merge
 
+RUN = 32 << 20  # bytes of text that are scored together, or one longer text
+CAPS = (1 << 12, 1 << 16, 1 << 20)  # texts of a run are alike in size, so that rows bound its bytes
+
 KEPT = 50_000  # word hashes a task remembers, some 10 MB
 
 START, END = 0x110000, 0x110001  # beyond the last code point
@@ -68,6 +73,13 @@ def ends(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
+def keys_of(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of `DEPTH` + 1 symbols that ends at each scored symbol, in order: (high, low)."""
+    s, sizes = symbols(words)
+    at = ends(sizes)
+    return _joined([s[at - i].astype(np.int64) for i in (3, 4, 5)]), _joined([s[at - i].astype(np.int64) for i in (0, 1, 2)])
+
+
 def grams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams of `DEPTH` + 1 symbols of the texts: (high, low, count)."""
     s, sizes = symbols(words)
@@ -120,7 +132,11 @@ ENDING = 1  # stands for the end among the word hashes
 
 
 def corpus_counts(train: DataFrame) -> DataFrame:
-    """(kind, high, low, n): exact counts of words (kind 0, hash in low) and grams (kind 1) of the texts."""
+    """(kind, high, low, n): exact counts of words (kind 0, hash in low) and grams (kind 1) of the texts.
+
+    Texts with `held_out`, if there is such a column, give their grams with count 0.
+    """
+    held = F.col("held_out") if "held_out" in train.columns else F.lit(False)
 
     def run(batches):
         table = WordHash()
@@ -156,16 +172,22 @@ def corpus_counts(train: DataFrame) -> DataFrame:
                     yield rows(0, np.zeros(len(w), np.int64), w.view(np.int64), n)
 
         for b in batches:
-            for _, texts in text_runs(b.column("text")):
+            unread = b.column("held").to_pylist()
+            for lo, texts in text_runs(b.column("text")):
                 words = [lower_words(t) for t in texts]
-                h = np.append(hashed(words, table), np.full(len(words), ENDING, np.uint64))
-                held_words.append(np.unique(h, return_counts=True))
-                held.append(grams(words))
+                kept = [w for w, u in zip(words, unread[lo:]) if not u]
+                if kept:
+                    h = np.append(hashed(kept, table), np.full(len(kept), ENDING, np.uint64))
+                    held_words.append(np.unique(h, return_counts=True))
+                    held.append(grams(kept))
+                if len(kept) < len(words):
+                    high, low, n = grams([w for w, u in zip(words, unread[lo:]) if u])
+                    held.append((high, low, np.zeros_like(n)))
                 yield from send(False)
         yield from send(True)
 
-    made = train.select("text").mapInArrow(run, "kind tinyint, high bigint, low bigint, n bigint")
-    return tables.written(made.where("n > 0").groupBy("kind", "high", "low").agg(F.sum("n").alias("n")))
+    made = train.select("text", held.alias("held")).mapInArrow(run, "kind tinyint, high bigint, low bigint, n bigint")
+    return tables.written(made.groupBy("kind", "high", "low").agg(F.sum("n").alias("n")))
 
 
 def _newest(level: int) -> tuple[Column, Column]:
@@ -175,64 +197,56 @@ def _newest(level: int) -> tuple[Column, Column]:
     return F.lit(0).cast("bigint"), F.col("low").bitwiseAND((1 << (FIELD * (level + 1))) - 1)
 
 
-def tree(counts: DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Kept contexts (level, high, low, back) and their entries (level, high, low, p): log10 values.
+def levels(counts: DataFrame) -> list[DataFrame]:
+    """For each length of context: (high, low, n, of, k, kept, p) of its grams, those of count 0 included.
 
-    An entry is keyed by the context with the symbol, a context by itself with a
-    blank field for the symbol.
+    `n` counts the gram and `of` its context, `k` is the number of symbols seen after the
+    context, `kept` tells whether the context is in the tree and `p` is the gram's probability.
     """
-    whole = counts.where("kind = 1").select("high", "low", "n")
-    levels = {DEPTH: whole}
+    by_level = {DEPTH: counts.where("kind = 1").select("high", "low", "n")}
     for level in range(DEPTH - 1, -1, -1):
         high, low = _newest(level)
-        levels[level] = tables.written(
-            levels[level + 1].groupBy(high.alias("high"), low.alias("low")).agg(F.sum("n").alias("n"))
+        by_level[level] = tables.written(
+            by_level[level + 1].groupBy(high.alias("high"), low.alias("low")).agg(F.sum("n").alias("n"))
         )
-    root = levels[0].agg(F.sum("n"), F.count(F.lit(1))).first()
+    root = by_level[0].agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     total, kinds = float(root[0] or 0), float(root[1])
-    floor = kinds / SYMBOLS
-    above = tables.written(
-        levels[0].select(
-            "high", "low", "n", F.lit(total).alias("of"), ((F.col("n") + floor) / (total + kinds)).alias("p"), F.lit(True).alias("kept"), F.lit(kinds).alias("k")
+    # what the seen symbols leave is shared by all others
+    p = (F.col("n") + kinds / SYMBOLS) / (total + kinds) if kinds else F.lit(1.0 / SYMBOLS)
+    out = [
+        tables.written(
+            by_level[0].select("high", "low", "n", F.lit(total).alias("of"), F.lit(kinds).alias("k"), F.lit(True).alias("kept"), p.alias("p"))
         )
-    )
-    entries = [above.select(F.lit(0).alias("level"), "high", "low", F.log10("p").alias("p"))]
-    contexts = []
+    ]
     for level in range(1, DEPTH + 1):
         context = Window.partitionBy("high", F.shiftright("low", FIELD))
-        frequent = (
-            levels[level]
-            .withColumns({"of": F.sum("n").over(context), "k": F.count(F.lit(1)).over(context)})
-            .where(F.col("of") >= LEAST)
+        rows = by_level[level].withColumns(
+            {"of": F.sum("n").over(context).cast("double"), "k": F.count_if(F.col("n") > 0).over(context).cast("double")}
         )
         ph, pl = _newest(level - 1)
-        parent = above.select(
+        parent = out[-1].select(
             F.col("high").alias("ph"), F.col("low").alias("pl"), F.col("n").alias("pn"), F.col("of").alias("pof"), F.col("p").alias("pp")
         )
-        term = F.col("n") * F.log(F.col("n") / F.col("of") * F.col("pof") / F.col("pn"))
-        joined = frequent.withColumns({"ph": ph, "pl": pl}).join(parent, ["ph", "pl"]).withColumn("g", 2 * F.sum(term).over(context))
+        term = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("of") * F.col("pof") / F.col("pn")))
+        joined = rows.withColumns({"ph": ph, "pl": pl}).join(parent, ["ph", "pl"])
+        joined = joined.withColumn("g", 2 * F.sum(term).over(context))
         chance = (F.col("k") - 1) + 4 * F.sqrt(2.0 * (F.col("k") - 1)) + 10
-        kept = F.col("g") > chance
+        kept = (F.col("of") >= LEAST) & F.coalesce(F.col("g") > chance, F.lit(False))
         smooth = (F.col("n") + F.col("k") * F.col("pp")) / (F.col("of") + F.col("k"))
-        above = tables.written(
-            joined.select("high", "low", "n", "of", "k", kept.alias("kept"), F.when(kept, smooth).otherwise(F.col("pp")).alias("p"))
-        )
-        entries.append(above.where("kept").select(F.lit(level).alias("level"), "high", "low", F.log10("p").alias("p")))
-        contexts.append(
-            above.where("kept")
-            .groupBy("high", (F.shiftright("low", FIELD) * (1 << FIELD)).alias("low"))
-            .agg(F.first("k").alias("k"), F.first("of").alias("of"))
-            .select(F.lit(level).alias("level"), "high", "low", F.log10(F.col("k") / (F.col("k") + F.col("of"))).alias("back"))
+        out.append(
+            tables.written(
+                joined.withColumn("kept", kept).select("high", "low", "n", "of", "k", "kept", F.when(F.col("kept"), smooth).otherwise(F.col("pp")).alias("p"))
+            )
         )
-    all_entries, all_contexts = entries[0], contexts[0]
-    for e in entries[1:]:
-        all_entries = all_entries.unionByName(e)
-    for c in contexts[1:]:
-        all_contexts = all_contexts.unionByName(c)
-    return all_contexts.toArrow().to_pandas(), all_entries.toArrow().to_pandas()
+    tables.discard(*list(by_level.values())[1:])
+    return out
 
 
-_DRAW = np.random.default_rng(1).integers(1, 2**63, DEPTH + 2, np.int64).astype(np.uint64) | np.uint64(1)
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(high, low, p): log10 probability of the newest symbol of each gram after the others."""
+    found = levels(counts)
+    tables.discard(*found[:-1])
+    return found[-1].select("high", "low", F.log10("p").alias("p"))
 
 
 class Lookup:
@@ -271,52 +285,32 @@ class Lookup:
         return found, self.values[at]
 
 
-class Tree:
-    """A tree ready for scoring."""
-
-    def __init__(self, contexts: pd.DataFrame, entries: pd.DataFrame):
-        self.entries, self.contexts = [], []
-        for level in range(DEPTH + 1):
-            e, c = entries[entries["level"] == level], contexts[contexts["level"] == level]
-            self.entries.append(Lookup(self._key(e, level), e["p"].to_numpy(float)))
-            self.contexts.append(Lookup(self._key(c, level), c["back"].to_numpy(float)))
-        kinds = len(entries[entries["level"] == 0])
-        seen = entries.loc[entries["level"] == 0, "p"].to_numpy(float)
-        # what the seen symbols leave is shared by all others
-        rest = 1 - np.power(10.0, seen).sum() if kinds else 1.0
-        self.unseen = float(np.log10(max(rest, 1e-300) / max(1, SYMBOLS - kinds)))
-
-    @staticmethod
-    def _key(rows: pd.DataFrame, level: int) -> np.ndarray:
-        high, low = rows["high"].to_numpy(np.int64), rows["low"].to_numpy(np.int64)
-        parts = [(low >> (FIELD * i)) & MASK for i in range(3)] + [(high >> (FIELD * i)) & MASK for i in range(3)]
-        key = np.full(len(rows), _DRAW[DEPTH + 1])
-        with np.errstate(over="ignore"):
-            for i in range(level + 1):
-                key += (parts[i].astype(np.uint64) + np.uint64(1)) * _DRAW[i]
-        return key
-
-    def log10s(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol of `s` at the places `at`."""
-        out = np.zeros(len(at))
-        open_ = np.arange(len(at))
-        wide = s.astype(np.uint64) + np.uint64(1)
+class Answers:
+    """Probabilities of the grams of a run, by a hash that tells them all apart."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, p: np.ndarray):
+        order = np.lexsort((low, high))
+        high, low, p = high[order], low[order], p[order]
+        first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))[: len(high)]
+        high, low, p = high[first], low[first], p[first]
+        draw = np.random.default_rng(1)
+        while True:
+            self.factors = draw.integers(1, 2**63, 2, np.int64).astype(np.uint64) | np.uint64(1)
+            keys = self._key(high, low)
+            if len(np.unique(keys)) == len(keys):
+                break
+        self.table = Lookup(keys, p)
+
+    def _key(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            keys = [wide[at] * _DRAW[0] + _DRAW[DEPTH + 1]]
-            for i in range(1, DEPTH + 1):
-                keys.append(keys[-1] + wide[at - i] * _DRAW[i])
-            for level in range(DEPTH, -1, -1):
-                key = keys[level][open_]
-                found, p = self.entries[level].find(key)
-                out[open_[found]] += p[found]
-                open_, key = open_[~found], key[~found]
-                if level:
-                    # the context alone: the symbol's field left blank
-                    key = key - wide[at[open_]] * _DRAW[0] + _DRAW[0]
-                    kept, back = self.contexts[level].find(key)
-                    out[open_[kept]] += back[kept]
-        out[open_] += self.unseen
-        return out
+            key = high.astype(np.uint64) * self.factors[0] + low.astype(np.uint64) * self.factors[1]
+            return (key ^ (key >> np.uint64(32))) | np.uint64(1 << 63)  # 0 marks a free place
+
+    def log10s(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        found, p = self.table.find(self._key(high, low))
+        if not found.all():
+            raise ValueError("grams without an answer")
+        return p
 
 
 def token_starts(s: np.ndarray) -> np.ndarray:
@@ -330,6 +324,83 @@ def mixed(base: np.ndarray, tree: np.ndarray, weight: float) -> np.ndarray:
     return np.log10(weight * np.power(10.0, base) + (1 - weight) * np.power(10.0, tree))
 
 
+def run_of(size: int, cores: int) -> Column:
+    """The run of a row: neighbours of one scan task and alike in size, some `RUN` bytes of them at most.
+
+    It is a function of the row's id and size alone. Small inputs are cut finer, to have work for all cores.
+    """
+    most = min(RUN, max(1 << 20, size // (2 * cores)))
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    part, place = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
+    kind, rows = F.lit(len(CAPS)), F.lit(1)
+    for i, cap in reversed(list(enumerate(CAPS))):
+        kind = F.when(length <= cap, i).otherwise(kind)
+        rows = F.when(length <= cap, max(1, most // cap)).otherwise(rows)
+    group = F.floor(place / rows).cast("bigint")
+    return F.concat_ws(".", part, kind, group)
+
+
+def asked(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """(run, block): the probabilities of the grams of each run of `rows`, packed as (high, low, p).
+
+    Every gram of the texts is among `known`, each once.
+    """
+    buckets = blocks.buckets_for(2 * size)
+    both = rows.select("run", "text", F.lit(None).cast("bigint").alias("high"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("double").alias("p")).unionByName(
+        known.select(F.lit(None).cast("string").alias("run"), F.lit(None).cast("string").alias("text"), "high", "low", "p")
+    )
+
+    def dealt_out(run, arrays):
+        high, low = arrays[0], arrays[1]
+        with np.errstate(over="ignore"):
+            mix = (high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            bucket = ((mix >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
+        for to, at in blocks.by_bucket(bucket) if len(high) else ():
+            yield to, run, blocks.packed([a[at] for a in arrays])
+
+    def of_texts(b):
+        runs = np.asarray(b.column("run").to_pylist(), object)
+        for run in dict.fromkeys(runs):
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for _, texts in text_runs(b.column("text").take(pa.array(np.flatnonzero(runs == run)))):
+                held.append(grams([lower_words(t) for t in texts])[:2])
+            high, low = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            yield from dealt_out(run, (high[first], low[first]))
+
+    def send(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if b.column("run")[0].as_py() is None:
+                made = dealt_out(None, tuple(b.column(c).to_numpy() for c in ("high", "low", "p")))
+            else:
+                made = of_texts(b)
+            for bucket, run, block in made:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket], pa.int32()), pa.array([run], pa.string()), pa.array([block], pa.binary())],
+                    names=["bucket", "run", "block"],
+                )
+
+    def answer(group: pa.Table) -> pa.Table:
+        runs, found = group.column("run").to_pylist(), group.column("block").to_pylist()
+        told = Answers(*blocks.gathered([x for r, x in zip(runs, found) if r is None], ["<i8", "<i8", "<f8"]))
+        out = []
+        for run, block in zip(runs, found):
+            if run is not None:
+                high, low = blocks.unpacked(block, ["<i8", "<i8"])
+                out.append((run, blocks.packed([high, low, told.log10s(high, low)])))
+        give_back()
+        return pa.table(
+            [pa.array([r for r, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["run", "block"]
+        )
+
+    sent = both.mapInArrow(send, "bucket int, run string, block binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "run string, block binary")
+
+
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 # a text's sums: its row, what they are, doc_id, held out, tokens, known tokens, base, score
 SUMS = ["<i8"] * 6 + ["<f8"] * 2
@@ -354,21 +425,23 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
         )
     )
     spark = docs.sparkSession
-    counts = corpus_counts(rows.where("NOT held_out"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.withColumn("run", run_of(size, int(spark.sparkContext.defaultParallelism)))
+    counts = corpus_counts(rows)
     n, v = counts.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n = int(n or 0)
     per_token = float(np.log10(n + v + 1))
+    # at most 1 / heavy words
     common = counts.where("kind = 0").where(F.col("n") >= max(1.0, heavy * n)).select("low", "n").toArrow().to_pandas()
     keys, values = common["low"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(float) + 1)
-    sent = spark.sparkContext.broadcast((Tree(*tree(counts)), Lookup(keys, values)))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = spark.sparkContext.broadcast(Lookup(keys, values))
     buckets = blocks.buckets_for(size * 0.6)
 
-    def cut(batches):
+    def cut(batch: pa.Table, answers: Answers):
         """Sums of common words go to a bucket of texts, rare words to the bucket of their hash."""
         table = WordHash()
-        model, known = sent.value
-        for b in batches:
+        known = sent.value
+        for b in batch.to_batches():
             uids = b.column("uid").to_numpy()
             names = b.column("doc_id").to_pylist()
             held = np.asarray(b.column("held_out").to_pylist(), np.int64)
@@ -380,9 +453,8 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
                 h[np.cumsum(sizes) - 1] = ENDING
                 hit, value = known.find(h)
                 s, lengths = symbols(words)
-                at = ends(lengths)
-                token = np.cumsum(token_starts(s)[at]) - 1
-                by_tree = np.bincount(token, model.log10s(s, at), len(h))
+                token = np.cumsum(token_starts(s)[ends(lengths)]) - 1
+                by_tree = np.bincount(token, answers.log10s(*keys_of(words)), len(h))
                 doc = blocks.spans(sizes)
                 base = value[hit] - per_token
                 yield buckets + int(uids[lo]) % buckets, blocks.packed(
@@ -398,16 +470,24 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
                     ]
                 )
                 rare = ~hit
-                h, owners, by_tree = h[rare], (doc + lo)[rare], by_tree[rare].astype("<f4")
+                h, owners, by_tree = h[rare], (doc + lo)[rare], by_tree[rare]
                 for bucket, at in blocks.by_bucket((h % np.uint64(buckets)).astype(np.int64)) if len(h) else ():
                     owner, per = np.unique(owners[at], return_counts=True)
                     yield bucket, blocks.packed([uids[owner] * 2 + held[owner], per.astype("<u4"), h[at], by_tree[at]])
 
+    def meet(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        answers = Answers(*blocks.gathered(answered.column("block").to_pylist(), ["<i8", "<i8", "<f8"]))
+        made = list(cut(texts, answers))
+        give_back()
+        return pa.table(
+            [pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names=["bucket", "block"]
+        )
+
     def merge(bucket, found):
         """Sums of texts pass on as they are; rare words give one block of sums per text."""
         if bucket >= buckets:
             return pa.table({"block": pa.array(found, pa.binary())})
-        uid, per, h, by_tree = blocks.gathered(found, ["<i8", "<u4", "<u8", "<f4"])
+        uid, per, h, by_tree = blocks.gathered(found, ["<i8", "<u4", "<u8", "<f8"])
         doc = blocks.spans(per)
         name, number = np.unique(h, return_inverse=True)
         c = np.bincount(number, uid[doc] % 2 == 0, len(name))[number]
@@ -451,7 +531,14 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    parts = blocks.exchange(rows, cut, merge, "block binary")
+    def meet_words(group: pa.Table) -> pa.Table:
+        out = merge(group.column("bucket")[0].as_py(), group.column("block").to_pylist())
+        give_back()
+        return out
+
+    answered = asked(rows, probabilities(counts), size)
+    cuts = rows.groupBy("run").cogroup(answered.groupBy("run")).applyInArrow(meet, "bucket int, block binary")
+    parts = cuts.groupBy("bucket").applyInArrow(meet_words, "block binary")
     done = blocks.exchange(parts, deal, total, RESULT)
     return done.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score"

@@ -161,16 +161,94 @@ def test_suffix_tree(spark, documents, empty):
     assert suffix_tree.score(empty).count() == 0
 
 
+def brute_force_scores(rows, weight):
+    """Scores of (doc_id, text) by a suffix tree in dictionaries, walked symbol by symbol."""
+    depth, least = suffix_tree.DEPTH, suffix_tree.LEAST
+    out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = {d: [*WORD.findall((t or "").encode().lower().decode()), None] for d, t in rows}
+    symbols = {d: ["^"] * depth + [*" ".join(ws[:-1]), "$"] for d, ws in tokens.items()}
+    after = defaultdict(Counter)
+    for d, s in symbols.items():
+        for i in range(depth, len(s)) if not out(d) else ():
+            for level in range(depth + 1):
+                after[tuple(s[i - level : i])][s[i]] += 1
+    kinds, total = len(after[()]), sum(after[()].values())
+
+    def kept(context):
+        seen = after.get(context, {})
+        of, k = sum(seen.values()), len(seen)
+        if not context or of < least:
+            return not context
+        up = after[context[1:]]
+        g = 2 * sum(n * math.log(n / of * sum(up.values()) / up[x]) for x, n in seen.items())
+        return g > (k - 1) + 4 * math.sqrt(2 * (k - 1)) + 10
+
+    tree = {c: kept(c) for c in list(after)}
+
+    def p(context, x):
+        if not context:
+            return (after[()].get(x, 0) + kinds / suffix_tree.SYMBOLS) / (total + kinds)
+        below = p(context[1:], x)
+        if not tree.get(context):
+            return below
+        seen = after[context]
+        of, k = sum(seen.values()), len(seen)
+        return (seen.get(x, 0) + k * below) / (of + k)
+
+    words = Counter(w for d, ws in tokens.items() if not out(d) for w in ws)
+    n, v = sum(words.values()), len(words)
+    scores = {}
+    for d, ws in tokens.items():
+        s, at, score = symbols[d], depth, 0.0
+        for i, w in enumerate(ws):
+            size = 1 if w is None else len(w) + (i + 2 < len(ws))
+            spelt = math.prod(p(tuple(s[j - depth : j]), s[j]) for j in range(at, at + size))
+            at += size
+            score += math.log10(weight * (words[w] + 1) / (n + v + 1) + (1 - weight) * spelt)
+        scores[d] = score
+    return scores, sum(c != () and t for c, t in tree.items())
+
+
+@pytest.mark.parametrize("run", [1 << 12, suffix_tree.RUN])
+def test_scores_equal_a_tree_in_memory(spark, monkeypatch, run):
+    draw = np.random.default_rng(5)
+    names = ["alpha", "Beta", "gamma", "delta", "épsilon", "zeta-eta", "日本", "a", "theta\u00a0iota"]
+    texts = [" ".join(draw.choice(names, int(draw.integers(0, 60)))) for _ in range(150)]
+    texts += [None, "", " \n", "unseen Ж words", "x" * 5000, texts[3], texts[3]]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(suffix_tree, "RUN", run)
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want, contexts = brute_force_scores(rows, suffix_tree.WEIGHT)
+    assert contexts > 20
+    assert len(got) == len(rows) and any(x.held_out for x in got)
+    for x in got:
+        assert x.score == pytest.approx(want[x.doc_id], abs=1e-9, rel=1e-9)
+
+
+def test_nothing_learned(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    got = suffix_tree.score(spark.createDataFrame([(i, "ab c") for i in held], "doc_id bigint, text string")).collect()
+    assert len(got) == 5 and all(x.n_known == 0 and x.train_tokens == 0 and math.isfinite(x.score) for x in got)
+
+
 def test_tree_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, "abab abba abab ba" * (i % 3 + 1)) for i in range(40)], "doc_id bigint, text string")
-    model = suffix_tree.Tree(*suffix_tree.tree(suffix_tree.corpus_counts(docs)))
-    assert sum(len(c.keys[c.keys > 0]) for c in model.contexts) > 3
+    counts = suffix_tree.corpus_counts(docs)
     alphabet = [ord("a"), ord("b"), 32, suffix_tree.END]
+    asked, grams = [], {}
+    for context in ("ab ab", "bbbbb", "zzzab"):
+        for s in (*alphabet, ord("q")):
+            g = [s, *map(ord, reversed(context))]
+            high, low = (sum(x << (suffix_tree.FIELD * i) for i, x in enumerate(part)) for part in (g[3:], g[:3]))
+            grams[context, s] = (high, low)
+            asked.append((1, high, low, 0))
+    more = spark.createDataFrame(asked, counts.select("kind", "high", "low", "n").schema)
+    both = counts.select("kind", "high", "low", "n").unionByName(more).groupBy("kind", "high", "low").agg(F.sum("n").alias("n"))
+    assert sum(x.where("kept").select("high", F.shiftright("low", suffix_tree.FIELD)).distinct().count() for x in suffix_tree.levels(both)[1:]) > 3
+    p = {(x.high, x.low): 10**x.p for x in suffix_tree.probabilities(both).collect()}
     for context in ("ab ab", "bbbbb", "zzzab"):
-        p = [
-            10 ** model.log10s(np.array([*map(ord, context), s]), np.array([5]))[0] for s in (*alphabet, ord("q"))
-        ]
-        total = sum(p[:4]) + p[4] * (suffix_tree.SYMBOLS - 4)
+        got = [p[grams[context, s]] for s in (*alphabet, ord("q"))]
+        total = sum(got[:4]) + got[4] * (suffix_tree.SYMBOLS - 4)
         assert total <= 1.0000001 and total > 0.6
 
 
@@ -181,7 +259,9 @@ def test_contexts_stay_in_a_large_corpus(spark):
     more = spark.createDataFrame([(1, z, z, 10**9)], "kind tinyint, high bigint, low bigint, n bigint")
     kept = []
     for c in (counts, counts.unionByName(more)):
-        contexts = suffix_tree.tree(c)[0]
         # the suffix of a single symbol is the whole corpus, which changes
-        kept.append({(x.level, x.high, x.low) for x in contexts.itertuples() if x.level > 1})
+        found = suffix_tree.levels(c)
+        kept.append(
+            {(n, x.high, x.low >> suffix_tree.FIELD) for n in range(2, suffix_tree.DEPTH + 1) for x in found[n].where("kept").collect()}
+        )
     assert kept[0] and kept[0] <= kept[1]
