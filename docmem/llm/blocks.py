@@ -45,6 +45,20 @@ def gathered(blocks: list[bytes], kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
 
 
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """`packed`, compressed: bytes of equal weight lie together, which makes sorted keys small."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T for a in arrays]
+    whole = packed(planes)
+    return np.array([len(whole)], "<i8").tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+
+def unsqueezed(block: bytes, kinds: list[str]) -> list[np.ndarray]:
+    size = int(np.frombuffer(block, "<i8", 1)[0])
+    planes = unpacked(pa.decompress(pa.py_buffer(block)[8:], size, "zstd", asbytes=True), ["u1"] * len(kinds))
+    widths = [np.dtype(k).itemsize for k in kinds]
+    return [np.ascontiguousarray(a.reshape(w, -1).T).reshape(-1).view(k) for a, w, k in zip(planes, widths, kinds)]
+
+
 def exchange(
     df: DataFrame,
     cut: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, bytes]]],

@@ -301,6 +301,11 @@ class Answers:
                 break
         self.table = Lookup(keys, p)
 
+    @classmethod
+    def of(cls, found: list[bytes]) -> Answers:
+        parts = [blocks.unsqueezed(b, ["<i8", "<i8", "<f8"]) for b in found] or [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)]]
+        return cls(*(np.concatenate(x) for x in zip(*parts)))
+
     def _key(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             key = high.astype(np.uint64) * self.factors[0] + low.astype(np.uint64) * self.factors[1]
@@ -356,7 +361,7 @@ def asked(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
             mix = (high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (low.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             bucket = ((mix >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
         for to, at in blocks.by_bucket(bucket) if len(high) else ():
-            yield to, run, blocks.packed([a[at] for a in arrays])
+            yield to, run, blocks.squeezed([a[at] for a in arrays])
 
     def of_texts(b):
         runs = np.asarray(b.column("run").to_pylist(), object)
@@ -375,7 +380,9 @@ def asked(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
             if not b.num_rows:
                 continue
             if b.column("run")[0].as_py() is None:
-                made = dealt_out(None, tuple(b.column(c).to_numpy() for c in ("high", "low", "p")))
+                high, low, p = (b.column(c).to_numpy() for c in ("high", "low", "p"))
+                order = np.lexsort((low, high))
+                made = dealt_out(None, (high[order], low[order], p[order]))
             else:
                 made = of_texts(b)
             for bucket, run, block in made:
@@ -386,12 +393,12 @@ def asked(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
 
     def answer(group: pa.Table) -> pa.Table:
         runs, found = group.column("run").to_pylist(), group.column("block").to_pylist()
-        told = Answers(*blocks.gathered([x for r, x in zip(runs, found) if r is None], ["<i8", "<i8", "<f8"]))
+        told = Answers.of([x for r, x in zip(runs, found) if r is None])
         out = []
         for run, block in zip(runs, found):
             if run is not None:
-                high, low = blocks.unpacked(block, ["<i8", "<i8"])
-                out.append((run, blocks.packed([high, low, told.log10s(high, low)])))
+                high, low = blocks.unsqueezed(block, ["<i8", "<i8"])
+                out.append((run, blocks.squeezed([high, low, told.log10s(high, low)])))
         give_back()
         return pa.table(
             [pa.array([r for r, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["run", "block"]
@@ -476,7 +483,7 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
                     yield bucket, blocks.packed([uids[owner] * 2 + held[owner], per.astype("<u4"), h[at], by_tree[at]])
 
     def meet(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        answers = Answers(*blocks.gathered(answered.column("block").to_pylist(), ["<i8", "<i8", "<f8"]))
+        answers = Answers.of(answered.column("block").to_pylist())
         made = list(cut(texts, answers))
         give_back()
         return pa.table(
