@@ -219,17 +219,22 @@ def levels(counts: DataFrame) -> list[DataFrame]:
         )
     ]
     for level in range(1, DEPTH + 1):
-        context = Window.partitionBy("high", F.shiftright("low", FIELD))
-        rows = by_level[level].withColumns(
-            {"of": F.sum("n").over(context).cast("double"), "k": F.count_if(F.col("n") > 0).over(context).cast("double")}
-        )
         ph, pl = _newest(level - 1)
         parent = out[-1].select(
-            F.col("high").alias("ph"), F.col("low").alias("pl"), F.col("n").alias("pn"), F.col("of").alias("pof"), F.col("p").alias("pp")
+            F.col("high").alias("ph"), F.col("low").alias("pl"), F.when(F.col("n") > 0, F.col("of") / F.col("n")).alias("share"), F.col("p").alias("pp")
+        )
+        joined = by_level[level].withColumns({"ph": ph, "pl": pl}).join(parent, ["ph", "pl"])
+        # sum n log(n / of * share), with the size of the context taken out of the sum: one window serves all
+        context = Window.partitionBy("high", F.shiftright("low", FIELD))
+        term = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") * F.col("share")))
+        joined = joined.withColumns(
+            {
+                "of": F.sum("n").over(context).cast("double"),
+                "k": F.count_if(F.col("n") > 0).over(context).cast("double"),
+                "t": F.sum(term).over(context),
+            }
         )
-        term = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("of") * F.col("pof") / F.col("pn")))
-        joined = rows.withColumns({"ph": ph, "pl": pl}).join(parent, ["ph", "pl"])
-        joined = joined.withColumn("g", 2 * F.sum(term).over(context))
+        joined = joined.withColumn("g", 2 * (F.col("t") - F.when(F.col("of") > 0, F.col("of") * F.log("of"))))
         chance = (F.col("k") - 1) + 4 * F.sqrt(2.0 * (F.col("k") - 1)) + 10
         kept = (F.col("of") >= LEAST) & F.coalesce(F.col("g") > chance, F.lit(False))
         smooth = (F.col("n") + F.col("k") * F.col("pp")) / (F.col("of") + F.col("k"))
