@@ -41,7 +41,6 @@ WEIGHT = 0.3  # of the unigram base in the mixture
 FLUSH = 1_000_000  # counts a task holds, some 24 MB, and the copies of a merge
 
 RUN = 32 << 20  # bytes of text that are scored together, or one longer text
-CAPS = (1 << 12, 1 << 16, 1 << 20)  # texts of a run are alike in size, so that rows bound its bytes
 
 KEPT = 50_000  # word hashes a task remembers, some 10 MB
 
@@ -334,20 +333,22 @@ def mixed(base: np.ndarray, tree: np.ndarray, weight: float) -> np.ndarray:
     return np.log10(weight * np.power(10.0, base) + (1 - weight) * np.power(10.0, tree))
 
 
-def run_of(size: int, cores: int) -> Column:
-    """The run of a row: neighbours of one scan task and alike in size, some `RUN` bytes of them at most.
+def run_of(size: int, count: int, cores: int) -> Column:
+    """The run of a row: neighbours of one scan task, some `RUN` bytes of them, at most four times that.
 
-    It is a function of the row's id and size alone. Small inputs are cut finer, to have work for all cores.
+    It is a function of the row's id and size alone. Texts far above the mean size have
+    runs of their own, of fewer rows. Small inputs are cut finer, to have work for all cores.
     """
     most = min(RUN, max(1 << 20, size // (2 * cores)))
+    mean = max(1, size // max(1, count))
     length = F.coalesce(F.octet_length("text"), F.lit(0))
     part, place = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
-    kind, rows = F.lit(len(CAPS)), F.lit(1)
-    for i, cap in reversed(list(enumerate(CAPS))):
-        kind = F.when(length <= cap, i).otherwise(kind)
-        rows = F.when(length <= cap, max(1, most // cap)).otherwise(rows)
-    group = F.floor(place / rows).cast("bigint")
-    return F.concat_ws(".", part, kind, group)
+    kind, rows = F.lit(-1), F.lit(1)
+    for i in range(5, -1, -1):
+        fits = length <= 4 * mean * 16**i
+        kind = F.when(fits, i).otherwise(kind)
+        rows = F.when(fits, max(1, most // mean // 16**i)).otherwise(rows)
+    return F.concat_ws(".", part, kind, F.floor(place / rows).cast("bigint"))
 
 
 def asked(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
@@ -437,8 +438,8 @@ def score(docs: DataFrame, heavy: float = HEAVY, weight: float = WEIGHT) -> Data
         )
     )
     spark = docs.sparkSession
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = rows.withColumn("run", run_of(size, int(spark.sparkContext.defaultParallelism)))
+    size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    rows = rows.withColumn("run", run_of(size, texts, int(spark.sparkContext.defaultParallelism)))
     counts = corpus_counts(rows)
     n, v = counts.where("kind = 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     n = int(n or 0)
