@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -91,77 +90,87 @@ class _PathFold(StatefulProcessor):
     """Values of one path, with room for edits that come late.
 
     List elements are sent out as they arrive and are not kept. The state has where the
-    list starts, the newest edit, and, in segments of `seq`, the plain edits before the
-    list that a late list edit may still turn into elements: those that are newer than
-    the newest edit by less than `horizon`, so the state of a path stays small.
+    list starts, the newest edit, and the plain edits before the list that a late list
+    edit may still turn into elements: those that are newer than the newest edit by less
+    than `horizon`, so the state of a path stays small. They are kept by segments of
+    `seq`, a few per horizon, and within these by calls: a call adds to what is held
+    without reading it. Most paths bring few rows at once, so a call reads and writes
+    the state as seldom as it can.
     """
 
-    SEGMENT = 1 << 10
+    SEGMENTS = 16  # of a horizon
     NEVER, LONG_AGO = (1 << 62), -(1 << 62)
 
     def __init__(self, horizon: int):
         self.horizon = horizon
+        self.width = max(1 << 10, horizon // self.SEGMENTS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "start bigint, last bigint")
-        self.held = handle.getMapState("held", "segment bigint", "seqs array<bigint>, data array<string>")
-
-    def _take(self, least: int) -> pd.DataFrame:
+        # oldest and newest: the segments between which edits are held
+        self.at = handle.getValueState("at", "start bigint, last bigint, oldest bigint, newest bigint, calls bigint")
+        self.held = handle.getMapState("held", "segment bigint, call bigint", "seqs array<bigint>, data array<string>")
+
+    def _hold(self, rows: list[tuple], call: int) -> list[int]:
+        segments: dict[int, list[tuple]] = {}
+        for row in rows:
+            segments.setdefault(row[0] // self.width, []).append(row)
+        for segment, more in segments.items():
+            self.held.updateValue((segment, call), ([seq for seq, _ in more], [data for _, data in more]))
+        return list(segments)
+
+    def _take(self, least: int) -> dict[int, str]:
         """Held edits from `least` on; they leave the state. Only segments that reach so far are opened."""
-        out = []
-        for (segment,) in list(self.held.keys()):
-            if (segment + 1) * self.SEGMENT <= least:
+        out: dict[int, str] = {}
+        for key in [tuple(k) for k in self.held.keys()]:
+            if (key[0] + 1) * self.width <= least:
+                continue
+            rows = list(zip(*self.held.getValue(key)))
+            stay = [row for row in rows if row[0] < least]
+            if len(stay) == len(rows):
                 continue
-            rows = pd.DataFrame(dict(zip(("seq", "data"), self.held.getValue((segment,)))))
-            self._store(segment, rows[rows.seq < least])
-            out.append(rows[rows.seq >= least])
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"seq": [], "data": []})
-
-    def _store(self, segment: int, rows: pd.DataFrame) -> None:
-        if rows.empty:
-            if self.held.containsKey((segment,)):
-                self.held.removeKey((segment,))
-        else:
-            self.held.updateValue((segment,), ([int(x) for x in rows.seq], list(rows.data)))
-
-    def _hold(self, rows: pd.DataFrame) -> None:
-        for segment, more in rows.groupby(rows.seq // self.SEGMENT):
-            key = (int(segment),)
-            had = self.held.getValue(key) if self.held.containsKey(key) else ([], [])
-            old = pd.DataFrame(dict(zip(("seq", "data"), had)))
-            self._store(key[0], pd.concat([old, more[["seq", "data"]]], ignore_index=True).drop_duplicates("seq"))
+            if stay:
+                self.held.updateValue(key, ([seq for seq, _ in stay], [data for _, data in stay]))
+            else:
+                self.held.removeKey(key)
+            for seq, data in rows:
+                if seq >= least:
+                    out.setdefault(seq, data)
+        return out
 
     def _forget(self, floor: int) -> None:
-        for (segment,) in list(self.held.keys()):
-            if (segment + 1) * self.SEGMENT <= floor:
-                self.held.removeKey((segment,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, last = self.at.get() if self.at.exists() else (self.NEVER, self.LONG_AGO)
-        arrived = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
-        late = arrived.seq <= last - self.horizon
-        fresh = arrived[~late]
-        first = fresh.seq[fresh.kind == "list"].min()
-        begins = min(start, self.NEVER if pd.isna(first) else int(first))
-        if begins < start:  # the list starts earlier than known: plain edits since then are its elements
-            turned = self._take(begins)
-            turned = turned.assign(idx=0, value=turned.data, in_list=True)
-        else:
-            turned = pd.DataFrame()
-        listed = fresh[fresh.seq >= begins]
-        items = listed.assign(value=listed["items"]).explode("value")
-        items["idx"] = items.groupby("seq").cumcount()
-        items["in_list"] = True
-        plain = fresh[fresh.seq < begins]
-        self._hold(plain)
-        plain = plain.assign(idx=0, value=plain.data, in_list=False)
-        last = max(last, int(arrived.seq.max()))
-        self._forget(last - self.horizon)
-        self.at.update((begins, last))
-        told = arrived[late].assign(idx=0, value=None, in_list=False, late=True)
-        out = pd.concat([x.assign(late=False) for x in (turned, items, plain) if len(x)] + [told], ignore_index=True)
-        out["db_id"], out["path"] = key[0], key[1]
-        yield out[["db_id", "path", "seq", "idx", "value", "in_list", "late"]].astype({"seq": "int64", "idx": "int32", "in_list": bool, "late": bool})
+        for key in [tuple(k) for k in self.held.keys()]:
+            if (key[0] + 1) * self.width <= floor:
+                self.held.removeKey(key)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        found = self.at.get()
+        start, last, oldest, newest, call = found or (self.NEVER, self.LONG_AGO, self.NEVER, self.LONG_AGO, 0)
+        arrived: dict[int, Row] = {}
+        for row in rows:
+            arrived.setdefault(row.seq, row)
+        order = sorted(arrived)
+        sent = [(seq, 0, None, False, True) for seq in order if seq <= last - self.horizon]
+        fresh = [arrived[seq] for seq in order if seq > last - self.horizon]
+        begins = min([start, *(row.seq for row in fresh if row.kind == "list")])
+        if begins < start and newest >= begins // self.width:  # the list starts earlier than known: plain edits since then are its elements
+            sent += [(seq, 0, data, True, False) for seq, data in self._take(begins).items()]
+            newest = min(newest, begins // self.width)
+        for row in fresh:
+            if row.seq >= begins:
+                sent += [(row.seq, i, item, True, False) for i, item in enumerate(row["items"] or [None])]
+        plain = [(row.seq, row.data) for row in fresh if row.seq < begins]
+        sent += [(seq, 0, data, False, False) for seq, data in plain]
+        if plain:
+            touched = self._hold(plain, call)
+            oldest, newest = min(oldest, *touched), max(newest, *touched)
+        last = max(last, order[-1])
+        if (oldest + 1) * self.width <= last - self.horizon:
+            self._forget(last - self.horizon)
+            oldest = (last - self.horizon) // self.width
+        state = (begins, last, oldest, newest, call + 1)
+        self.at.update(state)
+        for seq, idx, value, in_list, late in sent:
+            yield Row(db_id=key[0], path=key[1], seq=seq, idx=idx, value=value, in_list=in_list, late=late)
 
     def close(self) -> None:
         pass
@@ -184,7 +193,7 @@ def state_fold(edits: DataFrame, horizon: int = 1 << 16) -> DataFrame:
     items = F.when(text_kind("data") == "list", F.transform(v, lambda x: F.to_json(x))).otherwise(F.array("data"))
     typed = fo.drop_na(edits).select("db_id", "path", "seq", "data", text_kind("data").alias("kind"), items.alias("items"))
     owner = edits.schema["db_id"].dataType.simpleString()
-    return typed.groupBy("db_id", "path").transformWithStateInPandas(
+    return typed.groupBy("db_id", "path").transformWithState(
         statefulProcessor=_PathFold(horizon),
         outputStructType=f"db_id {owner}, path string, seq bigint, idx int, value string, in_list boolean, late boolean",
         outputMode="Update",
