@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docmem.functions import jsontext, paths
@@ -163,3 +164,35 @@ def test_fetch_several_paths(spark):
     asked = spark.createDataFrame([(1, ["$.user.name", "NA", "$.gone", "$.user.tags"])], "db_id int, path_list array<string>")
     got = {(r.path, r.value) for r in reads.fetch(docs, asked).collect()}
     assert got == {("$.user.name", '"d"'), ("$.user.tags", "[]")}
+
+
+def test_deep_documents_take_one_explode_and_one_grouping(spark):
+    text = '{"d":[' * 15 + '{"k":[[1,2.5],[]],"t":"x"}' + "]}" * 15
+    df = spark.createDataFrame([(1, text), (2, "[]"), (3, None)], "db_id int, t string").select("db_id", F.try_parse_json("t").alias("doc"))
+    rows = lv.leaves(df)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Union" not in plan
+    at = "$" + ".d[0]" * 15
+    assert {(r.db_id, r.path, r.value) for r in rows.collect()} == {
+        (1, f"{at}.k[0][0]", "1"),
+        (1, f"{at}.k[0][1]", "2.5"),
+        (1, f"{at}.k[1]", "[]"),
+        (1, f"{at}.t", '"x"'),
+        (2, "$", "[]"),
+        (3, "$", None),
+    }
+    back = lv.rebuild(rows, ["db_id"])
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert {r.db_id: r.doc for r in back.collect()} == {1: text, 2: "[]", 3: None}
+
+
+def test_deep_leaves_are_written_in_order(spark):
+    at = "$" + ".d[0]" * 6
+    rows = [(".l[10]", "2"), (".l[2]", "3"), (".l", "[]"), (".a.b", "1"), (".a", "{}"), (".a.c", None), ('["x\\"y"]', "4"), (".n[0]", None), (".e", "{}")]
+    df = spark.createDataFrame([(1, at + p, v) for p, v in rows] + [(2, "$.u", "7")], "db_id int, path string, value string")
+    inner = '{"a":{"b":1},"e":{},"l":[3,2],"n":[],"x\\"y":4}'
+    assert {r.db_id: r.doc for r in lv.rebuild(df, ["db_id"]).collect()} == {1: '{"d":[' * 6 + inner + "]}" * 6, 2: '{"u":7}'}
+    for clash in [(".a.b.c", "5"), (".a[0]", "5"), (".l", "{}"), (".l[*]", "5")]:
+        more = spark.createDataFrame([(1, at + clash[0], clash[1])], df.schema)
+        with pytest.raises(Exception, match="same place"):
+            lv.rebuild(df.unionByName(more), ["db_id"]).collect()
