@@ -84,6 +84,22 @@ def test_jaccard_chains_and_thresholds(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_links_of_near_copies_are_no_pairs(spark):
+    """A group of near copies is joined by about as many links as it has members."""
+    sets_ = [np.array([*range(40), 1000 + i], np.uint64) for i in range(120)]
+    rows = [(0, i, len(x), bytearray(x.tobytes())) for i, x in enumerate(sets_)]
+    points = spark.createDataFrame(rows, "part bigint, cls bigint, n bigint, x binary")
+    found = [(x.a, x.b) for x in jaccard_join.links(points).collect()]
+    assert roots(120, found) == [0] * 120
+    assert len(found) < 2 * 120
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        link = r.random((30, 12)) < 0.08
+        less = jaccard_join.joining(link)
+        assert not (less & ~link).any() and less.sum() < 42
+        assert roots(42, [(12 + i, j) for i, j in np.argwhere(less)]) == roots(42, [(12 + i, j) for i, j in np.argwhere(link)])
+
+
 def test_jaccard_short_texts(spark):
     """Texts of few shingles, all of which may fall outside the sample, and the same with one word more."""
     rows = []
