@@ -39,15 +39,53 @@ END = 1
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
+class Parts(dict):
+    """Ids of parts of words from the BPE model; parts that two generations in a row have not asked for are forgotten."""
+
+    def __init__(self, model):
+        self.model = model
+        # bytes stand for themselves where printable, the others follow from 256 on
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in kept]
+        self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.before: dict[str, bytes] = {}
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def age(self) -> None:
+        self.before = dict(self)
+        self.begin()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            shown = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.shown)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes() if part else b""
+        self[part] = found
+        self.held += WORD_BYTES + 5 * len(part)
+        return found
+
+
 class WordIds:
     """Token ids of words, remembered for a while.
 
-    The vocabulary's pre-tokenizer never joins across blanks, so the ids of a text
-    are those of its words. Plain words (Latin letters and a run of ASCII signs)
-    go straight to the BPE model; all others through the whole tokenizer.
+    The vocabulary's pre-tokenizer cuts at blanks and finds the same parts in any text of
+    Latin letters and ASCII as its own pattern does here, so those parts go straight to
+    the BPE model. Other texts go word by word: the ids of a text are those of its words.
+    Plain words (Latin letters and a run of ASCII signs) are two parts; all others go
+    through the whole tokenizer.
     """
 
-    plain = re.compile("([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]*)([!-/:-@\\[-`{-~]*)")
+    letter, small, sign = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff", "a-z\\u00df-\\u00f6\\u00f8-\\u00ff", "!-/:-@\\[-`{-~"
+    plain = re.compile(f"([{letter}]*)([{sign}]*)")
+    plain_text = re.compile("[\\x20-\\x7e\\x09-\\x0d\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]*")
+    cut = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{small}]+|[0-9]|[{sign}]+")
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,34 +96,24 @@ class WordIds:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        # bytes stand for themselves where printable, the others follow from 256 on
-        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in kept]
-        self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.parts = Parts(self.whole.model)
         self.forget()
 
     def forget(self) -> None:
+        self.parts.forget()
+        self.forget_words()
+
+    def forget_words(self) -> None:
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
         self.held = 0
 
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            shown = part.encode("utf-8").decode("latin-1").translate(self.shown)
-            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.parts[part] = found
-            self.held += WORD_BYTES + 5 * len(part)
-        return found
-
     def learn(self, words: set[str]) -> None:
         odd = []
         for w in words:
             m = self.plain.fullmatch(w)
             if m and not w.startswith("<|"):
                 a, b = m.groups()
-                self.words[w] = self.part(a.lower()) + self.part(b)
+                self.words[w] = self.parts[a.lower()] + self.parts[b]
             else:
                 odd.append(w)
         if odd:
@@ -95,13 +123,15 @@ class WordIds:
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [split_words(t) for t in texts]
-        wanted = set().union(*split)
-        if self.held > CACHED:
-            self.forget()
+        if 2 * self.parts.held + self.held > CACHED:  # two generations of parts, and the words
+            self.parts.age()
+            self.forget_words()
+        part, cut = self.parts.__getitem__, self.cut.findall
+        split = [None if "<|" not in t and self.plain_text.fullmatch(t) else split_words(t) for t in texts]
+        wanted = set().union(*(words for words in split if words))
         self.learn(wanted - self.words.keys())
         at = self.words.__getitem__
-        return [b"".join(map(at, words)) for words in split]
+        return [b"".join(map(part, cut(t.lower())) if words is None else map(at, words)) for t, words in zip(texts, split)]
 
 
 def word_ids(path: str | None) -> WordIds:

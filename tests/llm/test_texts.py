@@ -1,6 +1,7 @@
 """Host rules, packing, classifier, suffix tree: against plain Python."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,6 +87,40 @@ def test_word_ids_are_those_of_the_whole_text():
         assert np.frombuffer(ids, "<u4").tolist() == words.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_parts_are_those_of_the_whole_text(monkeypatch):
+    """Texts of Latin letters and ASCII, with every sign, mark and digit in many orders, also with hardly any memory."""
+    r = random.Random(8)
+    words = packing.WordIds()
+    signs = [chr(c) for c in range(33, 127)] + [chr(c) for c in range(0xC0, 0x100)] + ["'s", "'S", "'ll", "'LL", "'re", "''", "<|endoftext|>", "<|", "the", "\u00d7", "12"]
+    blanks = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "  "]
+    texts = ["".join(r.choice(signs if r.random() < 0.8 else blanks) for _ in range(r.randint(0, 60))) for _ in range(800)]
+    for most in (packing.CACHED, 3000):
+        monkeypatch.setattr(packing, "CACHED", most)
+        for i in range(0, len(texts), 50):
+            for t, ids in zip(texts[i : i + 50], words.texts(texts[i : i + 50])):
+                assert np.frombuffer(ids, "<u4").tolist() == words.whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_frequent_words_are_not_forgotten(monkeypatch):
+    """New words push out those that nothing asks for any more, so that frequent ones are cut up once."""
+    monkeypatch.setattr(packing, "CACHED", 2 * 40 * packing.WORD_BYTES)
+    words = packing.WordIds()
+    model, asked = words.whole.model, []
+
+    class Counted:
+        def tokenize(self, shown):
+            asked.append(shown)
+            return model.tokenize(shown)
+
+    words.model = Counted()
+    if hasattr(words.parts, "model"):
+        words.parts.model = words.model
+    for i in range(20):
+        fresh = " ".join("q" + "abcdefghij"[j % 10] * (1 + j // 10) + "klmnopqrstuvwxyzabcd"[i] for j in range(30))
+        words.texts([f"every one of these, {fresh}"])
+    assert asked.count("every") == asked.count("these") == 1
+
+
 def test_packing(spark, documents, empty):
     length = 256
     pieces = packing.tokenize(documents, length=length)
