@@ -6,6 +6,8 @@ ordered; VARIANT is used while a value is being taken apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(x)` with `x` worked out once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def is_json(text: Col) -> Column:
     """True when the whole text is one JSON value.
 

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmem.functions.jsontext import variant_text
+from docmem.functions.jsontext import let, variant_text
 from docmem.functions.paths import READ_PATH, normalise_quotes
-from docmem.operators.leaves import document_depth, list_items, object_entries
+from docmem.operators.leaves import document_depth, is_container, list_items, object_entries
 
 PATHS_PER_WALK = 256  # an owner who asks for more is answered in several walks
 
@@ -90,10 +90,6 @@ _NUMBER = "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$"
 
 def _passes(x: Column, s: Column) -> Column:
     """Does a list element pass the test of a step? A field of another type never does."""
-    found = F.try_variant_get(x, s["name"], "variant")
-    kind = F.schema_of_variant(found)
-    text = F.when(s["text"] & (kind == "STRING"), F.try_variant_get(found, "$", "string"))
-    number = F.when(~s["text"] & kind.rlike(_NUMBER), F.try_variant_get(found, "$", "double"))
 
     def test(a: Column, b: Column) -> Column:
         return (
@@ -105,26 +101,30 @@ def _passes(x: Column, s: Column) -> Column:
             .when(s["op"] == ">=", a >= b)
         )
 
-    ok = (
-        F.when(s["op"] == "=~", F.regexp_like(text, s["literal"]))
-        .when(s["text"], test(text, s["literal"]))
-        .otherwise(test(number, F.when(~s["text"], s["literal"].cast("double"))))
-    )
-    return F.coalesce(ok, F.lit(False))
+    def ok(found: Column) -> Column:
+        kind = F.schema_of_variant(found)
+        text = F.when(s["text"] & (kind == "STRING"), F.try_variant_get(found, "$", "string"))
+        number = F.when(~s["text"] & kind.rlike(_NUMBER), F.try_variant_get(found, "$", "double"))
+        return (
+            F.when(s["op"] == "=~", F.regexp_like(text, s["literal"]))
+            .when(s["text"], test(text, s["literal"]))
+            .otherwise(test(number, F.when(~s["text"], s["literal"].cast("double"))))
+        )
+
+    return F.coalesce(let(F.try_variant_get(x, s["name"], "variant"), ok), F.lit(False))
 
 
 def _sorted(items: Column, s: Column) -> Column:
     """A list in the order of the step's keys; numbers before text, elements without a key last."""
 
     def keyed(x: Column) -> Column:
-        return F.transform(
-            s["keys"],
-            lambda k: F.struct(
-                F.try_variant_get(x, F.concat(F.lit('$["'), k["name"], F.lit('"]')), "double").alias("n"),
-                F.try_variant_get(x, F.concat(F.lit('$["'), k["name"], F.lit('"]')), "string").alias("t"),
-                k["down"].alias("down"),
-            ),
-        )
+        def one(k: Column) -> Column:
+            told = lambda v: F.struct(
+                F.try_variant_get(v, "$", "double").alias("n"), F.try_variant_get(v, "$", "string").alias("t"), k["down"].alias("down")
+            )
+            return let(F.try_variant_get(x, F.concat(F.lit('$["'), k["name"], F.lit('"]')), "variant"), told)
+
+        return F.transform(s["keys"], one)
 
     def compare(a: Column, b: Column) -> Column:
         def one(pair: Column) -> Column:
@@ -148,22 +148,25 @@ def _sorted(items: Column, s: Column) -> Column:
     return F.transform(order, lambda o: F.get(items, o["i"]))
 
 
-def _children(ord_: Column, v: Column, s: Column) -> Column:
-    """`array<struct<ord, v, again>>`: the matches of a step at a place, `again` where the step goes on below."""
+def _children(ord_: Column, v: Column, items: Column, entries: Column, s: Column) -> Column:
+    """`array<struct<ord, v, again>>`: the matches of a step at a place, `again` where the step goes on below.
+
+    `items` and `entries` are those of `v`, opened before, as they are looked at often.
+    """
     here = lambda x, again=False: F.struct(ord_.alias("ord"), x.alias("v"), F.lit(again).alias("again"))
     at = lambda i, x, again=False: F.struct(F.concat(ord_, F.array(i)).alias("ord"), x.alias("v"), F.lit(again).alias("again"))
-    one = lambda x: F.when(x.isNotNull(), F.array(here(x)))
+    one = lambda x: F.filter(F.array(here(x)), lambda m: m["v"].isNotNull())
     many = lambda xs: F.transform(xs, lambda x, i: at(i, x))
-    items, entries = list_items(v), object_entries(v)
     text = F.when(F.schema_of_variant(v) == "STRING", variant_text(v))
+
     n = F.size(items)
     bound = lambda b, none: F.when(b.isNull(), none).when(b < 0, F.greatest(n + b, F.lit(0))).otherwise(F.least(b, n))
     start = bound(s["lo"], F.lit(0))
     hit = F.transform(F.filter(entries, lambda e: e["key"] == s["name"]), lambda e: at(F.lit(-1), e["value"]))
     below = F.concat(
         F.coalesce(hit, F.array()),
-        F.coalesce(F.transform(entries, lambda e, i: at(i, e["value"], True)), F.array()),
-        F.coalesce(F.transform(items, lambda x, i: at(i, x, True)), F.array()),
+        F.coalesce(F.filter(F.transform(entries, lambda e, i: at(i, e["value"], True)), lambda m: is_container(m["v"])), F.array()),
+        F.coalesce(F.filter(F.transform(items, lambda x, i: at(i, x, True)), lambda m: is_container(m["v"])), F.array()),
     )
     length = F.coalesce(F.array_size(items), F.array_size(entries), F.length(text)).cast("variant")
     pieces = F.split(text, F.concat(F.lit(r"\Q"), s["name"], F.lit(r"\E")), F.when(s["hi"] < 0, F.lit(-1)).otherwise(s["hi"] + 1))
@@ -185,6 +188,38 @@ def _children(ord_: Column, v: Column, s: Column) -> Column:
     return F.coalesce(found, F.array())
 
 
+def _done(t: Column) -> Column:
+    return F.size(t["rest"]) == 0
+
+
+def _onwards(todo: Column, ord_: Column, v: Column) -> Column:
+    """`array<struct<todo, ord, v>>`: the places one step further, and this one with the paths that end here.
+
+    Paths with the same next step take it together, and all of them look at one opened value.
+    """
+    place = lambda todo, ord_, v: F.struct(todo.alias("todo"), ord_.alias("ord"), v.alias("v"))
+    next_of = lambda t: F.get(t["rest"], F.lit(0))
+
+    def way(step: Column, items: Column, entries: Column) -> Column:
+        def taken(some: Column) -> Column:
+            rest = F.transform(some, lambda t: F.struct(t["path"].alias("path"), F.slice(t["rest"], 2, 1 << 20).alias("rest")))
+            met = _children(ord_, v, items, entries, step)
+            return let(rest, lambda r: F.transform(met, lambda m: place(F.when(m["again"], some).otherwise(r), m["ord"], m["v"])))
+
+        return let(F.filter(todo, lambda t: next_of(t) == step), taken)
+
+    def ways(heads: Column) -> Column:
+        some = lambda *kinds: F.exists(heads, lambda h: h["kind"].isin(*kinds))
+        items = F.when(some("each", "where", "index", "slice", "order", "below", "len"), list_items(v))
+        entries = F.when(some("below", "len"), object_entries(v))
+        steps_ = lambda x: lambda y: F.flatten(F.transform(heads, lambda h: way(h, x, y)))
+        return let(items, lambda x: let(entries, steps_(x)))
+
+    heads = F.array_distinct(F.transform(F.filter(todo, lambda t: ~_done(t)), next_of))
+    answered = F.when(F.exists(todo, _done), F.array(place(F.filter(todo, _done), ord_, v))).otherwise(F.array())
+    return F.when(F.forall(todo, _done), F.array(place(todo, ord_, v))).otherwise(F.concat(answered, let(heads, ways)))
+
+
 def asked_paths(requests: DataFrame) -> DataFrame:
     """`(db_id, path)` of each readable path that is asked for; `NA` asks for nothing."""
     asked = requests.select("db_id", F.explode("path_list").alias("path")).where(F.col("path") != "NA")
@@ -232,41 +267,10 @@ def fetch_any(docs: DataFrame, requests: DataFrame, levels: int | None = None) -
         .join(_per_owner(asked), "db_id")
         .select("db_id", "todo", F.array().cast("array<int>").alias("ord"), F.col("doc").alias("v"))
     )
-    done = lambda t: F.size(t["rest"]) == 0
     for _ in range(levels):
-        # one row for what is answered here, and one per kind of next step
-        heads = F.array_distinct(F.transform(F.filter("todo", lambda t: ~done(t)), lambda t: F.get(t["rest"], F.lit(0))))
-        answered = F.filter("todo", done)
-        none = F.lit(None).cast(_STEP_TYPE)
-        ways = F.concat(
-            F.when(F.size(answered) > 0, F.array(F.struct(none.alias("step"), answered.alias("todo")))).otherwise(F.array()),
-            F.transform(
-                heads,
-                lambda h: F.struct(
-                    h.alias("step"),
-                    F.filter("todo", lambda t: F.get(t["rest"], F.lit(0)) == h).alias("todo"),
-                ),
-            ),
-        )
-        rows = rows.select("db_id", "ord", "v", F.explode(ways).alias("w")).select("db_id", "ord", "v", "w.step", "w.todo")
-        stay = F.array(F.struct("ord", "v", F.lit(False).alias("again")))
-        met = F.when(F.col("step").isNull(), stay).otherwise(_children(F.col("ord"), F.col("v"), F.col("step")))
-        rows = rows.select("db_id", "step", "todo", F.explode(met).alias("m"))
-        rest = F.transform("todo", lambda t: F.struct(t["path"].alias("path"), F.slice(t["rest"], 2, 1 << 20).alias("rest")))
-        rows = rows.select(
-            "db_id",
-            F.when(F.col("step").isNull() | F.col("m.again"), F.col("todo")).otherwise(rest).alias("todo"),
-            "m.ord",
-            "m.v",
-        )
-    found = rows.select("db_id", "ord", "v", F.explode(F.filter("todo", done)).alias("t")).select(
+        rows = rows.select("db_id", F.explode(_onwards(F.col("todo"), F.col("ord"), F.col("v"))).alias("m")).select("db_id", "m.*")
+    found = rows.select("db_id", "ord", "v", F.explode(F.filter("todo", _done)).alias("t")).select(
         "db_id", F.col("t.path").alias("path"), "ord", F.to_json("v").alias("value")
     )
     along = Window.partitionBy("db_id", "path").orderBy("ord")
     return found.select("db_id", "path", (F.row_number().over(along) - 1).cast("bigint").alias("ord"), "value")
-
-
-_STEP_TYPE = (
-    "struct<kind: string, name: string, op: string, literal: string, text: boolean, lo: int, hi: int,"
-    " keys: array<struct<name: string, down: boolean>>>"
-)

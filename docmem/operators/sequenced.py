@@ -15,12 +15,10 @@ list. All other updates meet the versions, each within its span of `seq`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmem.functions.jsontext import quote, text_kind
+from docmem.functions.jsontext import let, quote, text_kind
 from docmem.functions.paths import ANY_ELEMENT_PATH
 from docmem.operators.leaves import list_items, object_entries
 from docmem.session import cut_lineage
@@ -68,11 +66,6 @@ def entangled(updates: DataFrame) -> DataFrame:
 # ---- one element ---------------------------------------------------------------
 
 
-def _let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(x)` with `x` worked out once."""
-    return F.get(F.transform(F.array(x), body), F.lit(0))
-
-
 def _entries(text: Column) -> Column:
     return F.transform(
         object_entries(F.try_parse_json(text)),
@@ -103,7 +96,7 @@ def _put(text: Column, keys: Column, data: Column, depth: int, most: int) -> Col
 
     def into(entries: Column) -> Column:
         old = F.get(F.filter(entries, lambda e: e["key"] == key), F.lit(0))["value"]
-        new = _let(old, lambda o: _put(o, keys, data, depth + 1, most))
+        new = let(old, lambda o: _put(o, keys, data, depth + 1, most))
         kept = F.filter(entries, lambda e: e["key"] != key)
         all_of = F.concat(kept, F.array(F.struct(key.alias("key"), new.alias("value"))))
         told = F.transform(all_of, lambda e: F.concat(quote(e["key"]), F.lit(":"), e["value"]))
@@ -111,7 +104,7 @@ def _put(text: Column, keys: Column, data: Column, depth: int, most: int) -> Col
 
     nothing = F.array().cast("array<struct<key: string, value: string>>")
     held = F.when(text.isNull(), nothing).when(text_kind(text) == "object", F.coalesce(_entries(text), nothing))
-    below = _let(held, lambda entries: F.when(entries.isNull(), text).otherwise(into(entries)))
+    below = let(held, lambda entries: F.when(entries.isNull(), text).otherwise(into(entries)))
     return F.when(F.size(keys) == depth, here).otherwise(below)
 
 

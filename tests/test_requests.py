@@ -175,3 +175,26 @@ def test_odd_requests_harm_nobody(spark, docs, monkeypatch):
     got = answers(rq.fetch_any(docs, asked))
     assert got[1, "$.s"] == [DOC["s"]] and len(got) == 1 + sum(bool(walk(DOC, p)) for p in PATHS[:12])
     assert {r.path for r in rq.refused_paths(asked).collect()} == {"$.phones[?name", "$..", "no path", "$.s.`sorted`"}
+
+
+def test_a_level_is_one_explode_and_opens_a_value_once(spark):
+    """Each level moves rows once, however many paths part there, and a sorted list is not opened for each element."""
+    rows = [(1, json.dumps({"a": [{"x": (7 * i) % 50, "t": f"t{i % 3}", "b": {"x": i}} for i in range(300)], "x": [], "n": None}))]
+    docs = spark.createDataFrame(rows, "db_id long, text string").select("db_id", F.parse_json("text").alias("doc"))
+    paths = ["$.a[*].x", "$.a[\\x,/t][0:3].x", "$.a[-1].t", "$..x", "$.a", "$.a.`len`", "$.n"]
+    asked = spark.createDataFrame([(1, paths)], "db_id long, path_list array<string>")
+    out = rq.fetch_any(docs, asked, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    walk = [x for x in plan.splitlines() if "Generate explode" in x and "path_list" not in x]
+    assert len(walk) == 5 + 1
+    got = {}
+    for r in out.orderBy("path", "ord").collect():
+        got.setdefault(r.path, []).append(json.loads(r.value))
+    doc = json.loads(rows[0][1])
+    ranked = sorted(doc["a"], key=lambda e: (-e["x"], e["t"]))
+    assert got["$.a[*].x"] == [e["x"] for e in doc["a"]]
+    assert got["$.a[\\x,/t][0:3].x"] == [e["x"] for e in ranked[:3]]
+    assert got["$.a[-1].t"] == [doc["a"][-1]["t"]]
+    below = [[]] + [v for e in doc["a"] for v in (e["x"], e["b"]["x"])]
+    assert sorted(map(json.dumps, got["$..x"])) == sorted(map(json.dumps, below))
+    assert got["$.a"] == [doc["a"]] and got["$.a.`len`"] == [300] and got["$.n"] == [None]
