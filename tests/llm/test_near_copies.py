@@ -267,3 +267,26 @@ def test_pipeline(spark, documents, tmp_path):
     assert docs.count() > 0
     by = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert by.where("n > 4096").count() == 0
+
+
+@pytest.mark.parametrize("pairs", [64, 3])
+def test_groups_of_lines_by_sets(monkeypatch, pairs):
+    """Groups of all sizes, by pairs and by turns, join what brute force joins; a filled-up line is not one that ends in NULs."""
+    monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+    r = random.Random(9)
+    lines = edited_lines(3)[:150] + ["ab", "ab\x00\x00\x00", "abc", "", "x" * 5, "x" * 400, "é" * 70 + "\U0001f600 end"]
+    for n in (1, 2, 3, 5, 12, 40, len(lines)):
+        texts = r.sample(lines, n)
+        got = line_dedup.forest(*line_dedup.shingle_sets(texts))
+        want = [(i, j) for i in range(n) for j in range(i) if line_dedup.similar(texts[i], texts[j])]
+        assert {tuple(sorted(x)) for x in got} <= {(j, i) for i, j in want}
+        assert same_parts(roots(n, got), roots(n, want))
+        assert len(got) == n - len(set(roots(n, got)))  # no two pairs join the same
+
+
+def test_group_of_equal_turns_is_cheap():
+    """Hundreds of long lines that are all similar to the first are compared once each, not with one another."""
+    base = " ".join(f"word{i}" for i in range(120))
+    own, sketch = line_dedup.shingle_sets([f"{base} {i:04d}" for i in range(400)])
+    got = line_dedup.forest(own, sketch)
+    assert len(got) == 399 and {p for _, p in got} == {0}
