@@ -290,3 +290,22 @@ def test_group_of_equal_turns_is_cheap():
     own, sketch = line_dedup.shingle_sets([f"{base} {i:04d}" for i in range(400)])
     got = line_dedup.forest(own, sketch)
     assert len(got) == 399 and {p for _, p in got} == {0}
+
+
+def test_groups_part_at_gaps_of_size(spark, tmp_path):
+    """Lines too different in size for any link leave a group, or part it; chains of near sizes stay whole."""
+    texts = ["a" * 5 + "".join(chr(200 + i) for i in range(n)) for n in (100, 104, 110, 115, 400)]
+    size = line_dedup.keys_and_sizes(texts)[1].astype(int)
+    assert size[4] - size[3] >= line_dedup.GAP > size[3] - size[0]
+    rows = [(1, 2, 40, 42), (1, 3, 40, 46), (1, 4, 40, 90), (1, 5, 40, 91), (6, 7, 10, 60), (8, 9, 10, 12)]
+    path = str(tmp_path / "pairs")
+    spark.createDataFrame(rows, "leader bigint, node bigint, leader_size smallint, size smallint").write.parquet(path)
+    paired = line_dedup.tables.written(spark.read.parquet(path))
+    got = {}
+    for x in line_dedup.groups_by_size(paired).collect():
+        got.setdefault(x.leader, set()).add(x.node)
+    assert sorted(map(sorted, got.values())) == [[1, 2, 3], [4, 5], [8, 9]]
+    for a in range(1, 400, 7):  # sizes of classes that leave a gap are never similar
+        for b in range(a, 600, 11):
+            near = [int(min(line_dedup.STEPS * line_dedup.np.log(x), 255)) for x in (a, b)]
+            assert near[1] - near[0] < line_dedup.GAP or 100 * a < line_dedup.SIMILAR * b
