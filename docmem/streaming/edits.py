@@ -9,14 +9,17 @@ below.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docmem.functions.jsontext import text_kind
+from docmem.functions.jsontext import quote, text_kind
 from docmem.operators import fold as fo
 from docmem.operators import matching, validate
 
@@ -87,84 +90,62 @@ def thread_touch(messages: DataFrame, time: str = "created_at") -> DataFrame:
     return messages.groupBy("thread_id").agg(F.max(time).alias("updated_at"))
 
 
-class _PathFold(StatefulProcessor):
+STATE = "start bigint, last bigint, seqs array<bigint>, data array<string>"
+SENT = "array<struct<seq bigint, idx int, value string, in_list boolean, late boolean>>"
+SENT_AT_ONCE = 4096  # rows that travel as one text
+NEVER, LONG_AGO = (1 << 62), -(1 << 62)
+
+
+def _path_fold(horizon: int):
     """Values of one path, with room for edits that come late.
 
     List elements are sent out as they arrive and are not kept. The state has where the
-    list starts, the newest edit, and, in segments of `seq`, the plain edits before the
-    list that a late list edit may still turn into elements: those that are newer than
-    the newest edit by less than `horizon`, so the state of a path stays small.
+    list starts, the newest edit, and the plain edits before the list that a late list
+    edit may still turn into elements: those that are newer than the newest edit by less
+    than `horizon`, so the state of a path stays small. Most paths bring few edits at once,
+    and what a call takes is mostly that of its columns, so edits come and rows go as one text.
     """
 
-    SEGMENT = 1 << 10
-    NEVER, LONG_AGO = (1 << 62), -(1 << 62)
-
-    def __init__(self, horizon: int):
-        self.horizon = horizon
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "start bigint, last bigint")
-        self.held = handle.getMapState("held", "segment bigint", "seqs array<bigint>, data array<string>")
-
-    def _take(self, least: int) -> pd.DataFrame:
-        """Held edits from `least` on; they leave the state. Only segments that reach so far are opened."""
-        out = []
-        for (segment,) in list(self.held.keys()):
-            if (segment + 1) * self.SEGMENT <= least:
-                continue
-            rows = pd.DataFrame(dict(zip(("seq", "data"), self.held.getValue((segment,)))))
-            self._store(segment, rows[rows.seq < least])
-            out.append(rows[rows.seq >= least])
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"seq": [], "data": []})
-
-    def _store(self, segment: int, rows: pd.DataFrame) -> None:
-        if rows.empty:
-            if self.held.containsKey((segment,)):
-                self.held.removeKey((segment,))
-        else:
-            self.held.updateValue((segment,), ([int(x) for x in rows.seq], list(rows.data)))
-
-    def _hold(self, rows: pd.DataFrame) -> None:
-        for segment, more in rows.groupby(rows.seq // self.SEGMENT):
-            key = (int(segment),)
-            had = self.held.getValue(key) if self.held.containsKey(key) else ([], [])
-            old = pd.DataFrame(dict(zip(("seq", "data"), had)))
-            self._store(key[0], pd.concat([old, more[["seq", "data"]]], ignore_index=True).drop_duplicates("seq"))
-
-    def _forget(self, floor: int) -> None:
-        for (segment,) in list(self.held.keys()):
-            if (segment + 1) * self.SEGMENT <= floor:
-                self.held.removeKey((segment,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, last = self.at.get() if self.at.exists() else (self.NEVER, self.LONG_AGO)
-        arrived = pd.concat(list(rows), ignore_index=True).drop_duplicates("seq").sort_values("seq", kind="stable")
-        late = arrived.seq <= last - self.horizon
-        fresh = arrived[~late]
-        first = fresh.seq[fresh.kind == "list"].min()
-        begins = min(start, self.NEVER if pd.isna(first) else int(first))
+    def fold(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, seqs, data = state.get if state.exists else (NEVER, LONG_AGO, [], [])
+        held = dict(zip(seqs, data))
+        arrived: dict[int, tuple] = {}
+        for rows in chunks:
+            for seq, text, items in map(json.loads, rows["edit"].tolist()):
+                if seq is not None:  # no place in the order without a number
+                    arrived.setdefault(int(seq), (text, items))
+        sent = []  # (seq, idx, value, in_list, late)
+        fresh = {}
+        for seq, edit in arrived.items():
+            if seq <= last - horizon:
+                sent.append((seq, 0, None, False, True))
+            else:
+                fresh[seq] = edit
+        begins = min([start, *(seq for seq, (_, items) in fresh.items() if items is not None)])
         if begins < start:  # the list starts earlier than known: plain edits since then are its elements
-            turned = self._take(begins)
-            turned = turned.assign(idx=0, value=turned.data, in_list=True)
-        else:
-            turned = pd.DataFrame()
-        listed = fresh[fresh.seq >= begins]
-        items = listed.assign(value=listed["items"]).explode("value")
-        items["idx"] = items.groupby("seq").cumcount()
-        items["in_list"] = True
-        plain = fresh[fresh.seq < begins]
-        self._hold(plain)
-        plain = plain.assign(idx=0, value=plain.data, in_list=False)
-        last = max(last, int(arrived.seq.max()))
-        self._forget(last - self.horizon)
-        self.at.update((begins, last))
-        told = arrived[late].assign(idx=0, value=None, in_list=False, late=True)
-        out = pd.concat([x.assign(late=False) for x in (turned, items, plain) if len(x)] + [told], ignore_index=True)
-        out["db_id"], out["path"] = key[0], key[1]
-        yield out[["db_id", "path", "seq", "idx", "value", "in_list", "late"]].astype({"seq": "int64", "idx": "int32", "in_list": bool, "late": bool})
-
-    def close(self) -> None:
-        pass
+            sent += [(seq, 0, text, True, False) for seq, text in held.items() if seq >= begins]
+            held = {seq: text for seq, text in held.items() if seq < begins}
+        for seq, (text, items) in fresh.items():
+            if seq < begins:
+                held.setdefault(seq, text)
+                sent.append((seq, 0, text, False, False))
+            elif items is None:
+                sent.append((seq, 0, text, True, False))
+            else:  # an empty list shows as one element without a value
+                sent += [(seq, i, item, True, False) for i, item in enumerate(items or [None])]
+        last = max(last, max(arrived))
+        held = {seq: text for seq, text in held.items() if seq > last - horizon}
+        state.update((begins, last, list(held), list(held.values())))
+        names = ("seq", "idx", "value", "in_list", "late")
+        told = [
+            json.dumps([dict(zip(names, row)) for row in sent[i : i + SENT_AT_ONCE]], ensure_ascii=False)
+            for i in range(0, len(sent), SENT_AT_ONCE)
+        ]
+        # as objects: the NULL of one owner must not make floats of the numbers of others
+        owner = np.full(len(told), None if pd.isna(key[0]) else key[0], object)
+        yield pd.DataFrame({"db_id": owner, "path": key[1], "sent": told})
+
+    return fold
 
 
 def state_fold(edits: DataFrame, horizon: int = 1 << 16) -> DataFrame:
@@ -178,18 +159,22 @@ def state_fold(edits: DataFrame, horizon: int = 1 << 16) -> DataFrame:
     numbers is reported as `late` instead of applied; its owner is then to be folded
     again from the log (`refold`). Keyed by `(db_id, path)`, so a busy owner is spread
     over its paths. What one path brings at once is bounded by the micro-batch
-    (`maxFilesPerTrigger` or its like). Needs the RocksDB state store.
+    (`maxFilesPerTrigger` or its like).
     """
     v = F.parse_json("data").cast("array<variant>")
-    items = F.when(text_kind("data") == "list", F.transform(v, lambda x: F.to_json(x))).otherwise(F.array("data"))
-    typed = fo.drop_na(edits).select("db_id", "path", "seq", "data", text_kind("data").alias("kind"), items.alias("items"))
+    items = F.when(text_kind("data") == "list", F.transform(v, lambda x: F.to_json(x)))
+    seq = F.coalesce(F.col("seq").cast("string"), F.lit("null"))
+    edit = F.concat(F.lit("["), seq, F.lit(","), quote("data"), F.lit(","), F.coalesce(F.to_json(items), F.lit("null")), F.lit("]"))
+    typed = fo.drop_na(edits).select("db_id", "path", edit.alias("edit"))
     owner = edits.schema["db_id"].dataType.simpleString()
-    return typed.groupBy("db_id", "path").transformWithStateInPandas(
-        statefulProcessor=_PathFold(horizon),
-        outputStructType=f"db_id {owner}, path string, seq bigint, idx int, value string, in_list boolean, late boolean",
-        outputMode="Update",
-        timeMode="None",
+    told = typed.groupBy("db_id", "path").applyInPandasWithState(
+        _path_fold(horizon),
+        outputStructType=f"db_id {owner}, path string, sent string",
+        stateStructType=STATE,
+        outputMode="update",
+        timeoutConf=GroupStateTimeout.NoTimeout,
     )
+    return told.select("db_id", "path", F.inline(F.from_json("sent", SENT)))
 
 
 def sent_values(sent: DataFrame) -> DataFrame:

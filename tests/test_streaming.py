@@ -89,6 +89,21 @@ def test_stream_state_fold(spark, tmp_path):
     assert values(se.sent_values(sent)) == values(fo.fold(spark.createDataFrame(rows, se.EDIT_SCHEMA)))
 
 
+def test_state_fold_of_numbered_owners_beside_none(spark, tmp_path):
+    """Edits without an owner stay apart from those of numbered ones, and numbers stay exact."""
+    key = 1 << 60
+    rows = [(None if i % 7 == 3 else key + i % 5, i, f"$.p{i % 3}", json.dumps([i]) if i % 4 == 2 else json.dumps(i)) for i in range(400)]
+    folder, typed = str(tmp_path / "in"), "db_id bigint, seq bigint, path string, data string"
+    for part in range(2):
+        spark.createDataFrame(rows[part::2], typed).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(typed).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = se.state_fold(stream, 1 << 20).writeStream.outputMode("update")
+    q = q.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/sent/batch={n}"))
+    q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    owned = spark.createDataFrame([r for r in rows if r[0] is not None], typed)
+    assert values(se.sent_values(spark.read.parquet(f"{tmp_path}/sent"))) == values(fo.fold(owned))
+
+
 def test_state_is_bounded_by_the_horizon(spark, tmp_path):
     parts = [
         [("a", i, "$.p", str(i)) for i in range(0, 6000, 2)],
