@@ -2,7 +2,7 @@
 
 The walk to a given depth is a chain of one `explode` per nesting level inside a single
 stage: a container is replaced by its children, a finished leaf passes through. Without a
-given depth each document is opened as often as its own text is deep, and exploded once.
+given depth each document is walked to its own depth by a kernel, and exploded once.
 No shuffle, no recursion, no per-level job.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmem.functions import kernels
 from docmem.functions.jsontext import Col, col, json_type, quote
 from docmem.functions.paths import key_step, steps_of
 
@@ -103,29 +104,6 @@ def step_down() -> Column:
     )
 
 
-def opened_whole(path: Col, v: Col, enter_lists: bool) -> Column:
-    """All leaves of `v` as `array<struct<path, v, done>>`: its containers opened as often as it is deep, each once."""
-
-    def place(path: Column, v: Column, done: bool) -> Column:
-        return F.struct(path.alias("path"), v.alias("v"), F.lit(done).alias("done"))
-
-    def look(x: Column) -> Column:
-        items = F.when(~x["done"], list_items(x["v"])) if enter_lists else F.lit(None).cast("array<variant>")
-        return F.struct(x.alias("x"), F.when(~x["done"], object_entries(x["v"])).alias("fields"), items.alias("items"))
-
-    def children(o: Column) -> Column:
-        path, v = o["x"]["path"], o["x"]["v"]
-        in_list = lambda y, i: place(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), y, False)
-        return (
-            F.when(F.size(o["fields"]) > 0, F.transform(o["fields"], lambda e: place(F.concat(path, key_step(e["key"])), e["value"], False)))
-            .when(F.size(o["items"]) > 0, F.transform(o["items"], in_list))
-            .otherwise(F.array(place(path, v, True)))
-        )
-
-    times = F.array_repeat(F.lit(0), F.coalesce(json_depth(F.to_json(v)), F.lit(0)))
-    return F.aggregate(times, F.array(place(col(path), col(v), False)), lambda acc, _: F.flatten(F.transform(F.transform(acc, look), children)))
-
-
 def is_container(v: Col, enter_lists: bool = True) -> Column:
     more = F.coalesce(F.size(object_entries(v)) > 0, F.lit(False))
     if enter_lists:
@@ -151,7 +129,7 @@ def explode_leaves(
     keep = [c for c in df.columns if c != doc]
     out = df.select(*keep, (root if root is not None else F.lit("$")).alias("path"), F.col(doc).alias("v"))
     if max_depth is None:
-        return out.select(*keep, F.explode(opened_whole("path", "v", enter_lists)).alias("_item")).select(*keep, "_item.path", "_item.v")
+        return out.select(*keep, F.explode(kernels.opened(F.col("path"), F.col("v"), enter_lists)).alias("_item")).select(*keep, "_item.path", "_item.v")
     for _ in range(max_depth):
         out = (
             open_containers(out, enter_lists)
@@ -192,13 +170,13 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int | None = None, altern
     `alternatives` (schemas) it closes as a list of both.
     """
     if max_depth is None:
-        max_depth = df.agg(F.max(F.size(steps_of("path")))).first()[0] or 0
+        max_depth = df.agg(F.max(kernels.most_steps(F.col("path")))).first()[0] or 0
+    if max_depth > CHAIN + 1 and not alternatives:
+        return _written(df, keys, max_depth)
     steps = steps_of("path")
     deep = F.raise_error(F.concat(F.lit(f"nesting deeper than {max_depth} levels at "), F.col("path")))
     steps = F.when(F.size(steps) > max_depth, deep.cast("array<string>")).otherwise(steps)
     out = df.select(*keys, steps.alias("_at"), "value")
-    if max_depth > CHAIN + 1 and not alternatives:
-        return _written(out, keys, max_depth)
     if max_depth > CHAIN + 1:
         below = F.size("_at") > CHAIN
         closed = _close(out.where(below).repartition(*keys), keys, max_depth, CHAIN + 1, alternatives)
@@ -208,92 +186,15 @@ def rebuild(df: DataFrame, keys: list[str], max_depth: int | None = None, altern
 
 
 def _written(rows: DataFrame, keys: list[str], deepest: int) -> DataFrame:
-    """Rows `(keys, _at, value)` to `(keys, doc)`, one grouping whatever the depth.
+    """Rows `(keys, path, value)` to `(keys, doc)`, one grouping whatever the depth.
 
-    The leaves of a document are put in order. What two neighbours share at the beginning
-    of their paths stays open between them, the rest is closed after the one and opened
-    before the other, so the work is that of the leaves, not of leaves times levels.
+    The leaves of a document are put in order and written one after the other, so the
+    work is that of the leaves, not of leaves times levels.
     """
-    # fields have a key, list places a number, [*] the number -1
-    place = F.transform(
-        "_at",
-        lambda s: F.when(
-            s.startswith("[") & ~s.startswith('["'),
-            F.struct(
-                F.when(s == "[*]", -1).otherwise(s.substr(F.lit(2), F.length(s) - 2).try_cast("bigint")).cast("bigint").alias("i"),
-                F.lit(None).cast("string").alias("key"),
-            ),
-        ).otherwise(
-            F.struct(
-                F.lit(None).cast("bigint").alias("i"),
-                F.when(s.rlike(r"^\.[A-Za-z0-9_-]+$"), F.concat(F.lit('"'), F.substring(s, 2, 1 << 30), F.lit('":')))
-                .otherwise(F.concat(_key_of(s), F.lit(":")))
-                .alias("key"),
-            )
-        ),
-    )
-    # a NULL is no field; of a list it leaves the list, be it empty
-    slots = F.reverse(F.transform("_at", lambda p: F.coalesce(p["i"] >= 0, F.lit(False))))
-    up = F.array_position(slots, True).cast("int")
-    told = F.when(F.col("value").isNotNull(), F.struct(F.col("_at").alias("at"), "value")).when(
-        up > 0, F.struct(F.slice("_at", F.lit(1), F.size("_at") - up).alias("at"), F.lit("[]").alias("value"))
-    )
     parallel = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, so that small but laborious parts are not merged
-    docs = (
-        rows.select(*keys, place.alias("_at"), "value")
-        .select(*keys, told.alias("_leaf"))
-        .repartition(parallel, *keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_leaf")).alias("_all"))
-    )
-
-    def shared(a: Column, b: Column) -> Column:
-        """How many places two paths share at their beginning."""
-        differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False).cast("int")
-        return F.when(differ == 0, F.size(a)).otherwise(differ - 1)
-
-    def kept(x: Column, i: Column) -> Column:
-        after = F.get("_all", i + 1)
-        n, common = F.size(x["at"]), shared(x["at"], after["at"])
-        mine, other = F.get(x["at"], common), F.get(after["at"], common)
-        is_field, is_item = other["key"].isNotNull(), other["i"] == -1
-        clash = F.raise_error(F.concat(F.lit("a value and children at the same place below "), F.to_json(x["at"]))).cast("boolean")
-        again = (n == deepest) & (F.get(x["at"], n - 1)["i"].isNull() | (F.get(x["at"], n - 1)["i"] >= 0))
-        return (
-            F.when(after.isNull(), True)
-            .when((common == n) & (F.size(after["at"]) == n), again)
-            .when((common == n) & is_field & (x["value"] == "{}"), False)
-            .when((common == n) & ~is_field & ~F.coalesce(is_item, F.lit(False)) & (x["value"] == "[]"), False)
-            .when(common == n, clash)
-            .when(mine["key"].isNull() != other["key"].isNull(), clash)
-            .when(F.coalesce((mine["i"] == -1) | (other["i"] == -1), F.lit(False)), clash)
-            .otherwise(True)
-        )
-
-    def begin(p: Column) -> Column:
-        return F.when(p["key"].isNull(), "[").otherwise(F.concat(F.lit("{"), p["key"]))
-
-    def end(p: Column) -> Column:
-        return F.when(p["key"].isNull(), "]").otherwise("}")
-
-    # paths that come twice part at their last place
-    parts = lambda a, b: F.least(shared(a["at"], b["at"]), F.size(a["at"]) - 1)
-
-    def piece(x: Column, i: Column) -> Column:
-        before, after = F.coalesce(F.get("_cuts", i - 1), F.lit(-1)), F.get("_cuts", i)
-        before = F.when(i == 0, -1).otherwise(before)
-        at, whole = x["at"], 1 << 30
-        join = F.when(before >= 0, F.concat(F.lit(","), F.coalesce(F.get(at, before)["key"], F.lit("")))).otherwise("")
-        opened = F.array_join(F.transform(F.slice(at, before + 2, F.lit(whole)), begin), "")
-        shut = F.array_join(F.reverse(F.transform(F.slice(at, after + 2, F.lit(whole)), end)), "")
-        return F.concat(join, opened, x["value"], shut)
-
-    cuts = F.transform("_all", lambda x, i: F.when(F.get("_all", i + 1).isNull(), -1).otherwise(parts(x, F.get("_all", i + 1))))
-    return (
-        docs.withColumn("_all", F.filter("_all", kept))
-        .withColumn("_cuts", cuts)
-        .select(*keys, F.when(F.size("_all") > 0, F.array_join(F.transform("_all", piece), "")).alias("doc"))
-    )
+    leaf = F.struct(F.col("path").alias("path"), F.col("value").alias("value"))
+    docs = rows.select(*keys, leaf.alias("_leaf")).repartition(parallel, *keys).groupBy(*keys).agg(F.collect_list("_leaf").alias("_all"))
+    return docs.select(*keys, kernels.text_of_leaves(F.col("_all"), deepest).alias("doc"))
 
 
 def _close(out: DataFrame, keys: list[str], deepest: int, until: int, alternatives: bool) -> DataFrame:

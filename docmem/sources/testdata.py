@@ -192,8 +192,10 @@ def deep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     n = (F.col("o_orderkey") % 16).cast("int")
     doc = F.concat(F.repeat(F.lit('{"d":['), n), told, F.repeat(F.lit("]}"), n))
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, as small tables are laborious as documents
     return (
         table(spark, sf_dir, "orders")
+        .repartition(parallel, "o_orderkey")
         .join(items, "o_orderkey", "left")
         .select(F.col("o_orderkey").alias("db_id"), F.parse_json(doc).alias("doc"))
     )

@@ -196,3 +196,51 @@ def test_deep_leaves_are_written_in_order(spark):
         more = spark.createDataFrame([(1, at + clash[0], clash[1])], df.schema)
         with pytest.raises(Exception, match="same place"):
             lv.rebuild(df.unionByName(more), ["db_id"]).collect()
+
+
+def test_both_walks_find_the_same_leaves(spark):
+    """The walk to each document's own depth against the chain of a given depth, on all kinds of values and sizes."""
+    typed = """to_variant_object(named_struct('d', 1.50BD, 'w', 12345678901234567890.25BD, 'f', CAST(1.5 AS FLOAT), 'e', 1e300D,
+        'day', DATE'2024-01-02', 't', TIMESTAMP'2024-01-02 03:04:05', 'n', TIMESTAMP_NTZ'2024-01-02 03:04:05', 'b', X'00FF', 'y', true,
+        'i1', 5Y, 'i2', 500S, 'i4', 70000, 'i8', 5000000000L, 'none', CAST(NULL AS INT), 's', 'x', 'long', repeat('é', 99),
+        'l', array(named_struct('a', 1), named_struct('a', NULL))))"""
+    odd = {"a.b": 1, "[0]": {}, 'q"z': [], "back\\slash": [[]], "": {"é": None}, "line\n": 1, "two\nlines": {"-x": 0, "_y-1": 2}}
+    wide = {f"k{i}": {"v": [i, "t" * (i % 90)]} for i in range(400)}
+    texts = [odd, wide, [list(range(300))], [{"x": "y" * 70000}, 1], 5, "t", None, [], {}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(texts)], "db_id int, t string")
+    df = df.select("db_id", F.parse_json("t").alias("doc"))
+    df = df.unionByName(spark.sql(f"SELECT 100 AS db_id, {typed} AS doc UNION ALL SELECT 101, CAST(NULL AS VARIANT)"))
+
+    def rows(**options):
+        return sorted(map(str, lv.leaves(df, **options).collect()))
+
+    for enter in (True, False):
+        assert rows(enter_lists=enter) == rows(enter_lists=enter, max_depth=5)
+    rooted = lv.explode_leaves(df.where("db_id IN (4, 8)"), root=F.when(F.col("db_id") == 4, "$.r"))
+    assert {(r.db_id, r.path) for r in rooted.collect()} == {(4, "$.r"), (8, None)}
+
+
+def test_a_walk_opens_each_container_once(monkeypatch):
+    from docmem.functions import kernels
+
+    depth = 200
+    # one field "k" of one list each: offsets of two bytes
+    value, metadata = b"\x0c\x07", b"\x01\x01\x00\x01k"
+    for i in range(depth):
+        n = len(value)
+        head = b"\x07\x01" if i % 2 else b"\x06\x01\x00"
+        value = head + (0).to_bytes(2, "little") + n.to_bytes(2, "little") + value
+    opened, inside = [], kernels._inside
+    monkeypatch.setattr(kernels, "_inside", lambda *x: opened.append(x[1]) or inside(*x))
+    assert kernels.leaves_of(value, metadata, "$", True) == [("$" + "[0].k" * (depth // 2), b"\x0c\x07")]
+    assert len(opened) == len(set(opened)) == depth
+
+
+def test_rebuild_of_odd_keys_and_repeated_leaves(spark):
+    """Deep documents are written like shallow ones, which are closed level by level."""
+    deep = ".d[0]" * 6
+    rows = [('["q\\"z"]', "1"), ('["tab\tand\x01"]', "2"), ('["é.[0]"][2]', "3"), ('["é.[0]"][10]', "4"), ("[\"\"]", "{}"), (".p.q", "5"), (".p.q", "6"), (".-1", "7"), (".s[0].t", None)]
+    long = spark.createDataFrame([(1, "$" + deep + p, v) for p, v in rows], "db_id int, path string, value string")
+    short = spark.createDataFrame([(1, "$" + p, v) for p, v in rows], "db_id int, path string, value string")
+    want = lv.rebuild(short, ["db_id"], max_depth=4).first().doc
+    assert lv.rebuild(long, ["db_id"]).first().doc == '{"d":[' * 6 + want + "]}" * 6
