@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docmem.functions.jsontext import text_kind
 from docmem.functions.paths import depth_of, prefixes_of
 from docmem.operators.leaves import explode_leaves, rebuild
-from docmem.session import cut_lineage
+from docmem.session import cut_lineage, cut_wide
 
 SEGMENT = 1 << 20
 PAGE = 10_000
@@ -172,7 +172,8 @@ def fold_writes(writes: DataFrame, *, positions: bool = True) -> DataFrame:
     w = writes.withColumn("segment", F.floor(F.col("seq") / SEGMENT)).withColumn(
         "n", F.when(F.col("kind") == "list", F.json_array_length("value")).otherwise(1)
     )
-    summary = cut_lineage(
+    w = w.hint("merge")  # the log is never broadcast, however small its files are
+    summary = cut_wide(
         w.groupBy(*KEY, "segment").agg(
             F.min(F.when(F.col("kind") == "list", F.col("seq"))).alias("first_list"),
             F.max("seq").alias("last"),
@@ -259,7 +260,7 @@ def compact(writes: DataFrame) -> DataFrame:
     """
     settled = settle(writes)
     w = settled.withColumn("segment", F.floor(F.col("seq") / SEGMENT))
-    summary = cut_lineage(
+    summary = cut_wide(
         w.groupBy(*KEY, "segment").agg(
             F.min(F.when(F.col("kind") == "list", F.col("seq"))).alias("first_list"), F.max("seq").alias("last")
         )

@@ -10,7 +10,7 @@ from docmem.functions.paths import ANY_ELEMENT_PATH, ELEMENT_PATH
 from docmem.operators import fold as fo
 from docmem.operators import sequenced
 from docmem.operators.leaves import object_entries
-from docmem.session import cut_lineage
+from docmem.session import cut_lineage, cut_wide
 
 
 def _object_text(entries):
@@ -161,7 +161,7 @@ def replay(edits: DataFrame, **options) -> DataFrame:
     folded = fo.fold(edits.where(~of_elements), **options)
     if edits.where(of_elements).isEmpty():
         return folded
-    return update_any(cut_lineage(folded), edits)
+    return update_any(cut_wide(folded), edits)
 
 
 def update_any(elements: DataFrame, edits: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def update_any(elements: DataFrame, edits: DataFrame) -> DataFrame:
     change what others select by, takes `sequenced.replay_lists`.
     """
     updates = sequenced.element_edits(edits)
-    lists = cut_lineage(sequenced.entangled(updates))
+    lists = cut_wide(sequenced.entangled(updates))
     if lists.isEmpty():
         return update_matching(elements, element_updates(edits))
     key = ["db_id", "path"]

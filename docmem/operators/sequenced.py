@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docmem.functions.jsontext import let, quote, text_kind
 from docmem.functions.paths import ANY_ELEMENT_PATH
 from docmem.operators.leaves import list_items, object_entries
-from docmem.session import cut_lineage
+from docmem.session import cut_wide
 
 SEGMENT = 1 << 20
 LIST = ["db_id", "path"]
@@ -182,7 +182,7 @@ def _met(versions: DataFrame, updates: DataFrame, kinds: set[str]) -> DataFrame:
         out.append(met.select(*span, "u_seq", "target", "data"))
     if "range" in kinds:
         ranges = typed.where("op <> '='")
-        binned = cut_lineage(facts.withColumn("bin", _bin(F.col("kind"), F.col("number"), F.col("text"))))
+        binned = cut_wide(facts.withColumn("bin", _bin(F.col("kind"), F.col("number"), F.col("text"))))
         place = [*LIST, "field", "kind"]
         bins = binned.select(*place, "bin").distinct()
         r = ranges.select(*place, "op", F.col("number").alias("c_number"), F.col("text").alias("c_text"), F.col("bin").alias("c_bin"), "u_seq", "target", "data")
@@ -274,20 +274,20 @@ def replay_lists(elements: DataFrame, updates: DataFrame) -> DataFrame:
     at that time.
     """
     identity = ["db_id", "path", "seq", "idx"]
-    listed = cut_lineage(elements.where("in_list"))
-    updates = cut_lineage(_from_the_end(listed, cut_lineage(updates)))
+    listed = cut_wide(elements.where("in_list"))
+    updates = cut_wide(_from_the_end(listed, cut_wide(updates)))
     fields = updates.where("how = 'test'").select(*LIST, F.col("field").alias("_field")).distinct()
     # moves: what may change a field that is selected by, or the whole element
     u, f = updates.alias("u"), fields.alias("f")
     same_list = (F.col("u.db_id") == F.col("f.db_id")) & (F.col("u.path") == F.col("f.path"))
     touches = (F.size("u.target") == 0) | (F.get("u.target", F.lit(0)) == F.col("f._field"))
-    moving = cut_lineage(u.join(f, same_list & touches, "left_semi"))
+    moving = cut_wide(u.join(f, same_list & touches, "left_semi"))
     still = u.join(f, same_list & touches, "left_anti")
-    still = cut_lineage(_shrunk(listed, still, moving))
+    still = cut_wide(_shrunk(listed, still, moving))
     most = updates.agg(F.max(F.size("target"))).first()[0] or 0
 
     one = F.struct(*identity).alias("element")
-    open_ = cut_lineage(listed.select(one, *LIST, "pos", "value", F.col("seq").alias("since")))
+    open_ = cut_wide(listed.select(one, *LIST, "pos", "value", F.col("seq").alias("since")))
     no_end = F.lit(None).cast("bigint").alias("until")
     kinds, versions, hits = _selectors(moving), None, None
     while kinds:
@@ -296,7 +296,7 @@ def replay_lists(elements: DataFrame, updates: DataFrame) -> DataFrame:
             .groupBy("element")
             .agg(F.min(F.struct("u_seq", "target", "data")).alias("u"))
         )
-        first = cut_lineage(first)
+        first = cut_wide(first)
         span = open_.join(first.select("element", F.col("u.u_seq").alias("until")), "element", "left")
         versions = span if versions is None else versions.unionByName(span)
         if first.isEmpty():
@@ -304,8 +304,8 @@ def replay_lists(elements: DataFrame, updates: DataFrame) -> DataFrame:
         taken = first.select("element", "u.u_seq", "u.target", "u.data")
         hits = taken if hits is None else hits.unionByName(taken)
         new = _put(F.col("value"), F.col("target"), F.col("data"), 0, most)
-        open_ = cut_lineage(open_.drop("since").join(taken, "element").select("element", *LIST, "pos", new.alias("value"), F.col("u_seq").alias("since")))
-    versions = open_.select("*", no_end) if versions is None else cut_lineage(versions)
+        open_ = cut_wide(open_.drop("since").join(taken, "element").select("element", *LIST, "pos", new.alias("value"), F.col("u_seq").alias("since")))
+    versions = open_.select("*", no_end) if versions is None else cut_wide(versions)
     if kinds := _selectors(still):
         reached = _met(versions, still, kinds)
         hits = reached if hits is None else hits.unionByName(reached)
@@ -313,7 +313,7 @@ def replay_lists(elements: DataFrame, updates: DataFrame) -> DataFrame:
         return elements
     changes = hits.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("u_seq", "target", "data"))).alias("hits"))
     value = F.aggregate("hits", F.col("value"), lambda acc, h: _put(acc, h["target"], h["data"], 0, most))
-    out = elements.join(changes.select("element.*", "hits"), identity, "left")
+    out = elements.join(changes.select("element.*", "hits").hint("merge"), identity, "left")
     return out.select(
         "db_id",
         "path",

@@ -138,3 +138,15 @@ def test_superseded_updates_do_not_travel(spark):
     assert sq._shrunk(elements, updates, updates.limit(0)).count() == 1
     out = sq.replay_lists(elements, updates)
     assert out.where(F.col("value").contains('"x":299')).count() == 39
+
+
+def test_long_tables_are_not_broadcast(spark):
+    """Files that pack well say little of the memory that a table takes; the log, its elements and updates never pass through the driver."""
+    rows = [("a", i, "$.l", f'[{{"k":{i},"s":"new"}}]') for i in range(0, 40, 2)]
+    rows += [("a", i, '$.l[?s = "new"].s', '"seen"') for i in (11, 21)] + [("a", 31, '$.l[?s = "seen"].s', '"done"')]
+    edits = spark.createDataFrame(rows, SCHEMA)
+    updates = sq.element_edits(edits)
+    out = sq.replay_lists(fo.fold(edits.where("path = '$.l'"), nested=False), updates)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {json.loads(r.value)["k"]: json.loads(r.value)["s"] for r in out.collect()}
+    assert got == {i: "done" if i < 21 else "new" for i in range(0, 40, 2)}
